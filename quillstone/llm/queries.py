@@ -8,14 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .packing import pack_documents
 from .secrets import report, scan
 from .sharding import shard_documents
 from .url_filter import filter_urls
+from .wavelet import read_documents, write_shards
 
 #: Fixed values: (verdict, host, path).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the public tokenizer; it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_documents(write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), (F.col("toxic") == 1).alias("bad"))
     return filter_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
@@ -32,6 +49,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_wavelet_tokens": op4_wavelet_tokens,
     "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,
     "op10_sharding": op10_sharding,
