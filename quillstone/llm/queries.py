@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import ann, language
 from .common import table
+from .decontam import decontaminate
+from .lines import dedup_lines
 from .packing import pack_documents
 from .secrets import report, scan
 from .sharding import shard_documents
@@ -36,6 +38,10 @@ def language_model(docs: DataFrame) -> language.Model:
     return language.fit(docs.where(~held_out() & F.col("doc_id").isNotNull()))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs.select("doc_id", "text"), language_model(docs), "doc_id")
@@ -70,11 +76,17 @@ def op8_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.build(vectors), vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op9_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("item_ids")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_wavelet_tokens": op4_wavelet_tokens,
@@ -82,6 +94,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_one_bit_neighbours": op8_one_bit_neighbours,
+    "op9_winnow_decontamination": op9_winnow_decontamination,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: DuckDB counterparts of what SQL can express.
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, pos, m, len(string_split(m, ' ')) AS n, array_to_string(string_split(m, ' ')[1:4], ' ') AS lead, len(list_filter(string_split(m, ' '), lambda t: t <> '<*>')) AS words
+  FROM (SELECT doc_id, pos, regexp_replace(trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g')), '[^ 0-9]*[0-9][^ ]*', '<*>', 'g') AS m FROM split)
+  WHERE len(string_split(m, ' ')) >= 3),
+mixed AS (SELECT n, lead FROM lines GROUP BY n, lead HAVING min(m) <> max(m) AND min(doc_id) <> max(doc_id)),
+forms AS (SELECT m, n, lead, min(doc_id) AS d1, max(doc_id) AS d2 FROM lines JOIN mixed USING (n, lead) GROUP BY m, n, lead),
+parts AS (SELECT m, n, lead, d1, d2, unnest(string_split(m, ' ')) AS token, generate_subscripts(string_split(m, ' '), 1) AS p FROM forms),
+constant AS (SELECT n, lead, p, token FROM parts GROUP BY n, lead, p, token HAVING min(d1) <> max(d2)),
+marked AS (SELECT a.m, a.n, a.p, a.token, c.token IS NOT NULL AS fixed FROM parts a LEFT JOIN constant c ON a.n = c.n AND a.lead = c.lead AND a.p = c.p AND a.token = c.token),
+wide AS (
+  SELECT m, string_agg(CASE WHEN fixed OR token = '<*>' THEN token ELSE '<*>' END, ' ' ORDER BY p) AS t
+  FROM marked GROUP BY m, n
+  HAVING count(*) FILTER (fixed OR token = '<*>') >= 0.7 * n AND count(*) FILTER (fixed OR token = '<*>') < n AND count(*) FILTER (fixed AND token <> '<*>') >= 2),
+usable AS (SELECT doc_id, pos, n, coalesce(w.t, l.m) AS t FROM lines l LEFT JOIN wide w ON l.m = w.m WHERE words >= 2),
+recurring AS (
+  SELECT t, min(doc_id) AS first_doc, min({'d': doc_id, 'p': pos}) AS first FROM usable GROUP BY t
+  HAVING count(DISTINCT doc_id) >= 3 OR (count(DISTINCT doc_id) >= 2 AND max(n) >= 20)),
+gone AS (SELECT doc_id, pos FROM usable u JOIN recurring r ON u.t = r.t WHERE u.doc_id <> r.first.d OR u.pos <> r.first.p),
+kept AS (
+  SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.pos) FILTER (g.pos IS NULL) AS text, count(*) AS lines_seen, count(g.pos) AS lines_dropped
+  FROM split s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.pos = g.pos GROUP BY s.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, CAST(coalesce(k.lines_seen, 0) AS BIGINT) AS lines_seen, CAST(coalesce(k.lines_dropped, 0) AS BIGINT) AS lines_dropped
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+    "op9_winnow_decontamination": r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS run
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT item_id, w, least(10, len(w)) AS n FROM item_words WHERE len(w) > 0))),
+doc_windows AS (
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS run
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)),
+hits AS (SELECT d.doc_id, d.i, d.n, t.item_id FROM doc_windows d JOIN item_windows t ON d.n = t.n AND d.run = t.run),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(f.n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
+""",
+}

@@ -1,7 +1,7 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Each distinct fingerprint belongs to a cell, the numbers of ones in its four 16-bit
-blocks.  Two fingerprints at distance d or less differ by d or less in the sum of the
+Each distinct fingerprint belongs to a cell, the numbers of ones in its blocks (by default
+four of 16 bits).  Two fingerprints at distance d or less differ by d or less in the sum of the
 cells' differences, so a tile (some fingerprints of one cell) meets only the tiles of
 cells within the radius; all other tile pairs are skipped.  Pairs of tiles are compared
 with numpy exclusive-or and bit counts, exactly.  A task reports a spanning forest of the
@@ -62,8 +62,9 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, doc_id: str = "doc
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _cell(fp: Column) -> Column:
-    return F.array(*[F.bit_count(F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))).cast("int") for i in range(4)])
+def _cell(fp: Column, blocks: int) -> Column:
+    width = 64 // blocks
+    return F.array(*[F.bit_count(F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit(-1 if width == 64 else (1 << width) - 1).cast("long"))).cast("int") for i in range(blocks)])
 
 
 def forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,19 +99,21 @@ def forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.nd
     return values[linked], values[label[linked]]
 
 
-def near_pairs(fps: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
-    """Edges (u, v) between distinct fps (column fp) whose components are those of all links within the radius."""
-    spark = fps.sparkSession
-    fps = fps.select("fp", _cell(F.col("fp")).alias("cell"))
+def near_pairs(fps: DataFrame, radius: int = 3, tile: int = 2048, blocks: int = 4) -> DataFrame:
+    """Edges (u, v) between distinct fps (column fp) whose components are those of all links within the radius.
+
+    More blocks skip more tile pairs but send a tile to more cells; a wide radius takes few blocks.
+    """
+    fps = fps.select("fp", _cell(F.col("fp"), blocks).alias("cell"))
     sizes = fps.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("parts"))
     cut = fps.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     tiles = materialize(cut.groupBy("cell", "part").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
     # Half of the steps within the radius, so that each pair of cells meets once.
-    steps = [s for s in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, s)) <= radius and s >= (0, 0, 0, 0)]
+    steps = [s for s in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, s)) <= radius and s >= (0,) * blocks]
     step = F.explode(F.array(*[F.array(*map(F.lit, s)) for s in steps]))
     moved = tiles.select(F.col("part").alias("other_part"), F.col("fps").alias("other"), "cell", step.alias("step"))
     moved = moved.select("other_part", "other", (F.aggregate("step", F.lit(0), lambda s, x: s + F.abs(x)) == 0).alias("same_cell"), F.zip_with("cell", "step", lambda c, s: c + s).alias("cell"))
-    moved = moved.where(F.forall("cell", lambda c: (c >= 0) & (c <= 16)))
+    moved = moved.where(F.forall("cell", lambda c: (c >= 0) & (c <= 64 // blocks)))
     met = tiles.join(moved, "cell").where(~F.col("same_cell") | (F.col("part") <= F.col("other_part")))
     met = met.select("fps", "other", (F.col("same_cell") & (F.col("part") == F.col("other_part"))).alias("same"))
 
@@ -161,11 +164,11 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialize(small.distinct(), "cc-edges")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3, blocks: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (hex) and component_id, the smallest doc_id that links reach."""
     found = materialize(fingerprints(docs, words_per_shingle, doc_id, text), "simhash-docs")
     classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
-    roots = components(near_pairs(classes.select("fp"), radius))
+    roots = components(near_pairs(classes.select("fp"), radius, blocks=blocks))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
