@@ -1,4 +1,6 @@
 """All registered queries with their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import columns, comparison, coordinates, diagnostics, models, pairs, rows, validation  # noqa: F401
+from .register import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
