@@ -10,7 +10,7 @@ Items shorter than the window are one window each.  Winnowing cannot promise tho
 for each short length that the items have, all runs of that length are looked up.
 
 Scale: documents shed their kept hashes, one row each, against the distinct hashes of the
-benchmark: these are broadcast up to BROADCAST_ROWS rows and shuffled beyond.  Only
+benchmark: these are broadcast up to a fixed number of rows and shuffled beyond.  Only
 documents with a hit are read a second time.
 
 Defined cases: null or empty texts have no words and no hits.  An item without words has no
@@ -23,13 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, narrow
+from .common import ascii_lower, materialize, narrow, small
 
 #: What parts words, and the same with A-Z inside words.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -48,11 +47,6 @@ def winnow(hashes: str, w: int) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_min(F.slice(F.col(hashes), i, w))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has few enough rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _runs(w: str, starts: Column, n: int) -> Column:
     """Structs (start, words of the run joined by blanks) for the starts given, from 0."""
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_join(F.slice(F.col(w), s + 1, n), " ").alias("run")))

@@ -24,16 +24,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 BLANKS = r"[ \t\x0B\f\r]+"
 FIELD = "<*>"
+MIXED_ROWS = 1_000_000  # leaves (8 bytes each) up to which they are broadcast
+
+
+def tidy(line: Column) -> Column:
+    """Tokens joined by single blanks; most lines are so already."""
+    return F.trim(F.when(F.rlike(line, F.lit(r"  |[\t\x0B\f\r]")), F.regexp_replace(line, BLANKS, " ")).otherwise(line))
 
 
 def masked(line: Column) -> Column:
-    """Tokens joined by single blanks, those with a digit generalised."""
-    plain = F.regexp_replace(F.trim(F.regexp_replace(line, BLANKS, " ")), r"[^ 0-9]*+[0-9][^ ]*", FIELD)
-    return plain
+    """Tokens with a digit generalised."""
+    return F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, r"[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(line)
 
 
 def _key(*c: Column) -> list[Column]:
@@ -42,15 +47,21 @@ def _key(*c: Column) -> list[Column]:
 
 
 def templates(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_tokens: int = 3) -> DataFrame:
-    """(doc_id, doc, pos, n, t1, t2) of every line that may be dropped; docs: doc_id, doc (key of the row), text."""
-    lines = docs.select("doc_id", "doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "doc", "pos", masked(F.col("line")).alias("m"))
+    """(doc_id, doc, pos, n, words, t1, t2) of every line that may be dropped; docs: doc_id, doc (key of the row), text.
+
+    words: tokens that are no variable fields.  Only the lines of leaves with different lines
+    move with their text; all other steps move keys.
+    """
+    # Before the lines become rows, so that no filter above repeats the patterns.
+    lines = docs.select("doc_id", "doc", F.posexplode(F.transform(F.transform(F.split("text", "\n"), tidy), masked)).alias("pos", "m"))
     lines = lines.withColumn("n", F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_tokens)
     a, b = _key(F.col("m"))
     leaf = F.xxhash64("n", F.substring_index("m", " ", depth))
-    lines = materialize(lines.select("doc_id", "doc", "pos", "n", leaf.alias("leaf"), a.alias("h1"), b.alias("h2"), "m"), "line-masked")
+    words = (F.col("n") - (F.length("m") - F.length(F.replace("m", F.lit(FIELD), F.lit("")))) / len(FIELD)).cast("int")
+    lines = materialize(lines.select("doc_id", "doc", "pos", "n", words.alias("words"), leaf.alias("leaf"), a.alias("h1"), b.alias("h2"), "m"), "line-masked")
 
     mixed = lines.groupBy("leaf").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("doc").alias("c"), F.max("doc").alias("d")).where("a <> b and c <> d").select("leaf")
-    forms = lines.join(mixed, "leaf", "left_semi").groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"), F.min("m").alias("m"), F.min("doc").alias("d1"), F.max("doc").alias("d2"))
+    forms = lines.join(small(mixed, MIXED_ROWS), "leaf", "left_semi").groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"), F.min("m").alias("m"), F.min("doc").alias("d1"), F.max("doc").alias("d2"))
     forms = materialize(forms, "line-forms")
     parts = forms.select("h1", "h2", "leaf", "d1", "d2", F.posexplode(F.split("m", " ")).alias("at", "token"))
     constant = parts.groupBy("leaf", "at", "token").agg(F.min("d1").alias("d1"), F.max("d2").alias("d2")).where("d1 <> d2").select("leaf", "at", "token", F.lit(True).alias("constant"))
@@ -61,7 +72,7 @@ def templates(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_toke
     wide = rebuilt.where((F.col("same") >= similarity * F.col("n")) & (F.col("same") < F.col("n")) & (F.col("plain") >= 2))
     text = F.array_join(F.transform("tokens", lambda t: t.token), " ")
     wide = wide.select("h1", "h2", *[k.alias(n) for k, n in zip(_key(text), ("g1", "g2"))])
-    return lines.join(wide, ["h1", "h2"], "left").select("doc_id", "doc", "pos", "n", "m", F.coalesce("g1", "h1").alias("t1"), F.coalesce("g2", "h2").alias("t2"))
+    return lines.join(wide, ["h1", "h2"], "left").select("doc_id", "doc", "pos", "n", "words", F.coalesce("g1", "h1").alias("t1"), F.coalesce("g2", "h2").alias("t2"))
 
 
 def dedup_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_docs: int = 3, min_tokens: int = 3, long_tokens: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,8 +82,7 @@ def dedup_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_do
     keyed = docs.select(*[F.col(f"`{c}`") for c in own], doc.alias("__doc"))
     slim = keyed.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col("__doc").alias("doc"), F.col(f"`{text}`").alias("text")).where("text is not null")
     lines = materialize(templates(slim, depth, similarity, min_tokens), "line-templates")
-    words = F.size(F.filter(F.split("m", " "), lambda t: t != FIELD))
-    usable = lines.where(words >= 2).select("doc_id", "doc", "pos", "n", "t1", "t2")
+    usable = lines.where("words >= 2").select("doc_id", "doc", "pos", "n", "t1", "t2")
     groups = usable.groupBy("t1", "t2", "doc").agg(F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.max("n").alias("n")).groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.max("n").alias("n"))
     recurring = groups.where((F.col("docs") >= min_docs) | ((F.col("docs") >= 2) & (F.col("n") >= long_tokens))).select("t1", "t2", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
     gone = usable.join(recurring, ["t1", "t2"]).where((F.col("doc") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos")))
