@@ -70,7 +70,10 @@ def contaminated_words(docs: DataFrame, items: DataFrame, window: int = 10, k: i
         marks = docs.select("doc_id", "blob", words(F.col("text")).alias("w")).select("doc_id", "blob", grams("w", k).alias("g")).select("doc_id", "blob", F.explode(winnow("g", keep)).alias("h"))
         hits = marks.join(small(materialize(kept, "leak-kept")), "h").groupBy("doc_id", "blob").agg(F.collect_set("h").alias("hits"))
         hits = materialize(hits, "leak-hits")
-        seen = docs.withColumnRenamed("doc_id", "d").join(hits.withColumnRenamed("blob", "b"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("blob") == F.col("b")))
+        same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("b") == F.col("blob"))
+        # First the keys alone: with few hits no clean document is moved.
+        keys = small(hits.select(F.col("doc_id").alias("d"), F.col("blob").alias("b")))
+        seen = docs.join(keys, same, "left_semi").withColumnsRenamed({"doc_id": "d", "blob": "b"}).join(hits, same)
         seen = seen.select("doc_id", "blob", "hits", words(F.col("text")).alias("w")).select("doc_id", "blob", "hits", "w", grams("w", k).alias("g"))
         # Extended: every window that covers a hit run of k words.
         seen = seen.select("doc_id", "blob", "w", F.transform("g", lambda h: F.array_contains(F.col("hits"), h)).alias("hit"))
