@@ -35,10 +35,13 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
+    """df written as Parquet in the shared folder and read again.
+
+    Zstandard, since Snappy's writers hold direct buffers until the next garbage collection.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
