@@ -64,10 +64,10 @@ def fold_summary(spark, sf_dir):
     return a.groupBy(F.col("model").cast("int").alias("model")).agg(F.count("*").alias("folds"), *[r6(f("auc")).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("median", F.median), ("min", F.min), ("max", F.max))])
 
 
-@query("foldwise_rank", f"WITH {_OOF} SELECT CAST(model AS INTEGER) AS model, CAST(repeat AS INTEGER) AS repeat, id, round(k / n, 6) AS r FROM rk WHERE model < 3")
+@query("foldwise_rank", f"WITH {_OOF} SELECT CAST(model AS INTEGER) AS model, CAST(repeat AS INTEGER) AS repeat, id, round(k / n, 6) AS r FROM rk")
 def foldwise_rank(spark, sf_dir):
-    """Percentile ranks inside each fold of three models."""
-    return M.ranked(oof(spark, sf_dir).where("model < 3"), "model", "repeat", "fold").select(F.col("model").cast("int").alias("model"), "repeat", "id", r6(F.col("r")).alias("r"))
+    """Percentile ranks inside each fold of every model."""
+    return M.ranked(oof(spark, sf_dir), "model", "repeat", "fold").select(F.col("model").cast("int").alias("model"), "repeat", "id", r6(F.col("r")).alias("r"))
 
 
 @query("rank_blend", f"WITH {_OOF}, {_CONFIG} SELECT name, CAST(repeat AS INTEGER) AS repeat, id, round(sum(weight * k / n), 6) AS score FROM rk JOIN cn ON rk.model = cn.model GROUP BY name, repeat, id")
@@ -124,6 +124,14 @@ def config_select_tolerance(spark, sf_dir):
     return M.select_simplest(_table(spark, sf_dir), 0.01).select("name", r6(F.col("cv")).alias("cv"), F.col("raw_weight").cast("double").alias("raw_weight"), F.col("blocks").cast("int").alias("blocks"))
 
 
+@query("config_near_best_std", f"WITH {_OOF}, g AS (SELECT model, avg(auc) AS cv, stddev_pop(auc) AS sd FROM a GROUP BY model) SELECT CAST(model AS INTEGER) AS model, round(cv, 6) AS cv, round(sd, 6) AS std FROM g WHERE cv >= (SELECT max(cv) FROM g) - 0.01 ORDER BY sd, model LIMIT 1")
+def config_near_best_std(spark, sf_dir):
+    """The steadiest model near the best mean."""
+    g = M.fold_auc(oof(spark, sf_dir), "model", "repeat", "fold").groupBy("model").agg(F.avg("auc").alias("cv"), F.stddev_pop("auc").alias("sd"))
+    best = F.broadcast(g.agg(F.max("cv").alias("best")))  # one row
+    return g.join(best).where("cv >= best - 0.01").orderBy("sd", "model").limit(1).select(F.col("model").cast("int").alias("model"), r6(F.col("cv")).alias("cv"), r6(F.col("sd")).alias("std"))
+
+
 @query("stability_gate", f"WITH {_OOF}, g AS (SELECT model, avg(auc) AS m, stddev_pop(auc) AS sd, count(*) FILTER (auc > 0.5) AS wins FROM a GROUP BY model) SELECT CAST(model AS INTEGER) AS model, round(m, 6) AS mean, round(sd, 6) AS std FROM g WHERE m >= 0.49 AND wins >= 3 AND sd <= 0.05")
 def stability_gate(spark, sf_dir):
     """Models that pass a gate on mean, wins and deviation."""

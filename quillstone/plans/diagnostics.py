@@ -71,3 +71,54 @@ def participation_ratio(spark, sf_dir):
 def constant_columns(spark, sf_dir):
     """Columns without any spread."""
     return long_form(order_vec(spark, sf_dir)).groupBy(F.col("j").cast("int").alias("j")).agg((F.stddev_pop("v") < 1e-8).alias("constant"))
+
+
+@query("cumulative_variance", f"""
+WITH {VEC_RELU}, s AS (SELECT j, var_samp(v) AS var FROM l GROUP BY j), c AS (SELECT j, row_number() OVER (ORDER BY round(var, 9) DESC, j) AS k, sum(var) OVER (ORDER BY round(var, 9) DESC, j) / sum(var) OVER () AS share FROM s)
+SELECT CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k, round(share, 6) AS share, k = (SELECT min(k) FROM c WHERE share >= 0.8) AS first80 FROM c""")
+def cumulative_variance(spark, sf_dir):
+    """Columns by variance with the running share, and the first at 80%: a row per column."""
+    s = long_form(vec_relu(spark, sf_dir)).groupBy("j").agg(F.var_samp("v").alias("var"))
+    w = Window.orderBy(F.round("var", 9).desc(), "j")  # columns, not rows
+    c = s.select("j", F.row_number().over(w).alias("k"), (F.sum("var").over(w) / F.sum("var").over(Window.partitionBy())).alias("share"))
+    first = F.broadcast(c.where("share >= 0.8").agg(F.min("k").alias("f")))  # one row
+    return c.join(first).select(F.col("j").cast("int").alias("j"), F.col("k").cast("int").alias("k"), r6(F.col("share")).alias("share"), (F.col("k") == F.col("f")).alias("first80"))
+
+
+@query("correlation_prune")
+def correlation_prune(spark, sf_dir):
+    """Columns that stay when each drops the later ones it is tied to by 0.1; the loop goes over columns only."""
+    tied = {(r.a, r.b) for r in _pairs(spark, sf_dir).where("r >= 0.1").select("a", "b").collect()}  # at most width^2 / 2
+    kept: list[int] = []
+    for j in range(64):
+        if not any((k, j) in tied for k in kept):
+            kept.append(j)
+    return spark.createDataFrame([(j,) for j in kept], "j int")
+
+
+@query("column_clusters")
+def column_clusters(spark, sf_dir):
+    """Columns in eight clusters of their descriptors."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    d = long_form(vec_relu(spark, sf_dir)).groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.avg((F.col("v") == 0).cast("double")).alias("z"), F.max("v").alias("t"))
+    rows = d.select("j", array_to_vector(F.array("m", "s", "z", "t")).alias("features"))
+    return KMeans(k=8, seed=1).fit(rows).transform(rows).select(F.col("j").cast("int").alias("j"), F.col("prediction").alias("cluster"))
+
+
+@query("feature_quality_gap", f"""
+WITH {ORDER_VEC}, f AS (SELECT id, (row_number() OVER (PARTITION BY y ORDER BY md5('5:' || id), id) - 1) % 20 < 3 AS held FROM v), t AS (SELECT f.held, l.j, l.v, l.y FROM l JOIN f ON l.id = f.id),
+r AS (SELECT *, rank() OVER (PARTITION BY held, j ORDER BY v) + (count(*) OVER (PARTITION BY held, j, v) - 1) / 2.0 AS k FROM t),
+a AS (SELECT held, j, (sum(k) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auc FROM r GROUP BY held, j)
+SELECT CAST(j AS INTEGER) AS j, round(max(auc) FILTER (NOT held), 6) AS train_auc, round(max(auc) FILTER (held), 6) AS held_auc, round(max(auc) FILTER (NOT held) - max(auc) FILTER (held), 6) + 0.0 AS gap FROM a GROUP BY j""")
+def feature_quality_gap(spark, sf_dir):
+    """AUC of each column in the training rows and in the hold-out, and the gap."""
+    from ..operators import folds
+    from ..operators.ranks import feature_auc
+
+    v = order_vec(spark, sf_dir)
+    held = folds.stratified(v, 20, [5]).select("id", (F.col("fold") < 3).alias("held"))
+    a = feature_auc(long_form(v).join(held, "id"), "held", "j")
+    of = lambda h: F.max(F.when(F.col("held") == h, F.col("auc")))
+    return a.groupBy(F.col("j").cast("int").alias("j")).agg(r6(of(False)).alias("train_auc"), r6(of(True)).alias("held_auc"), r6(of(False) - of(True)).alias("gap"))

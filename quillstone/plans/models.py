@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
@@ -82,6 +83,64 @@ def pca_whiten(spark, sf_dir):
     return z.select("id", F.posexplode("z").alias("k", "z")).select("id", "k", r6(F.col("z")).alias("z"))
 
 
+@query("pca_spectrum")
+def pca_spectrum(spark, sf_dir):
+    """Explained variance of the principal directions and its running sum."""
+    import numpy as np
+
+    rows = _folded(vec_relu(spark, sf_dir))
+    _, _, cov = G.moments(rows.select(F.lit(0).alias("model"), F.lit(0).alias("y"), "x"), 64)[0, 0]
+    share = G.floored(cov)[0] / G.floored(cov)[0].sum()
+    return spark.createDataFrame([(k, round(float(s), 6), round(float(c), 6)) for k, (s, c) in enumerate(zip(share, np.cumsum(share)), 1)], "k int, share double, running double")
+
+
+@query("copula_llr")
+def copula_llr(spark, sf_dir):
+    """Log ratio of Gaussian copulas: normal scores of each column, then the class Gaussians of the other folds."""
+    from statistics import NormalDist
+
+    from ..operators.ranks import average_rank_by_counts
+
+    long = vec_relu(spark, sf_dir).select("id", F.posexplode("x").alias("j", "v"))
+    n = F.broadcast(long.groupBy("j").agg(F.count("*").alias("m")))  # a row per column
+    ranks = average_rank_by_counts(long, "v", "j").join(n, "j").select("j", "v", F.least(F.greatest((F.col("rank") + 0.5) / (F.col("m") + 1), F.lit(1e-4)), F.lit(1 - 1e-4)).alias("u"))
+
+    @F.pandas_udf("double")
+    def normal(u: pd.Series) -> pd.Series:
+        return u.map(NormalDist().inv_cdf)
+
+    scored = long.join(ranks.withColumn("z", normal("u")), ["j", "v"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("j", "z"))).alias("s")).select("id", F.col("s.z").alias("x"))
+    rows = _folded(vec_relu(spark, sf_dir)).drop("x").join(scored, "id")
+    found = G.score_rows(rows.withColumn("model", F.col("fold")), _states(_models(rows))).where("name = 'qda'")
+    return found.select("id", F.col("model").alias("fold"), r6(F.col("value")).alias("llr"))
+
+
+@query("mixture_components")
+def mixture_components(spark, sf_dir):
+    """Components of class mixtures of three Gaussians that each held-out row belongs to."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import array_to_vector
+
+    rows = _folded(order_vec(spark, sf_dir)).withColumn("features", array_to_vector("x")).persist()
+    out = rows.where("fold = 0").select("id", "features")
+    for y in (0, 1):
+        model = GaussianMixture(k=3, seed=1, maxIter=10).fit(rows.where((F.col("fold") != 0) & (F.col("y") == y)))
+        out = model.setProbabilityCol(f"p{y}").setPredictionCol(f"c{y}").transform(out)
+    return out.select("id", F.col("c0").alias("component0"), F.col("c1").alias("component1"))
+
+
+@query("logistic_grid")
+def logistic_grid(spark, sf_dir):
+    """A grid of penalties: mean AUC over folds, the best marked; ties to the stronger penalty."""
+    rows, out = _folded(order_vec(spark, sf_dir)), None
+    for c in (0.001, 0.01, 0.1):
+        oof = L.out_of_fold(rows, LogisticRegression(maxIter=15, regParam=c), FOLDS)
+        part = feature_auc(oof.select("fold", "y", F.col("score").alias("v")), "fold").agg(F.avg("auc").alias("cv")).select(F.lit(c).alias("penalty"), "cv")
+        out = part if out is None else out.unionByName(part)
+    best = F.broadcast(out.agg(F.max_by("penalty", F.struct(F.round("cv", 9), F.col("penalty"))).alias("best")))  # one row
+    return out.join(best).select("penalty", r6(F.col("cv")).alias("cv"), (F.col("penalty") == F.col("best")).alias("best"))
+
+
 @query("svc_oof")
 def svc_oof(spark, sf_dir):
     """Out-of-fold margins of an RBF machine on random features."""

@@ -175,3 +175,32 @@ def test_csv_source_checks_its_header(spark, tmp_path):
 def test_quality_report_counts_every_fault(spark):
     r = files.quality_report(spark.createDataFrame([(1, [1.0, None], 0), (1, [math.nan, -1.0], 2), (2, [math.inf, 0.0], 1)], "id long, x array<double>, y int")).first()
     assert (r.n_rows, r.distinct_ids, r.nulls, r.nans, r.infinite, r.negative, r.odd_labels) == (3, 2, 1, 1, 1, 1, 1)
+
+
+def test_cache_builds_once_and_refuses_what_is_missing(spark, tmp_path):
+    from quillstone.sources.cache import TableCache
+
+    cache, calls = TableCache(spark, f"file://{tmp_path}"), []
+
+    def build():
+        calls.append(1)
+        return spark.range(5)
+
+    assert cache.get("folds", {"seed": 1, "k": 5}, build).count() == cache.get("folds", {"k": 5, "seed": 1}, build).count() == 5
+    assert len(calls) == 1 and cache.load("folds", {"seed": 1, "k": 5}).count() == 5
+    with pytest.raises(LookupError):
+        cache.load("folds", {"seed": 2, "k": 5})
+
+
+def test_stream_scores_equal_batch_scores(spark, tmp_path):
+    from quillstone.streaming.scoring import score_stream
+
+    rng = np.random.default_rng(7)
+    x = rng.random((30, 4))
+    states = {0: gaussian.class_state([15, 15], [x[:15].mean(0), x[15:].mean(0)], [np.cov(x[:15].T, ddof=0), np.cov(x[15:].T, ddof=0)], [0.1, 0.1])}
+    rows = spark.createDataFrame([(i, 0, r.tolist()) for i, r in enumerate(x)], "id long, model int, x array<double>")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    score_stream(stream, states).writeStream.format("memory").queryName("scored").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    key = lambda df: sorted((r.id, r.name, round(r.value, 9)) for r in df.collect())
+    assert key(spark.table("scored")) == key(gaussian.score_rows(rows, states))
