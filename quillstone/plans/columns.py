@@ -12,7 +12,12 @@ from ..operators.ranks import average_rank_by_counts, quantiles
 from ..sources.fixtures import DOC_VEC, ORDER_VEC, VEC_PAIRS, VEC_RELU, doc_vec, long_form, order_vec, table, vec_pairs, vec_relu
 from .register import query
 
-J = F.col("j").cast("int").alias("j")
+
+def column():
+    """The column's number as an int."""
+    return F.col("j").cast("int").alias("j")
+
+
 _DESCRIBE = """
 , d AS (SELECT j, count(DISTINCT v) AS n_unique, avg(v) AS mean, median(v) AS median, stddev_samp(v) AS std, var_samp(v) AS var, mad(v) AS mad, min(v) AS min, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, max(v) AS max,
   skewness(v) AS skew, kurtosis(v) AS kurtosis, count(*) AS n FROM l GROUP BY j),
@@ -23,7 +28,7 @@ SELECT CAST(d.j AS INTEGER) AS j, CAST(n_unique AS BIGINT) AS n_unique, round(me
 
 def _described(long):
     named = ["mean", "median", "std", "mad", "min", "q1", "q3", "max", "iqr", "skew", "kurtosis"]
-    return C.describe(long).select(J, "n_unique", *[r6(F.col(c)).alias(c) for c in named], F.round("var", 4).alias("var"), "outliers", "outlier_pct")
+    return C.describe(long).select(column(), "n_unique", *[r6(F.col(c)).alias(c) for c in named], F.round("var", 4).alias("var"), "outliers", "outlier_pct")
 
 
 @query("column_describe", f"WITH {VEC_RELU}{_DESCRIBE}")
@@ -45,13 +50,13 @@ def column_mode(spark, sf_dir):
     """The most frequent value of each column, the smallest of equals."""
     counts = long_form(order_vec(spark, sf_dir)).groupBy("j", "v").agg(F.count("*").alias("n"))
     best = counts.groupBy("j").agg(F.max_by(F.struct("v", "n"), F.struct(F.col("n"), -F.col("v"))).alias("b"))
-    return best.select(J, F.col("b.v").alias("mode"), F.col("b.n").alias("frequency"))
+    return best.select(column(), F.col("b.v").alias("mode"), F.col("b.n").alias("frequency"))
 
 
 @query("column_range", f"WITH {VEC_RELU} SELECT CAST(j AS INTEGER) AS j, round(max(v) - min(v), 6) AS range FROM l GROUP BY j")
 def column_range(spark, sf_dir):
     """Largest less smallest value of each column."""
-    return long_form(vec_relu(spark, sf_dir)).groupBy("j").agg(r6(F.max("v") - F.min("v")).alias("range")).select(J, "range")
+    return long_form(vec_relu(spark, sf_dir)).groupBy("j").agg(r6(F.max("v") - F.min("v")).alias("range")).select(column(), "range")
 
 
 @query("value_counts", f"WITH {VEC_PAIRS} SELECT CASE WHEN y = 1 THEN 'same' ELSE 'different' END AS target, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY 1")
@@ -66,7 +71,7 @@ SELECT CAST(j AS INTEGER) AS j, round(avg(v) FILTER (y = 0), 6) AS mean0, round(
 def class_means(spark, sf_dir):
     """Mean vectors by class and their difference, in one pass."""
     of = lambda c: F.avg(F.when(F.col("y") == c, F.col("v")))
-    return long_form(vec_relu(spark, sf_dir)).groupBy("j").agg(r6(of(0)).alias("mean0"), r6(of(1)).alias("mean1"), r6(of(1) - of(0)).alias("gap")).select(J, "mean0", "mean1", "gap")
+    return long_form(vec_relu(spark, sf_dir)).groupBy("j").agg(r6(of(0)).alias("mean0"), r6(of(1)).alias("mean1"), r6(of(1) - of(0)).alias("gap")).select(column(), "mean0", "mean1", "gap")
 
 
 @query("group_multi_agg", f"""
@@ -75,7 +80,7 @@ def group_multi_agg(spark, sf_dir):
     """Several aggregates and conditional counts per class and column."""
     long = long_form(order_vec(spark, sf_dir))
     agg = long.groupBy("y", "j").agg(F.avg("v").alias("mean"), F.count_if(F.col("v") > 1).alias("n_gt_1"), F.count_if(F.col("v") > 10).alias("n_gt_10"))
-    return agg.join(quantiles(long, [0.5], "y", "j"), ["y", "j"]).select("y", J, r6(F.col("mean")).alias("mean"), r6(F.col("q")[0]).alias("median"), "n_gt_1", "n_gt_10")
+    return agg.join(quantiles(long, [0.5], "y", "j"), ["y", "j"]).select("y", column(), r6(F.col("mean")).alias("mean"), r6(F.col("q")[0]).alias("median"), "n_gt_1", "n_gt_10")
 
 
 @query("group_concat", "SELECT n_regionkey, CAST(count(*) AS BIGINT) AS n, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
@@ -128,7 +133,7 @@ def zero_mask_groups(spark, sf_dir):
 WITH {ORDER_VEC} SELECT CAST(j AS INTEGER) AS j, round(CASE WHEN count(*) FILTER (v > 0) >= 5 AND median(v) FILTER (v > 0) > 1e-10 THEN median(v) FILTER (v > 0) ELSE 1 END, 6) AS scale FROM l GROUP BY j""")
 def positive_median_scale(spark, sf_dir):
     """The robust scale of each column."""
-    return C.positive_scale(long_form(order_vec(spark, sf_dir))).select(J, r6(F.col("scale")).alias("scale"))
+    return C.positive_scale(long_form(order_vec(spark, sf_dir))).select(column(), r6(F.col("scale")).alias("scale"))
 
 
 @query("robust_scale_log1p", f"""
@@ -137,7 +142,7 @@ SELECT id, CAST(l.j AS INTEGER) AS j, round(ln(1 + v / scale), 6) AS z FROM l JO
 def robust_scale_log1p(spark, sf_dir):
     """log(1 + value / robust scale); the scales are a row per column."""
     long = long_form(order_vec(spark, sf_dir))
-    return long.join(F.broadcast(C.positive_scale(long)), "j").select("id", J, r6(F.log1p(F.col("v") / F.col("scale"))).alias("z"))
+    return long.join(F.broadcast(C.positive_scale(long)), "j").select("id", column(), r6(F.log1p(F.col("v") / F.col("scale"))).alias("z"))
 
 
 @query("quantile_edges", f"""
@@ -145,7 +150,7 @@ WITH {ORDER_VEC}, e AS (SELECT DISTINCT j, round(e, 6) AS edge FROM (SELECT j, u
 SELECT CAST(j AS INTEGER) AS j, edge FROM e WHERE edge IS NOT NULL""")
 def quantile_edges(spark, sf_dir):
     """Interior edges of eight bins over the positive values, without repeats."""
-    return C.quantile_edges(long_form(order_vec(spark, sf_dir)), 8).select(J, F.explode("edges").alias("edge")).select("j", r6(F.col("edge")).alias("edge")).distinct()
+    return C.quantile_edges(long_form(order_vec(spark, sf_dir)), 8).select(column(), F.explode("edges").alias("edge")).select("j", r6(F.col("edge")).alias("edge")).distinct()
 
 
 @query("target_corr", f"""
@@ -155,7 +160,7 @@ def target_corr(spark, sf_dir):
     """Pearson and Spearman correlation of each column with the label; ranks of a 0/1 label do not change it."""
     long = long_form(vec_relu(spark, sf_dir))
     ranked = long.join(average_rank_by_counts(long, "v", "j"), ["j", "v"])
-    return ranked.groupBy("j").agg(r6(F.corr("v", F.col("y").cast("double"))).alias("pearson"), r6(F.corr("rank", F.col("y").cast("double"))).alias("spearman")).select(J, "pearson", "spearman")
+    return ranked.groupBy("j").agg(r6(F.corr("v", F.col("y").cast("double"))).alias("pearson"), r6(F.corr("rank", F.col("y").cast("double"))).alias("spearman")).select(column(), "pearson", "spearman")
 
 
 @query("pearson_pairs", f"""
@@ -185,7 +190,7 @@ def feature_descriptors(spark, sf_dir):
     """Mean, deviation, share of zeros and six quantiles per column."""
     long, p = long_form(order_vec(spark, sf_dir)), [5, 25, 50, 75, 90, 95]
     m = long.groupBy("j").agg(r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v")).alias("std"), r6(F.avg((F.col("v") == 0).cast("double"))).alias("zero_share"))
-    return m.join(quantiles(long, [k / 100 for k in p], "j"), "j").select(J, "mean", "std", "zero_share", *[r6(F.col("q")[i]).alias(f"q{k:02d}") for i, k in enumerate(p)])
+    return m.join(quantiles(long, [k / 100 for k in p], "j"), "j").select(column(), "mean", "std", "zero_share", *[r6(F.col("q")[i]).alias(f"q{k:02d}") for i, k in enumerate(p)])
 
 
 @query("hist_by_class", f"""
@@ -204,4 +209,4 @@ SELECT CAST(j AS INTEGER) AS j, round(gap, 6) AS gap FROM g ORDER BY abs(gap) DE
 def column_top_k(spark, sf_dir):
     """The ten columns with the largest class gap in size."""
     gap = F.avg(F.when(F.col("y") == 1, F.col("v"))) - F.avg(F.when(F.col("y") == 0, F.col("v")))
-    return long_form(vec_relu(spark, sf_dir)).groupBy("j").agg(gap.alias("gap")).orderBy(F.abs("gap").desc(), "j").limit(10).select(J, r6(F.col("gap")).alias("gap"))
+    return long_form(vec_relu(spark, sf_dir)).groupBy("j").agg(gap.alias("gap")).orderBy(F.abs("gap").desc(), "j").limit(10).select(column(), r6(F.col("gap")).alias("gap"))

@@ -12,7 +12,12 @@ from ..operators.ranks import feature_auc, quantiles
 from ..sources.fixtures import ORDER_VEC, VEC_PAIRS, VEC_RELU, long_form, order_vec, vec_pairs, vec_relu
 from .register import query
 
-J = F.col("j").cast("int").alias("j")
+
+def column():
+    """The column's number as an int."""
+    return F.col("j").cast("int").alias("j")
+
+
 SEED, FOLDS, BINS, ALPHA = 11, 5, 8, 5.0
 
 #: SQL of the pieces below; `fold` of each row and the models that may see it.
@@ -116,7 +121,7 @@ def oof_scaler(spark, sf_dir):
     long = _folded(vec_relu(spark, sf_dir))
     state = K.training(long, FOLDS).groupBy("model", "j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     z = (F.col("v") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))
-    return _oof_rows(long).join(F.broadcast(state), ["model", "j"]).select("id", F.col("model").alias("fold"), J, r6(z).alias("z"))  # a row per fold and column
+    return _oof_rows(long).join(F.broadcast(state), ["model", "j"]).select("id", F.col("model").alias("fold"), column(), r6(z).alias("z"))  # a row per fold and column
 
 
 @query("robust_scaler", f"""
@@ -126,7 +131,7 @@ def robust_scaler(spark, sf_dir):
     """Values less the median, over the quartile range."""
     long = long_form(order_vec(spark, sf_dir))
     q = quantiles(long, [0.25, 0.5, 0.75], "j").select("j", F.col("q")[1].alias("m"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
-    return long.join(F.broadcast(q), "j").select("id", J, r6((F.col("v") - F.col("m")) / F.when(F.col("iqr") == 0, 1.0).otherwise(F.col("iqr"))).alias("z"))
+    return long.join(F.broadcast(q), "j").select("id", column(), r6((F.col("v") - F.col("m")) / F.when(F.col("iqr") == 0, 1.0).otherwise(F.col("iqr"))).alias("z"))
 
 
 @query("bin_counts", f"""
@@ -135,7 +140,7 @@ SELECT CAST(model AS INTEGER) AS model, CAST(j AS INTEGER) AS j, CAST(bin AS INT
 def bin_counts(spark, sf_dir):
     """Class counts and log ratios of every bin of every model."""
     _, _, ratios = _fitted(_folded(vec_relu(spark, sf_dir)))
-    return ratios.select("model", J, F.col("bin").cast("int").alias("bin"), "c0", "c1", r6(F.col("llr")).alias("llr"))
+    return ratios.select("model", column(), F.col("bin").cast("int").alias("bin"), "c0", "c1", r6(F.col("llr")).alias("llr"))
 
 
 @query("coord_llr", f"""
@@ -191,7 +196,7 @@ def evidence_binned(spark, sf_dir):
     long = _folded(vec_relu(spark, sf_dir))
     _, edges, ratios = _fitted(long, bins=12)
     clipped = F.least(F.greatest(F.col("llr"), F.lit(-9.21)), F.lit(9.21))
-    return K.score(_oof_rows(long), edges, ratios).select("id", J, r6(clipped).alias("evidence"))
+    return K.score(_oof_rows(long), edges, ratios).select("id", column(), r6(clipped).alias("evidence"))
 
 
 @query("llr_sensitivity", " UNION ALL ".join(f"""
@@ -203,7 +208,7 @@ def llr_sensitivity(spark, sf_dir):
     for bins, alpha in ((4, 1.0), (8, 5.0), (12, 5.0), (16, 10.0)):
         train = long.withColumn("model", F.lit(-1))
         ratios = K.fit_ratios(train, K.fit_edges(train, bins), alpha)
-        part = ratios.groupBy("j").agg(r6(F.max("llr") - F.min("llr")).alias("spread")).select(F.lit(bins).alias("bins"), F.lit(alpha).alias("alpha"), J, "spread")
+        part = ratios.groupBy("j").agg(r6(F.max("llr") - F.min("llr")).alias("spread")).select(F.lit(bins).alias("bins"), F.lit(alpha).alias("alpha"), column(), "spread")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -216,19 +221,19 @@ def feature_auc_top(spark, sf_dir):
     """The flagship: the ten coordinates that best separate the classes."""
     long = long_form(vec_relu(spark, sf_dir)).withColumn("model", F.lit(0))
     s = K.strengths(long).orderBy("place").limit(10)
-    return s.select(J, r6(F.col("auc")).alias("auc"), r6(F.greatest(F.col("auc"), 1 - F.col("auc"))).alias("best"), F.col("place").cast("int").alias("place"))
+    return s.select(column(), r6(F.col("auc")).alias("auc"), r6(F.greatest(F.col("auc"), 1 - F.col("auc"))).alias("best"), F.col("place").cast("int").alias("place"))
 
 
 @query("feature_auc_all", f"WITH {ORDER_VEC}, {_FEATURE_AUC} SELECT CAST(j AS INTEGER) AS j, round(auc, 6) AS auc FROM au")
 def feature_auc_all(spark, sf_dir):
     """AUC of every column of the order vectors."""
-    return feature_auc(long_form(order_vec(spark, sf_dir)), "j").select(J, r6(F.col("auc")).alias("auc"))
+    return feature_auc(long_form(order_vec(spark, sf_dir)), "j").select(column(), r6(F.col("auc")).alias("auc"))
 
 
 @query("pair_feature_auc", f"WITH {VEC_PAIRS}, {_FEATURE_AUC} SELECT CAST(j AS INTEGER) AS j, round(auc, 6) AS auc FROM au")
 def pair_feature_auc(spark, sf_dir):
     """AUC of every column of the pair vectors, with few positives."""
-    return feature_auc(long_form(vec_pairs(spark, sf_dir)), "j").select(J, r6(F.col("auc")).alias("auc"))
+    return feature_auc(long_form(vec_pairs(spark, sf_dir)), "j").select(column(), r6(F.col("auc")).alias("auc"))
 
 
 @query("univariate_weights", f"""
@@ -241,7 +246,7 @@ def univariate_weights(spark, sf_dir):
     top = F.broadcast(s.agg(F.max("s").alias("top")))  # one row
     of = lambda f, c: f(F.when(F.col("y") == c, F.col("v")))
     d = long.groupBy("j").agg((F.abs(of(F.avg, 1) - of(F.avg, 0)) / F.sqrt((of(F.var_samp, 1) + of(F.var_samp, 0)) / 2 + 1e-10)).alias("d"))
-    return s.join(top).join(d, "j").select(J, F.round(F.pow(F.col("s") / F.col("top"), F.lit(0.5)), 5).alias("weight"), r6(F.col("d")).alias("effect"))
+    return s.join(top).join(d, "j").select(column(), F.round(F.pow(F.col("s") / F.col("top"), F.lit(0.5)), 5).alias("weight"), r6(F.col("d")).alias("effect"))
 
 
 @query("class_centroid_geometry", f"""

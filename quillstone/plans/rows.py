@@ -9,9 +9,6 @@ from ..functions.vectors import r6
 from ..sources.fixtures import ORDER_VEC, VEC_RELU, long_form, order_vec, vec_relu
 from .register import query
 
-X = F.col("x")
-
-
 @query("row_aggregates_v1", f"""
 WITH {VEC_RELU}
 SELECT id, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_samp(v), 6) AS std, round(var_samp(v), 6) AS var, round(mad(v), 6) AS mad, round(min(v), 6) AS min,
@@ -20,9 +17,9 @@ SELECT id, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev
 FROM l GROUP BY id""")
 def row_aggregates_v1(spark, sf_dir):
     """Thirteen aggregates of each row with the sample deviation."""
-    s = F.sort_array(X)
+    s = F.sort_array(F.col("x"))
     q = lambda p: V.quantile(s, p)
-    named = {"mean": V.mean(X), "median": q(0.5), "std": F.sqrt(V.variance(X, 1)), "var": V.variance(X, 1), "mad": V.median_deviation(X), "min": F.array_min(X), "q1": q(0.25), "q2": q(0.5), "q3": q(0.75), "max": F.array_max(X), "iqr": q(0.75) - q(0.25), "total": V.total(X)}
+    named = {"mean": V.mean(F.col("x")), "median": q(0.5), "std": F.sqrt(V.variance(F.col("x"), 1)), "var": V.variance(F.col("x"), 1), "mad": V.median_deviation(F.col("x")), "min": F.array_min(F.col("x")), "q1": q(0.25), "q2": q(0.5), "q3": q(0.75), "max": F.array_max(F.col("x")), "iqr": q(0.75) - q(0.25), "total": V.total(F.col("x"))}
     return vec_relu(spark, sf_dir).select("id", *[r6(c).alias(n) for n, c in named.items()])
 
 
@@ -33,10 +30,10 @@ SELECT id, round(sum(v), 6) AS total, CAST(count(*) FILTER (v = 0) AS BIGINT) AS
 FROM l GROUP BY id""")
 def row_aggregates_v2(spark, sf_dir):
     """Seven aggregates with the sample deviation; a zero denominator gives null."""
-    s = F.sort_array(X)
+    s = F.sort_array(F.col("x"))
     return order_vec(spark, sf_dir).select(
-        "id", r6(V.total(X)).alias("total"), V.zeros(X).alias("count_zeros"), r6(F.try_divide(F.sqrt(V.variance(X, 1)), V.mean(X))).alias("relative_std"), r6(F.try_divide(F.array_max(X), V.total(X))).alias("max_share"),
-        r6(F.try_divide(V.quantile(s, 0.9), V.quantile(s, 0.5))).alias("q90_median_ratio"), r6(F.array_max(X)).alias("max"), r6(V.total(V.log1p(X))).alias("log1p_sum"),
+        "id", r6(V.total(F.col("x"))).alias("total"), V.zeros(F.col("x")).alias("count_zeros"), r6(F.try_divide(F.sqrt(V.variance(F.col("x"), 1)), V.mean(F.col("x")))).alias("relative_std"), r6(F.try_divide(F.array_max(F.col("x")), V.total(F.col("x")))).alias("max_share"),
+        r6(F.try_divide(V.quantile(s, 0.9), V.quantile(s, 0.5))).alias("q90_median_ratio"), r6(F.array_max(F.col("x"))).alias("max"), r6(V.total(V.log1p(F.col("x")))).alias("log1p_sum"),
     )
 
 
@@ -48,9 +45,9 @@ FROM l GROUP BY id""")
 def row_aggregates_v3(spark, sf_dir):
     """Six aggregates with the population deviation; denominators are at least EPS."""
     floor = lambda c: F.greatest(F.abs(c), F.lit(V.EPS))
-    clipped = F.transform(X, lambda v: F.log1p(F.greatest(v, F.lit(0.0))))
+    clipped = F.transform(F.col("x"), lambda v: F.log1p(F.greatest(v, F.lit(0.0))))
     return vec_relu(spark, sf_dir).select(
-        "id", r6(V.total(X)).alias("total"), V.zeros(X).alias("count_zeros"), r6(F.sqrt(V.variance(X, 0)) / floor(V.mean(X))).alias("relative_std"), r6(F.array_max(X) / floor(V.total(X))).alias("max_share"), r6(F.array_max(X)).alias("max"), r6(V.total(clipped)).alias("log1p_sum"),
+        "id", r6(V.total(F.col("x"))).alias("total"), V.zeros(F.col("x")).alias("count_zeros"), r6(F.sqrt(V.variance(F.col("x"), 0)) / floor(V.mean(F.col("x")))).alias("relative_std"), r6(F.array_max(F.col("x")) / floor(V.total(F.col("x")))).alias("max_share"), r6(F.array_max(F.col("x"))).alias("max"), r6(V.total(clipped)).alias("log1p_sum"),
     )
 
 
@@ -61,10 +58,10 @@ SELECT id, round(sum(v), 6) AS total, CAST(count(*) FILTER (v = 0) AS BIGINT) AS
 FROM l GROUP BY id""")
 def row_aggregates_v4(spark, sf_dir):
     """Five aggregates with the population deviation; a zero denominator gives zero."""
-    s, zero = F.sort_array(X), F.lit(0.0)
+    s, zero = F.sort_array(F.col("x")), F.lit(0.0)
     return order_vec(spark, sf_dir).select(
-        "id", r6(V.total(X)).alias("total"), V.zeros(X).alias("count_zeros"), r6(F.coalesce(F.try_divide(F.sqrt(V.variance(X, 0)), V.mean(X)), zero)).alias("relative_std"),
-        r6(F.coalesce(F.try_divide(F.array_max(X), V.total(X)), zero)).alias("max_share"), r6(F.coalesce(F.try_divide(V.quantile(s, 0.9), V.quantile(s, 0.5)), zero)).alias("q90_median_ratio"),
+        "id", r6(V.total(F.col("x"))).alias("total"), V.zeros(F.col("x")).alias("count_zeros"), r6(F.coalesce(F.try_divide(F.sqrt(V.variance(F.col("x"), 0)), V.mean(F.col("x"))), zero)).alias("relative_std"),
+        r6(F.coalesce(F.try_divide(F.array_max(F.col("x")), V.total(F.col("x"))), zero)).alias("max_share"), r6(F.coalesce(F.try_divide(V.quantile(s, 0.9), V.quantile(s, 0.5)), zero)).alias("q90_median_ratio"),
     )
 
 
@@ -75,8 +72,8 @@ SELECT id, CAST(count(*) FILTER (v <= 0) AS BIGINT) AS n_zero, CAST(count(*) FIL
 FROM l GROUP BY id""")
 def row_thresholds(spark, sf_dir):
     """Counts of values below thresholds, raw and logarithmic, the 95% quantile and the log norm."""
-    g = V.log1p(X)
-    return vec_relu(spark, sf_dir).select("id", F.size(F.filter("x", lambda v: v <= 0)).cast("long").alias("n_zero"), V.count_below(X, 0.5).alias("n_05"), V.count_below(g, 0.1).alias("n_log_01"), V.count_below(g, 0.2).alias("n_log_02"), r6(V.quantile(F.sort_array(X), 0.95)).alias("q95"), r6(V.norm(g, 1)).alias("log_l1"))
+    g = V.log1p(F.col("x"))
+    return vec_relu(spark, sf_dir).select("id", F.size(F.filter("x", lambda v: v <= 0)).cast("long").alias("n_zero"), V.count_below(F.col("x"), 0.5).alias("n_05"), V.count_below(g, 0.1).alias("n_log_01"), V.count_below(g, 0.2).alias("n_log_02"), r6(V.quantile(F.sort_array(F.col("x")), 0.95)).alias("q95"), r6(V.norm(g, 1)).alias("log_l1"))
 
 
 @query("row_energy", f"""
@@ -86,7 +83,7 @@ FROM s GROUP BY id""")
 def row_energy(spark, sf_dir):
     """Entropy, its exponential, sum of squares and the top mass of each row as a distribution."""
     p = F.transform("x", lambda v: F.coalesce(F.try_divide(v, F.col("sum")), F.lit(0.0)))
-    rows = vec_relu(spark, sf_dir).withColumn("sum", V.total(X)).select("id", p.alias("p"))
+    rows = vec_relu(spark, sf_dir).withColumn("sum", V.total(F.col("x"))).select("id", p.alias("p"))
     entropy = -V.total(F.transform("p", lambda v: F.when(v > 0, v * F.ln(v)).otherwise(0.0)))
     return rows.select("id", r6(entropy).alias("entropy"), r6(F.exp(entropy)).alias("effective"), r6(V.dot(F.col("p"), F.col("p"))).alias("energy"), r6(V.total(F.slice(F.sort_array("p", asc=False), 1, 8))).alias("top8"))
 
@@ -96,8 +93,8 @@ WITH {VEC_RELU}, n AS (SELECT *, sum(abs(v)) OVER (PARTITION BY id) AS n1, sqrt(
 SELECT id, CAST(j AS INTEGER) AS j, round(coalesce(v / nullif(n1, 0), 0), 6) AS composition, round(coalesce(v / nullif(n2, 0), 0), 6) AS direction, round(ln(1 + n1), 6) AS log_n1, round(ln(1 + n2), 6) AS log_n2 FROM n""")
 def normalize_l1_l2(spark, sf_dir):
     """Each row over its L1 and L2 norm, with the logarithms of the norms."""
-    rows = vec_relu(spark, sf_dir).withColumn("n1", V.norm(X, 1)).withColumn("n2", V.norm(X, 2))
-    rows = rows.select("id", "n1", "n2", F.posexplode(F.arrays_zip(V.scaled(X, F.col("n1")).alias("a"), V.scaled(X, F.col("n2")).alias("b"))).alias("j", "p"))
+    rows = vec_relu(spark, sf_dir).withColumn("n1", V.norm(F.col("x"), 1)).withColumn("n2", V.norm(F.col("x"), 2))
+    rows = rows.select("id", "n1", "n2", F.posexplode(F.arrays_zip(V.scaled(F.col("x"), F.col("n1")).alias("a"), V.scaled(F.col("x"), F.col("n2")).alias("b"))).alias("j", "p"))
     return rows.select("id", "j", r6(F.col("p.a")).alias("composition"), r6(F.col("p.b")).alias("direction"), r6(F.log1p("n1")).alias("log_n1"), r6(F.log1p("n2")).alias("log_n2"))
 
 
@@ -106,7 +103,7 @@ WITH {VEC_RELU}, s AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY v)
 SELECT id, CAST(k AS INTEGER) AS k, round(v, 6) AS sorted, round(v - m, 6) + 0.0 AS by_mean, round(v - d, 6) + 0.0 AS by_median FROM s""")
 def row_sorted_shape(spark, sf_dir):
     """The sorted row, and the same less its mean and less its median."""
-    rows = vec_relu(spark, sf_dir).select("id", F.sort_array("x").alias("s"), V.mean(X).alias("m"), V.median(X).alias("d"))
+    rows = vec_relu(spark, sf_dir).select("id", F.sort_array("x").alias("s"), V.mean(F.col("x")).alias("m"), V.median(F.col("x")).alias("d"))
     return rows.select("id", "m", "d", F.posexplode("s").alias("k", "v")).select("id", "k", r6(F.col("v")).alias("sorted"), r6(F.col("v") - F.col("m")).alias("by_mean"), r6(F.col("v") - F.col("d")).alias("by_median"))
 
 
@@ -119,7 +116,7 @@ WITH {VEC_RELU}, s AS (SELECT id, {_blocks(2)} AS a, {_blocks(4)} AS b, {_blocks
 SELECT id, CAST(unnest(generate_series(0, 63)) AS INTEGER) AS k, unnest(a) AS by2, unnest(b) AS by4, unnest(c) AS by8 FROM s""")
 def block_sort(spark, sf_dir):
     """Rows with 2, 4 and 8 equal blocks sorted each."""
-    zipped = F.arrays_zip(*[V.block_sort(X, n).alias(f"by{n}") for n in (2, 4, 8)])
+    zipped = F.arrays_zip(*[V.block_sort(F.col("x"), n).alias(f"by{n}") for n in (2, 4, 8)])
     return vec_relu(spark, sf_dir).select("id", F.posexplode(zipped).alias("k", "p")).select("id", "k", "p.by2", "p.by4", "p.by8")
 
 
@@ -139,7 +136,7 @@ SELECT id, y, CAST(swapped AS INTEGER) AS swapped, CAST(unnest(generate_series(0
 def swap_halves_union(spark, sf_dir):
     """All rows and once more with their halves swapped."""
     rows = vec_relu(spark, sf_dir)
-    both = rows.select("id", "y", F.lit(0).alias("swapped"), "x").unionByName(rows.select("id", "y", F.lit(1).alias("swapped"), V.swap_halves(X).alias("x")))
+    both = rows.select("id", "y", F.lit(0).alias("swapped"), "x").unionByName(rows.select("id", "y", F.lit(1).alias("swapped"), V.swap_halves(F.col("x")).alias("x")))
     return both.select("id", "y", "swapped", F.posexplode("x").alias("j", "v"))
 
 

@@ -44,3 +44,11 @@ def test_entry_gives_the_flagship(spark):
 
 def test_every_oracle_has_its_query():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+def test_names_can_be_read_without_a_session():
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True, cwd=os.path.dirname(entry_point.__file__))
+    assert said.returncode == 0, said.stderr
