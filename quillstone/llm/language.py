@@ -54,7 +54,7 @@ def _keys(data: np.ndarray):
 
 @dataclass
 class Model:
-    """slots[s]: bit l is set if language l has an n-gram there; rates: false positives per language."""
+    """slots[s, l // 64]: bit l % 64 is set if language l has an n-gram there; rates: false positives per language."""
 
     langs: list[str]
     slots: np.ndarray
@@ -64,12 +64,12 @@ class Model:
     @classmethod
     def build(cls, grams: dict[str, np.ndarray], log2_slots: int = 20, hashes: int = 2) -> Model:
         langs = sorted(grams)
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(langs) <= np.iinfo(t).bits)
-        slots = np.zeros(1 << log2_slots, kind)
+        kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(langs) <= np.iinfo(t).bits), np.uint64)
+        slots = np.zeros((1 << log2_slots, max(1, -(-len(langs) // 64))), kind)
         for i, lang in enumerate(langs):
             for place in cls._places(grams[lang], log2_slots, hashes):
-                slots[place] |= kind(1 << i)
-        full = np.array([((slots >> kind(i)) & kind(1)).mean() for i in range(len(langs))])
+                slots[place, i // 64] |= kind(1 << i % 64)
+        full = np.array([cls._has(slots, i).mean() for i in range(len(langs))])
         return cls(langs, slots, full**hashes, hashes)
 
     @staticmethod
@@ -78,6 +78,12 @@ class Model:
             h = keys * np.uint64(m)
             yield (h ^ h >> np.uint64(29)) * np.uint64(_MULTIPLIERS[-1]) >> np.uint64(64 - log2_slots)
 
+    @staticmethod
+    def _has(masks: np.ndarray, i: int) -> np.ndarray:
+        """Language i's bit of each mask."""
+        kind = masks.dtype.type
+        return masks[:, i // 64] >> kind(i % 64) & kind(1)
+
     def masks(self, keys: np.ndarray) -> np.ndarray:
         """The bitmask of languages that contain each n-gram."""
         log2_slots, mask = len(self.slots).bit_length() - 1, None
@@ -93,7 +99,7 @@ class Model:
         for keys in _keys(data):
             mask = self.masks(keys)
             for i in range(len(self.langs)):
-                hits[:, i] += np.add.reduceat((mask >> mask.dtype.type(i) & mask.dtype.type(1)).astype(np.int32), starts[:-1])
+                hits[:, i] += np.add.reduceat(self._has(mask, i).astype(np.int32), starts[:-1])
         n = np.diff(starts)[:, None] * len(SIZES)
         return np.maximum(0, (hits - n * self.rates) / (1 - self.rates))
 

@@ -169,6 +169,15 @@ def test_languages_are_told_apart(spark):
     assert {r.lang_pred for r in language.identify(probe, nothing).collect()} == {"und"}
 
 
+def test_more_languages_than_bits_of_a_word():
+    words = {f"l{i:03d}": f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3}" for i in range(70)}
+    grams = {k: np.concatenate(list(language._keys(language._join([w])[0]))) for k, w in words.items()}
+    model = language.Model.build(grams, hashes=3)
+    assert model.slots.shape[1] == 2
+    langs, _ = model.predict(list(words.values()))
+    assert langs == sorted(words)
+
+
 # --- URL filter
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/")]
