@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import narrow, small, unit_hash
 from .tokens import in_blocks
 
 UNKNOWN = "und"
@@ -122,9 +122,12 @@ def fit(docs: DataFrame, max_docs: int = 2000, least_share: float = 2e-5, relati
     1 / least_share n-grams, the bound of what the driver gathers.
     """
     docs = narrow(docs, doc_id=doc_id, text=text, lang=lang).where("lang is not null and text is not null")
-    # Ids first: no text is sorted or shuffled for the choice of the sample.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_docs).select("doc_id").distinct()
+    # Ids first: no text is sorted or shuffled for the choice of the sample.  Only hashes that can be among the
+    # smallest are put in order, so a language with most of the documents is no task of its own.
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("size"))
+    likely = docs.select("doc_id", "lang", unit_hash("doc_id").alias("u")).join(small(sizes), "lang").where(F.col("u") * F.col("size") < 1.25 * max_docs + 50)
+    order = Window.partitionBy("lang").orderBy("u", "doc_id")
+    chosen = likely.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_docs).select("doc_id").distinct()
     sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most max_docs ids per language
 
     def count(batches):

@@ -28,7 +28,7 @@ from .common import materialize, small
 
 BLANKS = r"[ \t\x0B\f\r]+"
 FIELD = "<*>"
-MIXED_ROWS = 1_000_000  # leaves (8 bytes each) up to which they are broadcast
+KEY_ROWS = 1_000_000  # keys of 8 bytes up to which they are broadcast
 
 
 def tidy(line: Column) -> Column:
@@ -61,7 +61,7 @@ def templates(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_toke
     lines = materialize(lines.select("doc_id", "doc", "pos", "n", words.alias("words"), leaf.alias("leaf"), a.alias("h1"), b.alias("h2"), "m"), "line-masked")
 
     mixed = lines.groupBy("leaf").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("doc").alias("c"), F.max("doc").alias("d")).where("a <> b and c <> d").select("leaf")
-    forms = lines.join(small(mixed, MIXED_ROWS), "leaf", "left_semi").groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"), F.min("m").alias("m"), F.min("doc").alias("d1"), F.max("doc").alias("d2"))
+    forms = lines.join(small(mixed, KEY_ROWS), "leaf", "left_semi").groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"), F.min("m").alias("m"), F.min("doc").alias("d1"), F.max("doc").alias("d2"))
     forms = materialize(forms, "line-forms")
     parts = forms.select("h1", "h2", "leaf", "d1", "d2", F.posexplode(F.split("m", " ")).alias("at", "token"))
     constant = parts.groupBy("leaf", "at", "token").agg(F.min("d1").alias("d1"), F.max("d2").alias("d2")).where("d1 <> d2").select("leaf", "at", "token", F.lit(True).alias("constant"))
@@ -72,6 +72,7 @@ def templates(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_toke
     wide = rebuilt.where((F.col("same") >= similarity * F.col("n")) & (F.col("same") < F.col("n")) & (F.col("plain") >= 2))
     text = F.array_join(F.transform("tokens", lambda t: t.token), " ")
     wide = wide.select("h1", "h2", *[k.alias(n) for k, n in zip(_key(text), ("g1", "g2"))])
+    wide = small(materialize(wide, "line-wide"))
     return lines.join(wide, ["h1", "h2"], "left").select("doc_id", "doc", "pos", "n", "words", F.coalesce("g1", "h1").alias("t1"), F.coalesce("g2", "h2").alias("t2"))
 
 
@@ -86,8 +87,10 @@ def dedup_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_do
     groups = usable.groupBy("t1", "t2", "doc").agg(F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.max("n").alias("n")).groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.max("n").alias("n"))
     recurring = groups.where((F.col("docs") >= min_docs) | ((F.col("docs") >= 2) & (F.col("n") >= long_tokens))).select("t1", "t2", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
     gone = usable.join(recurring, ["t1", "t2"]).where((F.col("doc") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos")))
-    gone = gone.groupBy("doc").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc", "__doc")
-    joined = keyed.join(gone, "__doc", "left")
+    gone = materialize(gone.groupBy("doc").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc", "__doc"), "line-gone")
+    # Documents that lose nothing are told by their keys and are not moved, as long as the keys are few.
+    keys = small(gone.select("__doc"), KEY_ROWS)
+    joined = keyed.join(keys, "__doc", "left_semi").join(gone, "__doc").unionByName(keyed.join(keys, "__doc", "left_anti").withColumn("__gone", F.lit(None).cast("array<int>")))
     split = F.split(F.col(f"`{text}`"), "\n")
     kept = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
     return joined.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in own], F.coalesce(F.size(split), F.lit(0)).cast("long").alias("lines_seen"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("lines_dropped"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, narrow
+from .common import materialize, narrow, small
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)  # of a byte
 
@@ -106,7 +106,7 @@ def near_pairs(fps: DataFrame, radius: int = 3, tile: int = 2048, blocks: int =
     """
     fps = fps.select("fp", _cell(F.col("fp"), blocks).alias("cell"))
     sizes = fps.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("parts"))
-    cut = fps.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    cut = fps.join(small(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     tiles = materialize(cut.groupBy("cell", "part").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
     # Half of the steps within the radius, so that each pair of cells meets once.
     steps = [s for s in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, s)) <= radius and s >= (0,) * blocks]
