@@ -12,7 +12,7 @@ equal long lines are no accident.  Lines with fewer than `min_tokens` tokens, or
 constant words, stay.
 
 Scale: exact repeats are grouped before tokens are taken apart, and only leaves with
-different lines take them apart.  All groups are counted with partial aggregates.
+different lines take them apart; tokens move as hashes, without the leading ones.  All groups are counted with partial aggregates.
 
 Defined cases: null texts stay null; empty ones stay empty.  Rows with equal doc_id and text
 are one document and lose the same lines.  A null doc_id comes first in the order.  An
@@ -29,6 +29,7 @@ from .common import materialize, small
 BLANKS = r"[ \t\x0B\f\r]+"
 FIELD = "<*>"
 KEY_ROWS = 1_000_000  # keys of 8 bytes up to which they are broadcast
+PLACES = 2_000_000  # dropped lines (4 bytes each) up to which their documents' lists are broadcast
 
 
 def tidy(line: Column) -> Column:
@@ -61,16 +62,22 @@ def templates(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_toke
     lines = materialize(lines.select("doc_id", "doc", "pos", "n", words.alias("words"), leaf.alias("leaf"), a.alias("h1"), b.alias("h2"), "m"), "line-masked")
 
     mixed = lines.groupBy("leaf").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("doc").alias("c"), F.max("doc").alias("d")).where("a <> b and c <> d").select("leaf")
-    forms = lines.join(small(mixed, KEY_ROWS), "leaf", "left_semi").groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"), F.min("m").alias("m"), F.min("doc").alias("d1"), F.max("doc").alias("d2"))
-    forms = materialize(forms, "line-forms")
-    parts = forms.select("h1", "h2", "leaf", "d1", "d2", F.posexplode(F.split("m", " ")).alias("at", "token"))
-    constant = parts.groupBy("leaf", "at", "token").agg(F.min("d1").alias("d1"), F.max("d2").alias("d2")).where("d1 <> d2").select("leaf", "at", "token", F.lit(True).alias("constant"))
-    rebuilt = (
-        parts.select("h1", "h2", "leaf", "at", "token").join(constant, ["leaf", "at", "token"], "left")
-        .groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("constant") | (F.col("token") == FIELD), F.col("token")).otherwise(FIELD).alias("token")))).alias("tokens"), F.count("*").alias("n"), F.count_if(F.col("constant") | (F.col("token") == FIELD)).alias("same"), F.count_if(F.col("constant") & (F.col("token") != FIELD)).alias("plain"))
-    )
-    wide = rebuilt.where((F.col("same") >= similarity * F.col("n")) & (F.col("same") < F.col("n")) & (F.col("plain") >= 2))
-    text = F.array_join(F.transform("tokens", lambda t: t.token), " ")
+    forms = lines.join(small(materialize(mixed, "line-mixed"), KEY_ROWS), "leaf", "left_semi").groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"), F.min("m").alias("m"), F.min("doc").alias("d1"), F.max("doc").alias("d2"))
+    forms = materialize(forms.withColumn("form", F.monotonically_increasing_id()), "line-forms")
+    # The leading tokens are constant, since the leaf has several documents; the others move as hashes of their places.
+    parts = forms.select("form", "leaf", "d1", "d2", F.posexplode(F.split("m", " ")).alias("at", "token")).where((F.col("at") >= depth) & (F.col("token") != FIELD))
+    parts = parts.select("form", "at", F.xxhash64("leaf", "at", "token").alias("spot"), "d1", "d2")
+    constant = parts.groupBy("spot").agg(F.min("d1").alias("d1"), F.max("d2").alias("d2")).where("d1 <> d2").select("spot")
+    places = parts.select("form", "at", "spot").join(constant, "spot", "left_semi").groupBy("form").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    rebuilt = forms.join(places, "form", "left").select("h1", "h2", F.split("m", " ").alias("tokens"), F.coalesce("ats", F.array().cast("array<int>")).alias("ats"))
+    n, lead = F.size("tokens"), F.filter("tokens", lambda t, i: (i < depth) & (t != FIELD))
+    plain, fields = F.size("ats") + F.size(lead), F.size(F.filter("tokens", lambda t: t == FIELD))
+    wide = rebuilt.where((plain + fields >= similarity * n) & (plain + fields < n) & (plain >= 2))
+    # A flag for each token: 1 if it is constant.
+    before = lambda i: F.when(i == 0, F.lit(depth - 1)).otherwise(F.get("ats", i - 1))
+    flags = F.array_join(F.transform("ats", lambda at, i: F.concat(F.repeat(F.lit("0"), at - before(i) - 1), F.lit("1"))), "")
+    flags = F.split(F.rpad(F.concat(F.lit("1" * depth), flags), n, F.lit("0")), "")
+    text = F.array_join(F.zip_with("tokens", flags, lambda t, f: F.when(f == "1", t).otherwise(FIELD)), " ")
     wide = wide.select("h1", "h2", *[k.alias(n) for k, n in zip(_key(text), ("g1", "g2"))])
     wide = small(materialize(wide, "line-wide"))
     return lines.join(wide, ["h1", "h2"], "left").select("doc_id", "doc", "pos", "n", "words", F.coalesce("g1", "h1").alias("t1"), F.coalesce("g2", "h2").alias("t2"))
@@ -88,9 +95,11 @@ def dedup_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_do
     recurring = groups.where((F.col("docs") >= min_docs) | ((F.col("docs") >= 2) & (F.col("n") >= long_tokens))).select("t1", "t2", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
     gone = usable.join(recurring, ["t1", "t2"]).where((F.col("doc") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos")))
     gone = materialize(gone.groupBy("doc").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc", "__doc"), "line-gone")
-    # Documents that lose nothing are told by their keys and are not moved, as long as the keys are few.
-    keys = small(gone.select("__doc"), KEY_ROWS)
-    joined = keyed.join(keys, "__doc", "left_semi").join(gone, "__doc").unionByName(keyed.join(keys, "__doc", "left_anti").withColumn("__gone", F.lit(None).cast("array<int>")))
+    if gone.select(F.explode("__gone")).limit(PLACES + 1).count() <= PLACES:
+        joined = keyed.join(F.broadcast(gone), "__doc", "left")
+    else:  # documents that lose nothing are told by their keys and are not moved, as long as the keys are few
+        keys = small(gone.select("__doc"), KEY_ROWS)
+        joined = keyed.join(keys, "__doc", "left_semi").join(gone, "__doc").unionByName(keyed.join(keys, "__doc", "left_anti").withColumn("__gone", F.lit(None).cast("array<int>")))
     split = F.split(F.col(f"`{text}`"), "\n")
     kept = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
     return joined.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in own], F.coalesce(F.size(split), F.lit(0)).cast("long").alias("lines_seen"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("lines_dropped"))
