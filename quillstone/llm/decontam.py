@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, narrow, small
 
-#: What parts words, and the same with A-Z inside words.
+#: Words and what parts them.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -110,7 +109,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("item_ids", lambda i: i.cast("string")))))).alias("item_ids"),
     )
     per_doc = per_doc.select(F.col("doc_id").alias("d"), F.col("blob").alias("b"), covered(F.col("spans")).cast("long").alias("n_hit"), "item_ids")
-    base = narrow(docs, doc_id=doc_id, text=text).select("doc_id", F.md5("text").alias("blob"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
+    base = narrow(docs, doc_id=doc_id, text=text).select("doc_id", F.md5("text").alias("blob"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("blob") == F.col("b")), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
