@@ -1,0 +1,116 @@
+"""Near copies by exact Jaccard similarity of word shingles.
+
+Two texts are near copies if their sets of five-word shingles have a similarity of 4/5 or
+more; groups are the components of these links.  Candidates come from prefixes: under one
+order of all shingles, two such sets share one among the first n - ceil(4 n / 5) + 1 of
+each, so no pair is missed.  The order puts shingles that are frequent in a sample last
+and goes by hash else; it decides what is compared, never what is found.
+
+Links are sought twice.  First each shingle's texts meet one of them, which joins large groups
+with a number of pairs linear in their size.  Then all texts of a shingle meet that are not
+yet in one component.  Every link is verified on the whole sets.
+
+Scale: only prefixes (a fifth of the shingles) and candidates' sets move.  Equal sets are
+one node.  A shingle that is in the prefixes of many texts that are no near copies is
+compared with the square of their number; the order by frequency keeps this rare.
+
+Defined cases: words are parted by ASCII white space, A-Z count as a-z.  Fewer words than a
+shingle make one shingle; texts without words (null ones too) are one group and meet no
+others.  A null doc_id comes first in the order.  An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize, small
+from .simhash import components
+
+SAMPLE = 64  # one set in so many tells the frequent shingles
+FREQUENT = 3  # sets of the sample that hold a frequent shingle
+LISTED = 100_000  # frequent shingles (8 bytes each) that are sent to the tasks
+
+
+def shingles(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
+    """The sorted 64-bit hashes of the text's shingles, each once."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    joined = b" ".join(words)
+    n = max(1, len(words) - words_per_shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    last = ends[words_per_shingle - 1 :].tolist() or [len(joined)]
+    first = [0, *(ends[: n - 1] + 1).tolist()]
+    h = np.fromiter(map(xxhash.xxh64_intdigest, (joined[a:b] for a, b in zip(first, last)), repeat(42)), np.uint64, n)
+    return np.unique(h.view(np.int64))
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64), pa.int64()))
+
+
+def _sig(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def _sets(rows: DataFrame, frequent: list[int], whole: bool) -> DataFrame:
+    """k1, k2, sig, n and the shingles, or without whole only their prefix, of every row (k1, k2, text)."""
+    late = np.array(frequent, np.int64)
+
+    def run(batches):
+        for batch in batches:
+            found = [shingles(t.as_py()) for t in batch.column(2)]
+            sigs, sizes = pa.array(map(_sig, found), pa.int64()), pa.array(map(len, found), pa.int32())
+            if not whole:
+                masks = [np.isin(s, late) if len(late) else np.zeros(len(s), bool) for s in found]
+                found = [np.concatenate([s[~m], s[m]])[: len(s) + (-4 * len(s) // 5) + 1 if len(s) else 0] for s, m in zip(found, masks)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sigs, sizes, _lists(found)], ["k1", "k2", "sig", "n", "shingles"])
+
+    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, sig long, n int, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets have a similarity of 4/5 or more."""
+    a, b = (sets.select(F.col("sig").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "uv")
+    both = F.size(F.array_intersect("set_u", "set_v"))
+    return pairs.join(a, "u").join(b, "v").where(9 * both >= 4 * (F.size("set_u") + F.size("set_v"))).select("u", "v")
+
+
+def first_of_near_copies(docs: DataFrame) -> DataFrame:
+    """(k1, k2) of the first row of each group; docs: k1, k2 (key of the row), doc_id, text.  The order is by doc_id, then by key."""
+    sample = docs.where(F.pmod("k1", F.lit(SAMPLE)) == 0)
+    common = _sets(sample, [], True).dropDuplicates(["sig"]).select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT)
+    frequent = [r.s for r in common.orderBy(F.desc("count"), "s").limit(LISTED).collect()]
+    found = materialize(_sets(docs, frequent, False), "near-docs")
+    keys = docs.select("k1", "k2", "doc_id").join(found.select("k1", "k2", "sig"), ["k1", "k2"])
+    firsts = materialize(keys.groupBy("sig").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("first")), "near-firsts")
+
+    posts = found.dropDuplicates(["sig"]).select("sig", "n", F.explode("shingles").alias("s"))
+    posts = materialize(posts, "near-prefixes")
+    hubs = materialize(posts.groupBy("s").agg(F.min("sig").alias("hub"), F.max("sig").alias("other"), F.min_by("n", "sig").alias("hub_n")).where("hub <> other").select("s", "hub", "hub_n"), "near-hubs")
+    posts = materialize(posts.join(small(hubs), "s"), "near-posts")
+    alike = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+    spokes = materialize(posts.where((F.col("sig") != F.col("hub")) & alike("n", "hub_n")).select(F.col("hub").alias("u"), F.col("sig").alias("v")).distinct(), "near-spokes")
+    wanted = firsts.join(small(posts.select("sig").distinct()), "sig", "left_semi").select("first.k1", "first.k2")
+    sets = materialize(_sets(docs.join(small(wanted), ["k1", "k2"], "left_semi"), [], True).dropDuplicates(["sig"]).select("sig", "shingles"), "near-sets")
+    links = materialize(_verified(spokes, sets), "near-links")
+
+    roots = components(links)
+    rooted = posts.join(small(roots.withColumnRenamed("node", "sig")), "sig", "left").select("s", "sig", "n", F.coalesce("root", "sig").alias("root"))
+    rooted = materialize(rooted, "near-rooted")
+    open_ = rooted.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
+    rooted = rooted.join(small(materialize(open_, "near-open")), "s", "left_semi")
+    u, v = (rooted.select("s", F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}")) for x in "uv")
+    pairs = u.join(v, "s").where((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & alike("n_u", "n_v")).select("u", "v").distinct()
+    more = _verified(materialize(pairs.join(spokes, ["u", "v"], "left_anti"), "near-pairs"), sets)
+
+    roots = components(links.unionByName(more))
+    ids = firsts.join(roots.withColumnRenamed("node", "sig"), "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("first"))
+    return ids.select("first.k1", "first.k2")

@@ -92,3 +92,48 @@ def test_all_eleven_are_registered():
 
     names = e.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def near_texts():
+    """Bases of 60 to 200 words with a chain of copies, and chance pairs of short texts."""
+    import random
+
+    rng, texts = random.Random(5), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    for n in range(60, 200, 4):
+        base = [word() for _ in range(n)]
+        texts.append(base)
+        for _ in range(2):  # changed words far apart cost five shingles each
+            base = list(base)
+            for at in rng.sample(range(0, n, 6), max(1, n // 50)):
+                base[at] = word()
+            texts.append(base)
+    return [" ".join(t) for t in texts]
+
+
+def brute_firsts(texts):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if group[i] != group[j] and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
+                    group[i] = group[j] = min(group[i], group[j])
+                    changed = True
+    return sorted({g for g in group})
+
+
+def kept_by_near_stage(spark, texts):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DIR).collect())
+
+
+def test_near_stage_finds_all_pairs_at_the_similarity(spark):
+    texts = near_texts()
+    want = brute_firsts(texts)
+    assert len(want) < len(texts) and kept_by_near_stage(spark, texts) == want
