@@ -137,3 +137,9 @@ def test_near_stage_finds_all_pairs_at_the_similarity(spark):
     texts = near_texts()
     want = brute_firsts(texts)
     assert len(want) < len(texts) and kept_by_near_stage(spark, texts) == want
+
+
+def test_near_stage_links_no_unlike_texts(spark):
+    # Four words, fingerprints with at most seven bits set: near that of a text without words.
+    few_bits = ["dbbggc jiebhb chijfg hgidgi", "hcebad ajifcj hijdbh jbgahe", "febfbj cedidd iiedha cgceif"]
+    assert kept_by_near_stage(spark, ["", "a text of its own with some words", *few_bits, "", " "]) == [0, 1, 2, 3, 4]
