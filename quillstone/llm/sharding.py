@@ -3,7 +3,7 @@
 Documents with equal texts are linked.  Every linked document starts in a shard given
 by the hash of its id; in each round, Spark joins count the votes of a group per
 shard, and documents move to the shard in which most of their group is, as far as that
-shard's quota leaves room.  At the end, ranks make the row counts exact: what exceeds a
+shard has room or others leave it in the same round.  At the end, ranks make the row counts exact: what exceeds a
 quota and all documents without links fill the remaining room.
 
 Scale: the state is one row per (group, bucket of document ids), so a group that holds a
@@ -33,18 +33,37 @@ def _pick(shard: Column, values: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), shard + 1)
 
 
+def admitted(flow: dict[tuple[int, int], int], load: list[int], capacity: int, spare: int) -> list[float]:
+    """Shares of the asked moves {(from, to): rows} into each shard, so that arrivals are at most what leaves it plus its room.
+
+    From all moves downwards, so the shares are the largest.  A shard that is over the capacity by
+    more than spare has to shrink; by less, it must not grow.
+    """
+    n = len(load)
+    room = [capacity - x if x > capacity + spare else max(0, capacity - x) for x in load]
+    come = [sum(flow.get((s, t), 0) for s in range(n) if s != t) for t in range(n)]
+    share = [1.0] * n
+    for _ in range(1000):
+        leave = [sum(share[t] * flow.get((s, t), 0) for t in range(n) if t != s) for s in range(n)]
+        new = [min(share[t], max(0.0, (room[t] + leave[t]) / come[t])) if come[t] else 1.0 for t in range(n)]
+        done = max(a - b for a, b in zip(share, new)) < 1e-6
+        share = new
+        if done:
+            break
+    return share
+
+
 def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int) -> DataFrame:
     """Moves cells (grp, bucket, n, hot, shard) towards their groups' shards under the capacity."""
-    for _ in range(rounds):
+    closed: set[int] = set()  # shards that took next to nothing in the last round
+    for round_ in range(rounds):
         votes = cells.groupBy("grp", "shard").agg(F.sum("n").alias("votes"))
         load = {r.shard: r.n for r in votes.groupBy("shard").agg(F.sum("votes").alias("n")).collect()}  # at most shards rows
         spare = max(1, capacity // 100)
-        free = [s for s in range(shards) if capacity - load.get(s, 0) >= spare]
-        if not free:
-            break
+        free = [s for s in range(shards) if s not in closed] or list(range(shards))
         order = F.struct("votes", F.xxhash64("grp", "shard"))
         target = votes.where(F.col("shard").isin(free)).groupBy("grp").agg(F.max_by(F.struct(F.col("shard").alias("to"), F.col("votes").alias("to_votes")), order).alias("t"))
-        # A group may have no vote in a free shard yet: it then proposes one by its hash.
+        # A group may have no vote in an open shard yet: it then proposes one by its hash.
         fallback = F.element_at(F.array(*map(F.lit, free)), (F.pmod(F.xxhash64("grp"), F.lit(len(free))) + 1).cast("int"))
         best = votes.groupBy("grp").agg(F.max("votes").alias("best"))
         asked = (
@@ -56,13 +75,16 @@ def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int) -> Data
         )
         asked = materialize(asked, "shard-asked")
         flow = asked.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()  # at most shards x shards rows
-        stay = [sum(r.n for r in flow if r.to == s and r.shard == s) for s in range(shards)]
-        come = [sum(r.n for r in flow if r.to == s and r.shard != s) for s in range(shards)]
-        if not sum(come):
-            return asked.select("grp", "bucket", "n", "hot", "shard")
-        share = [max(0.0, min(1.0, (capacity - stay[s]) / come[s])) if come[s] else 0.0 for s in range(shards)]
+        flow = {(r.shard, r.to): r.n for r in flow}
+        if all(a == b for a, b in flow):
+            if not closed:
+                return asked.select("grp", "bucket", "n", "hot", "shard")
+            closed = set()
+            continue
+        share = admitted(flow, [load.get(s, 0) for s in range(shards)], capacity + 1, spare)
+        closed = {s for s in range(shards) if share[s] < 0.1}
         # Groups move whole; a hot group moves by cells, so that it can fill a quota in part.
-        u = F.when(F.col("hot"), unit_hash("grp", "bucket")).otherwise(unit_hash("grp"))
+        u = F.when(F.col("hot"), unit_hash("grp", "bucket", F.lit(round_))).otherwise(unit_hash("grp", F.lit(round_)))
         allowed = F.element_at(F.array(*map(F.lit, share)), F.col("to") + 1)
         cells = asked.select("grp", "bucket", "n", "hot", F.when(u < allowed, F.col("to")).otherwise(F.col("shard")).alias("shard"))
     return cells

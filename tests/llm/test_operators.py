@@ -380,3 +380,17 @@ def test_shards_are_even_and_keep_groups(spark):
     cut = lambda name: len({r.shard for r in got if r.doc_id is not None and texts[r.doc_id] == name})
     assert cut("copy one") <= 2 and cut("copy two") <= 2 and cut("hot") >= 4
     assert sharding.shard_documents(empty(spark)).count() == 0
+
+
+def test_full_shards_swap_so_that_copies_meet(spark):
+    # Every row has a copy, and the start by hash fills all shards evenly: there is no room at all.
+    ids, start = spark.range(3000).select("id", F.pmod(F.pmod(F.xxhash64("id"), F.lit(1024)), F.lit(8)).alias("s")), defaultdict(list)
+    for r in ids.collect():
+        start[r.s].append(r.id)
+    chosen = [i for s in range(8) for i in sorted(start[s])[:150]]
+    random.Random(4).shuffle(chosen)
+    rows = [(i, f"text {k // 2}") for k, i in enumerate(chosen)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert set(Counter(r.shard for r in got).values()) == {150}
+    shard = {r.doc_id: r.shard for r in got}
+    assert sum(shard[a] != shard[b] for a, b in zip(chosen[::2], chosen[1::2])) < 60  # of 600; by chance 525
