@@ -97,10 +97,19 @@ def first_of_near_copies(docs: DataFrame) -> DataFrame:
     hubs = materialize(posts.groupBy("s").agg(F.min("sig").alias("hub"), F.max("sig").alias("other"), F.min_by("n", "sig").alias("hub_n")).where("hub <> other").select("s", "hub", "hub_n"), "near-hubs")
     posts = materialize(posts.join(small(hubs), "s"), "near-posts")
     alike = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
-    spokes = materialize(posts.where((F.col("sig") != F.col("hub")) & alike("n", "hub_n")).select(F.col("hub").alias("u"), F.col("sig").alias("v")).distinct(), "near-spokes")
-    wanted = firsts.join(small(posts.select("sig").distinct()), "sig", "left_semi").select("first.k1", "first.k2")
-    sets = materialize(_sets(docs.join(small(wanted), ["k1", "k2"], "left_semi"), [], True).dropDuplicates(["sig"]).select("sig", "shingles"), "near-sets")
-    links = materialize(_verified(spokes, sets), "near-links")
+    rest = lambda n: F.floor(4 * n / 5 + F.lit(0.9)).cast("int") - 1  # noqa: E731  # shingles after the prefix
+    # Of all shared shingles only those after one of the prefixes are not counted.
+    near = lambda a, b: (9 * (F.col("shared") + F.greatest(rest(F.col(a)), rest(F.col(b)))) >= 4 * (F.col(a) + F.col(b)))
+    spokes = posts.where((F.col("sig") != F.col("hub")) & alike("n", "hub_n")).groupBy(F.col("hub").alias("u"), F.col("sig").alias("v"), "n", "hub_n").agg(F.count("*").alias("shared"))
+    spokes = materialize(spokes.where(near("n", "hub_n")).select("u", "v"), "near-spokes")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sigs = pairs.select(F.col("u").alias("sig")).unionByName(pairs.select(F.col("v").alias("sig"))).distinct()
+        wanted = materialize(firsts.join(small(sigs), "sig", "left_semi").select("first.k1", "first.k2"), "near-wanted")
+        sets = _sets(docs.join(small(wanted), ["k1", "k2"], "left_semi"), [], True).dropDuplicates(["sig"]).select("sig", "shingles")
+        return materialize(_verified(pairs, materialize(sets, "near-sets")), "near-links")
+
+    links = verified(spokes)
 
     roots = components(links)
     rooted = posts.join(small(roots.withColumnRenamed("node", "sig")), "sig", "left").select("s", "sig", "n", F.coalesce("root", "sig").alias("root"))
@@ -108,8 +117,9 @@ def first_of_near_copies(docs: DataFrame) -> DataFrame:
     open_ = rooted.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
     rooted = rooted.join(small(materialize(open_, "near-open")), "s", "left_semi")
     u, v = (rooted.select("s", F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}")) for x in "uv")
-    pairs = u.join(v, "s").where((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & alike("n_u", "n_v")).select("u", "v").distinct()
-    more = _verified(materialize(pairs.join(spokes, ["u", "v"], "left_anti"), "near-pairs"), sets)
+    # Texts of two components share open shingles only, so all that they share are counted.
+    pairs = u.join(v, "s").where((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & alike("n_u", "n_v")).groupBy("u", "v", "n_u", "n_v").agg(F.count("*").alias("shared"))
+    more = verified(materialize(pairs.where(near("n_u", "n_v")).select("u", "v").join(spokes, ["u", "v"], "left_anti"), "near-pairs"))
 
     roots = components(links.unionByName(more))
     ids = firsts.join(roots.withColumnRenamed("node", "sig"), "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("first"))
