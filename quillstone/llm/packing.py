@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, narrow
-from .tokens import encoder, in_blocks
+from .tokens import blocks, encoder, with_end
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -37,18 +37,20 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1, doc_
     def cut(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, block in in_blocks(texts):
-                rows = []
-                for key, x in zip(keys[at : at + len(block)], enc.encode(block)):
-                    x = np.append(x, end_id).astype("<u4")
-                    for k, start in enumerate(range(0, len(x), capacity)):
-                        part = x[start : start + capacity]
-                        rows.append((key, k, start, len(part), zlib.crc32(part.tobytes())))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.mapInArrow(cut, PIECES)
+            texts = batch.column(1)
+            for a, b in blocks(texts):
+                ids, cuts = with_end(*enc.encode(texts.slice(a, b - a)), end_id)
+                parts = -(-np.diff(cuts) // capacity)
+                doc = np.repeat(np.arange(b - a), parts)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+                start = piece * capacity
+                length = np.minimum(capacity, np.diff(cuts)[doc] - start)
+                view, at = memoryview(ids.astype("<u4").tobytes()), 4 * (cuts[doc] + start)
+                crc = [zlib.crc32(view[x:y]) for x, y in zip(at.tolist(), (at + 4 * length).tolist())]
+                columns = [batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}")
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -119,7 +121,8 @@ def pack(found: DataFrame, capacity: int, buckets: int = 256) -> DataFrame:
             columns = [*batch.columns[:5], pa.array(r[:, 3] + k // r[:, 4]), pa.array(r[:, 5] + k % r[:, 4] * length)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return ranked.mapInArrow(place, f"doc_id {kind}, {PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,11 +1,11 @@
-"""Token ids of whole texts with a cache of words.
-
-The tokenizer does all the encoding.  For tokenizers that split a text into words, drop
-white space and mark the end of each word (a Split of the pattern below and a ``</w>``
-suffix), equal words get equal ids wherever they stand, so each worker asks the
-tokenizer once for each distinct word and looks up the rest.  Other tokenizers, texts
-with characters beyond Latin-1 and texts that may hold a special token are encoded as
-they are.
+"""Token ids of whole texts with a cache of chunks.
+
+The tokenizer does all the encoding.  For tokenizers that split a text into words by the
+pattern below, drop white space and mark the end of each word (a ``</w>`` suffix), what
+stands between ASCII white space gets the same ids wherever it stands, since no word, no
+composed character and no special token reaches across it.  So each worker encodes each
+distinct chunk once and looks up the rest, with Arrow's hash tables and without a Python
+object for each word.  Other tokenizers encode each text as it is.
 """
 
 from __future__ import annotations
@@ -13,110 +13,142 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: The pattern for which the word cache is exact.
+#: The pattern for which the cache is exact.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t\n\x0b\x0c\r \x85\xa0"
-_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
-
-
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+_WORD = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+
+
+class _Table:
+    """Strings that have been encoded, and their ids in a row; `limit` strings bound the memory."""
+
+    def __init__(self, limit: int, encode) -> None:
+        self.limit, self.encode = limit, encode
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.flat, self.at, self.length = pa.array([], pa.string()), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def numbers(self, some: pa.Array) -> np.ndarray:
+        """The place in the table of each of these distinct strings; new ones are encoded and added."""
+        found = pc.index_in(some, value_set=self.known)
+        new = some.filter(pc.is_null(found))
+        if len(new) and len(self.known) and len(self.known) + len(new) > self.limit:
+            self.forget()
+            return self.numbers(some)
+        found = found.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            found[found < 0] = len(self.known) + np.arange(len(new))
+            ids, length = self.encode(new)
+            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])
+            self.length, self.flat, self.known = np.concatenate([self.length, length]), np.concatenate([self.flat, ids]), pa.concat_arrays([self.known, new])
+        return found
+
+    def ids(self, some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings in a row, and where each starts."""
+        each = some.dictionary_encode()
+        which = self.numbers(each.dictionary)[each.indices.to_numpy()]
+        n = self.length[which]
+        to = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        return self.flat[np.repeat(self.at[which] - to[:-1], n) + np.arange(to[-1])], to
 
 
 class Encoder:
-    """encode(texts) gives an array of ids for each text; None counts as empty.
+    """encode(texts) gives the ids of all texts in a row and where each text starts; None counts as empty.
 
-    limit: words that the cache holds before it starts anew, which bounds the memory.
+    limit: chunks, and words, that the caches hold before they start anew, which bounds the memory.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         patterns = [s["pattern"].get("Regex") for s in steps if s["type"] == "Split"]
         normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.by_word = patterns == [SPLIT] and normal == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>" and not spec["model"].get("dropout")
+        self.by_chunk = patterns == [SPLIT] and normal == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>" and not spec["model"].get("dropout")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words, self.known, self.fill = _Numbers(), 0, 0
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.at, self.length = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        while self.fill + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.known + len(lengths) > len(self.at):
-            self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
-        self.flat[self.fill : self.fill + len(ids)] = ids
-        new = slice(self.known, self.known + len(lengths))
-        self.length[new] = lengths
-        self.at[new] = self.fill + np.cumsum(lengths) - lengths
-        self.fill += len(ids)
-        self.known += len(lengths)
-
-    def _learn(self) -> None:
-        """Encodes the words that were met first since the last call."""
-        new = list(islice(self.words, self.known, None))
-        for i in range(0, len(new), 4000):
-            some = new[i : i + 4000]
-            ids = self._plain(" ".join(some))
-            ends = np.flatnonzero(self.ends[ids])
-            if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids) - 1):
-                self._add(ids, np.diff(ends, prepend=-1))
-            else:
-                each = [self._plain(w) for w in some]
-                self._add(np.concatenate(each), np.array([len(x) for x in each], np.int64))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        if len(self.words) > self.limit:
-            self._forget()
-        words: list[str] = []
-        cuts, who = [0], []
-        for i, text in enumerate(texts):
-            text = text or ""
-            if not self.by_word or any(s in text for s in self.special):
-                out[i] = self._plain(text)
-                continue
-            try:
-                low = text.encode("latin-1").lower().decode("latin-1")  # A-Z only: the tokenizer lowers them too
-            except UnicodeEncodeError:
-                out[i] = self._plain(text)
-                continue
-            words += _WORD.findall(low)
-            cuts.append(len(words))
-            who.append(i)
-        if who:
-            numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            if len(self.words) > self.known:
-                self._learn()
-            n = self.length[numbers]
-            to = np.concatenate([[0], np.cumsum(n)])
-            ids = self.flat[np.repeat(self.at[numbers] - to[:-1], n) + np.arange(to[-1])]
-            ends = to[cuts]
-            for k, i in enumerate(who):
-                out[i] = ids[ends[k] : ends[k + 1]]
-        return out
+        # The same model for words that are parted and spelled in its byte letters already.
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer, self.model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {i: spell(chr(i))[0][0] for i in range(256) if i != 32}
+        self.chunks, self.words = _Table(limit, self._chunks), _Table(limit, self._words)
+
+    def _plain(self, text: str | None) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
+
+    def _each(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in a row and the number of each text's, by the tokenizer alone."""
+        found = [self._plain(t) for t in texts.to_pylist()]
+        return np.concatenate([*found, np.empty(0, np.uint32)]), np.array([len(x) for x in found], np.int64)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for lower-case Latin-1 words."""
+        ids, lengths = [], []
+        for i in range(0, len(words), 4000):
+            some = words.slice(i, 4000)
+            got = np.array(self.model.encode(" ".join(some.to_pylist()).translate(self.letters), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[got])
+            n = np.diff(ends, prepend=-1)
+            if len(ends) != len(some) or ends[-1] != len(got) - 1:
+                got, n = self._each(some)
+            ids.append(got)
+            lengths.append(n)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for what stands between white space."""
+        text = "\n".join(chunks.to_pylist())
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            text = None
+        if text is None or any(s in text for s in self.special):  # a few of the chunks, as a rule
+            odd = pc.match_substring_regex(chunks, "[^\\x{00}-\\x{ff}]|" + "|".join(map(re.escape, self.special)))
+            if pc.all(odd).as_py():
+                return self._each(chunks)
+            (a, n), (b, m) = self._chunks(chunks.filter(pc.invert(odd))), self._each(chunks.filter(odd))
+            place = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
+            first = np.concatenate([np.cumsum(n) - n, len(a) + np.cumsum(m) - m])
+            at, length = np.empty_like(first), np.empty_like(first)
+            at[place], length[place] = first, np.concatenate([n, m])
+            to = np.cumsum(length) - length
+            return np.concatenate([a, b])[np.repeat(at - to, length) + np.arange(length.sum())], length
+        found = pa.array(_WORD.findall(text.lower()), pa.string())
+        ends = np.flatnonzero(pc.equal(found, "\n").to_numpy(zero_copy_only=False))
+        cuts = np.concatenate([[0], ends - np.arange(len(ends)), [len(found) - len(ends)]]).astype(np.int64)
+        ids, to = self.words.ids(found.filter(pc.not_equal(found, "\n")))
+        return ids, np.diff(to[cuts])
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not self.by_chunk:
+            ids, length = self._each(texts)
+            return ids, np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        ids, to = self.chunks.ids(lists.flatten())
+        return ids, to[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)]
+
+
+def with_end(ids: np.ndarray, cuts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the end id after each text."""
+    out = np.full(len(ids) + len(cuts) - 1, end_id, np.uint32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))] = ids
+    return out, cuts + np.arange(len(cuts))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -129,6 +161,18 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def blocks(texts: pa.Array, size: int = 1 << 23):
+    """(start, end) of slices with about so many bytes each."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist(), 1):
+        held += n
+        if held >= size:
+            yield start, i
+            start, held = i, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def in_blocks(texts: list[str | None], chars: int = 1 << 20):
     """Slices of the list with about so many characters each."""
     start = held = 0

@@ -9,9 +9,10 @@ an occurrence), and decodes to the ids.
 Executors share no folder of their own with anyone, so a file is a row of a Parquet
 table in the shared folder: Spark's writer commits it, whatever happens to a task.
 
-Defined cases: a null text has no ids but the end id; a null doc_id sorts first; rows
-with equal doc_id follow each other; a document is never cut, so a very long one makes a
-shard longer than asked.  An empty table makes no shard and gives no rows.
+Defined cases: a null text has no ids but the end id; an empty one too.  A doc_id may have any
+type with an order; null ones sort first; rows with equal doc_id follow each other by a
+hash of their texts.  A document is never cut, so a very long one makes a shard longer than
+asked.  Extra columns are ignored.  An empty table makes no shard and gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, narrow
-from .tokens import encoder, in_blocks
+from .tokens import blocks, encoder, with_end
 
 MAGIC, STEP = b"WVM1", 512  # bits between two running counts
-SHARDS = "part int, seq int, local_start long, n_tokens long, doc_ids array<long>, lengths array<long>, data binary"
+NAMES = ["part", "seq", "local_start", "n_tokens", "doc_ids", "lengths", "data"]
+PART_BYTES = 128 << 20  # of text, that a task sorts and encodes
 
 
 class WaveletMatrix:
@@ -45,11 +47,14 @@ class WaveletMatrix:
         x = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes, ones = [], []
         for b in reversed(range(width)):
-            bit = ((x >> b) & 1).astype(bool)
+            bit = (x & x.dtype.type(1 << b)) != 0
             packed = np.packbits(bit, bitorder="little")
             planes.append(packed)
             ones.append(cls._running(packed))
-            x = np.concatenate([x[~bit], x[bit]])
+            y, zeros = np.empty_like(x), len(x) - int(ones[-1][-1])
+            np.compress(~bit, x, out=y[:zeros])
+            np.compress(bit, x, out=y[zeros:])
+            x = y
         return cls(len(ids), planes, ones)
 
     @staticmethod
@@ -138,10 +143,11 @@ class WaveletMatrix:
         width = len(self.planes)
         x = np.zeros(self.n, np.uint16 if width <= 16 else np.uint32)
         for k in reversed(range(width)):
-            bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
-            y = np.empty_like(x)
-            y[~bit], y[bit] = x[: self.zeros[k]], x[self.zeros[k] :]
-            y[bit] |= y.dtype.type(1 << (width - 1 - k))
+            bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+            y, zeros = np.empty_like(x), self.zeros[k]
+            x[zeros:] |= x.dtype.type(1 << (width - 1 - k))
+            y[np.flatnonzero(~bit)] = x[:zeros]  # by places: faster than by masks
+            y[np.flatnonzero(bit)] = x[zeros:]
             x = y
         return x.astype(np.uint32)
 
@@ -150,35 +156,42 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_tokens:
     """The table of shard files, written; tokenizer: path of a file that is on every machine."""
     docs = narrow(docs, doc_id=doc_id, text=text)
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    kind = docs.schema["doc_id"].dataType
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    order = ["doc_id", F.xxhash64("text")]  # equal ids are put in order too, and may be parted
+    docs = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def write(batches):
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         width = (enc.size - 1).bit_length()
-        ids, lengths, arrays, held, seq, start = [], [], [], 0, 0, 0
+        keys, lengths, arrays, held, seq, start = [], [], [], 0, 0, 0
 
         def flush():
             data = WaveletMatrix.build(np.concatenate(arrays), width).to_bytes()
-            rows = [[part], [seq], [start], [held], [ids], [lengths], [data]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            names = ["part", "seq", "local_start", "n_tokens", "doc_ids", "lengths", "data"]
-            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names)
+            ids, n = pa.concat_arrays(keys), np.concatenate(lengths)
+            one = [pa.array([0, len(ids)], pa.int32()), ids], [pa.array([0, len(n)], pa.int32()), pa.array(n, pa.int64())]
+            plain = [pa.array([x], k) for x, k in ((part, pa.int32()), (seq, pa.int32()), (start, pa.int64()), (held, pa.int64()))]
+            return pa.RecordBatch.from_arrays([*plain, *(pa.ListArray.from_arrays(*x) for x in one), pa.array([data], pa.binary())], NAMES)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, block in in_blocks(texts):
-                for key, x in zip(keys[at : at + len(block)], enc.encode(block)):
-                    x = np.append(x, np.uint32(end_id))
-                    ids.append(key), lengths.append(len(x)), arrays.append(x)
-                    held += len(x)
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in blocks(texts):
+                tokens, cuts = with_end(*enc.encode(texts.slice(a, b - a)), end_id)
+                i = 0
+                while i < b - a:  # up to the document that fills the shard
+                    j = min(b - a, int(np.searchsorted(cuts, cuts[i] + shard_tokens - held)))
+                    keys.append(ids.slice(a + i, j - i)), lengths.append(np.diff(cuts[i : j + 1])), arrays.append(tokens[cuts[i] : cuts[j]])
+                    held += int(cuts[j] - cuts[i])
+                    i = j
                     if held >= shard_tokens:
                         yield flush()
-                        ids, lengths, arrays, seq, start, held = [], [], [], seq + 1, start + held, 0
+                        keys, lengths, arrays, seq, start, held = [], [], [], seq + 1, start + held, 0
         if held:
             yield flush()
 
-    return materialize(docs.mapInArrow(write, SHARDS), "wavelet-shards")
+    schema = f"part int, seq int, local_start long, n_tokens long, doc_ids array<{kind.simpleString()}>, lengths array<long>, data binary"
+    return materialize(docs.mapInArrow(write, schema), "wavelet-shards")
 
 
 def with_starts(shards: DataFrame) -> DataFrame:
@@ -194,14 +207,19 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for start, keys, lengths, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                x = WaveletMatrix.from_bytes(data).decode().astype("<u4")
+            for k in range(batch.num_rows):
+                start, data = batch.column(0)[k].as_py(), batch.column(3)[k].as_py()
+                lengths = batch.column(2)[k].values.to_numpy()
+                x = WaveletMatrix.from_bytes(data).decode().astype("<u4").tobytes()
                 cuts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                crc = [zlib.crc32(x[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-                columns = [pa.array(keys, pa.int64()), pa.array(start + cuts[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())]
+                at = (4 * cuts).tolist()
+                view = memoryview(x)
+                crc = [zlib.crc32(view[a:b]) for a, b in zip(at[:-1], at[1:])]
+                columns = [batch.column(1)[k].values, pa.array(start + cuts[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return with_starts(shards).select("start", "doc_ids", "lengths", "data").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
+    return with_starts(shards).select("start", "doc_ids", "lengths", "data").mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def occurrences(shards: DataFrame, token: int) -> DataFrame:

@@ -33,10 +33,14 @@ def empty(spark):
 
 
 def test_cached_ids_equal_the_tokenizer():
-    texts = [*TEXTS, "Don't you'll WE'RE x²½³ ª µ º ÀÉß ÷×", "\x1c\x1d\x85\xa0tab\tnew\nline", "e\u0301 H\u0331", "日本 text", "!!!'s ...'ll 'S"]
+    texts = [*TEXTS, "Don't you'll WE'RE x²½³ ª µ º ÀÉß ÷×", "\x1c\x1d\x85\xa0tab\tnew\nline", "e\u0301 H\u0331 J\u030c", "日本 text İ ΑΣ", "!!!'s ...'ll 'S", "x<|endoftext|>y <|ENDOFTEXT|>", "\u0301a"]
     plain = Tokenizer.from_file(PATH)
-    for got, t in zip(tokens.Encoder(PATH, limit=3).encode(texts), texts):
-        assert got.tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
+    for limit in (3, 1000):
+        enc = tokens.Encoder(PATH, limit=limit)
+        for _ in range(2):
+            ids, cuts = enc.encode(texts)
+            for i, t in enumerate(texts):
+                assert ids[cuts[i] : cuts[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
 
 
 def test_other_tokenizers_are_used_as_they_are():
