@@ -72,30 +72,45 @@ def test_packing_places_every_piece_once(spark):
     assert packing.pack_documents(empty(spark), PATH, capacity=64).count() == 0
 
 
-def test_plan_equals_best_fit_decreasing_piece_by_piece():
+def best_fit_decreasing(lengths, capacity):
+    bins = []
+    for length in sorted(lengths, reverse=True):
+        fits = [g for g in bins if g >= length]
+        gap = min(fits) if fits else capacity
+        if fits:
+            bins.remove(gap)
+        bins.append(gap - length)
+    return len(bins)
+
+
+def test_sweep_by_ranges_equals_one_sweep():
     rng = random.Random(1)
-    for _ in range(40):
-        capacity = rng.randint(4, 40)
-        counts = Counter(rng.randint(1, capacity) for _ in range(rng.randint(1, 120)))
-        bins = []
-        for length in sorted(counts.elements(), reverse=True):
-            fits = [g for g in bins if g >= length]
-            gap = min(fits) if fits else capacity
-            if fits:
-                bins.remove(gap)
-            bins.append(gap - length)
-        runs = packing.plan(dict(counts), capacity)
-        used = defaultdict(list)
-        for length, rank, n, first, each, offset in runs.tolist():
-            for k in range(n):
-                used[first + k // each].append((offset + k % each * length, length))
-        assert len(used) == len(bins)
-        assert sorted(capacity - sum(w for _, w in v) for v in used.values()) == sorted(bins)
-        for v in used.values():
-            at = 0
-            for offset, length in sorted(v):
-                assert offset == at
-                at += length
+    for _ in range(200):
+        rows = [("doc", v, 0, rng.randint(1, 5), 0, 0, 0) for v in rng.sample(range(1, 60), 20)] + [("gap", v, 10 * v, rng.randint(1, 5), 0, 0, 0) for v in rng.sample(range(1, 64), 12)]
+        least = rng.choice((1, 16))
+        near = [packing.sweep([r for r in rows if r[1] // 16 == k], 64, least) for k in range(4)]
+        assert sorted(packing.sweep([r for x in near for r in x], 64, least)) == sorted(packing.sweep(rows, 64, least))
+
+
+@pytest.mark.parametrize("capacity,most,n", [(40, 40, 150), (64, 9, 300), (100, 60, 400)])
+def test_plan_is_near_best_fit_decreasing(spark, capacity, most, n):
+    rng = random.Random(n)
+    counts = Counter(rng.randint(1, most) for _ in range(n))
+    totals = spark.createDataFrame(list(counts.items()), "length long, n long")
+    used, ranks = defaultdict(list), defaultdict(list)
+    for r in packing.plan(totals, capacity).collect():
+        for k in range(r.n):
+            used[r.seq + k // r.each].append((r.at + k % r.each * r.length, r.length))
+            ranks[r.length].append(r["first"] + k)
+    assert all(sorted(ranks[v]) == list(range(m)) for v, m in counts.items())
+    for v in used.values():
+        at = 0
+        for offset, length in sorted(v):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    best = best_fit_decreasing(counts.elements(), capacity)
+    assert len(used) <= best + max(1, best // 50)
 
 
 def test_wavelet_matrix_round_trip_and_support():
