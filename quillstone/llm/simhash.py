@@ -28,26 +28,35 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, narrow, small
+from .common import materialize, narrow, release, small
+from .tokens import in_blocks
+
+SALTS = 4  # shares of the tiles that meet one tile
+WORDS = 4  # 64-bit words of a wide fingerprint
+BANDS = 4  # steps of sizes from a set to the smallest that can be like it
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)  # of a byte
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
-    """The signed 64-bit fingerprint of a whole text."""
+def shingle_hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included; fewer words make one shingle, none make none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return np.empty(0, np.uint64)
+    joined_ = b" ".join(words)
     n = max(1, len(words) - words_per_shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    last = ends[words_per_shingle - 1 :].tolist() or [len(joined)]
+    last = ends[words_per_shingle - 1 :].tolist() or [len(joined_)]
     first = [0, *(ends[: n - 1] + 1).tolist()]
-    shingles = [joined[a:b] for a, b in zip(first, last)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, [joined_[a:b] for a, b in zip(first, last)], repeat(42)), np.uint64, n)
+
+
+def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
+    """The signed 64-bit fingerprint of a whole text."""
+    h = shingle_hashes(text, words_per_shingle)
     counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256, dtype=np.uint16)).ravel(), minlength=2048)
     ones = counts.reshape(8, 256) @ _BITS
-    return int(np.packbits((2 * ones.ravel() > n), bitorder="little").view("<i8")[0])
+    return int(np.packbits((2 * ones.ravel() > len(h)), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -102,7 +111,7 @@ def forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.nd
 def near_pairs(fps: DataFrame, radius: int = 3, tile: int = 2048, blocks: int = 4) -> DataFrame:
     """Edges (u, v) between distinct fps (column fp) whose components are those of all links within the radius.
 
-    More blocks skip more tile pairs but send a tile to more cells; a wide radius takes few blocks.
+    More blocks skip more tile pairs but send a tile to more cells.
     """
     fps = fps.select("fp", _cell(F.col("fp"), blocks).alias("cell"))
     sizes = fps.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("parts"))
@@ -112,9 +121,11 @@ def near_pairs(fps: DataFrame, radius: int = 3, tile: int = 2048, blocks: int =
     steps = [s for s in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, s)) <= radius and s >= (0,) * blocks]
     step = F.explode(F.array(*[F.array(*map(F.lit, s)) for s in steps]))
     moved = tiles.select(F.col("part").alias("other_part"), F.col("fps").alias("other"), "cell", step.alias("step"))
-    moved = moved.select("other_part", "other", (F.aggregate("step", F.lit(0), lambda s, x: s + F.abs(x)) == 0).alias("same_cell"), F.zip_with("cell", "step", lambda c, s: c + s).alias("cell"))
-    moved = moved.where(F.forall("cell", lambda c: (c >= 0) & (c <= 64 // blocks)))
-    met = tiles.join(moved, "cell").where(~F.col("same_cell") | (F.col("part") <= F.col("other_part")))
+    moved = moved.select("other_part", "other", (F.aggregate("step", F.lit(0), lambda s, x: s + F.abs(x)) == 0).alias("same_cell"), F.zip_with("cell", "step", lambda c, s: c + s).alias("cell"), F.pmod(F.xxhash64("cell", "other_part"), F.lit(SALTS)).alias("salt"))
+    # A meeting has a key of its own cell and tile, and a share of the tiles that come: no cell is one key.
+    moved = moved.join(small(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    salted = tiles.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = salted.join(moved, ["cell", "part", "salt"]).where(~F.col("same_cell") | (F.col("part") <= F.col("other_part")))
     met = met.select("fps", "other", (F.col("same_cell") & (F.col("part") == F.col("other_part"))).alias("same"))
 
     def compare(batches):
@@ -149,19 +160,19 @@ def near_pairs(fps: DataFrame, radius: int = 3, tile: int = 2048, blocks: int =
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root: the smallest node of its component.  Star contraction in rounds."""
     edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
-    state = None
     while True:
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
-        if (now.n, now.h) == state or not now.n:
+        # Done when all that is left are stars: nobody has two parents, and no parent has one.
+        two, chained = edges.groupBy("u").count().where("count > 1"), edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi")
+        if two.isEmpty() and chained.isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = (now.n, now.h)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "cc-large")
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.distinct(), "cc-edges")
+        small_ = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        new = materialize(small_.distinct(), "cc-edges")
+        release(edges, large)
+        edges = new
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3, blocks: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,3 +185,147 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near copies by wide fingerprints
+
+
+def wide_fingerprints(texts: list[str | None], words_per_shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The number of different shingles of each text, and its fingerprint of 64 * WORDS bits (rows of unsigned words).
+
+    A bit is set if more than half of the shingles have it; a tie takes the bit of the smallest shingle hash.
+    """
+    sets = [np.unique(shingle_hashes(t, words_per_shingle)) for t in texts]
+    sizes = np.array([len(s) for s in sets], np.int32)
+    flat = np.concatenate([*sets, np.empty(0, np.uint64)])
+    bits = np.stack([_mixed(flat + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) for k in range(1, WORDS + 1)], axis=1).view(np.uint8)
+    out, at = np.zeros((len(texts), WORDS), np.uint64), 0
+    places = np.arange(0, 256 * 8 * WORDS, 256, dtype=np.uint16)
+    for i, n in enumerate(sizes.tolist()):
+        if n:
+            own = bits[at : at + n]
+            ones = 2 * (np.bincount((own + places).ravel(), minlength=256 * 8 * WORDS).reshape(-1, 256) @ _BITS).ravel()
+            first = np.unpackbits(own[0], bitorder="little").astype(bool)
+            out[i] = np.packbits((ones > n) | ((ones == n) & first), bitorder="little").view(np.uint64)
+            at += n
+    return sizes, out
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """64 well mixed bits of each number."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def radius_for(similarity: float) -> int:
+    """Bits at which the shingle sets' cosine is estimated as `similarity`, and 1.5 standard errors more, so that few pairs at it are lost."""
+    bits = 64 * WORDS
+    p = np.arccos(similarity) / np.pi
+    return int(bits * p + 1.5 * np.sqrt(bits * p * (1 - p)))
+
+
+def wide_pairs(classes: DataFrame, similarity: float, tile: int | None = None) -> DataFrame:
+    """Edges (u, v) that connect what links connect; classes: node, n (shingles, 1 or more), fp (WORDS longs), each (n, fp) once.
+
+    A link: the distance is at most radius_for(similarity), and the smaller set has similarity ** 2 of the
+    larger one's shingles or more, without which no cosine reaches it.  A tile holds sets of about one size;
+    tiles meet if their sizes can, and if their population counts differ by the radius or less.
+    """
+    radius, ratio = radius_for(similarity), similarity**2
+    width = -np.log(ratio) / BANDS
+    bits = sum((F.bit_count(F.col("fp")[i]) for i in range(WORDS)), F.lit(0))
+    rows = classes.select("node", "n", "fp", F.floor(F.log("n") / width).alias("band"), bits.alias("ones"))
+    if tile is None:  # larger tiles move less; small inputs take smaller ones, for enough tasks
+        tile = min(1 << 16, max(1 << 11, classes.count() // 32))
+    sizes = materialize(rows.groupBy("band").agg(F.ceil(F.count("*") / tile).alias("parts")), "near-bands")
+    cut = rows.join(F.broadcast(sizes), "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))  # a row per band of sizes
+    tiles = cut.groupBy("band", "part").agg(F.min("ones").alias("low"), F.max("ones").alias("high"), F.collect_list(F.struct("node", "n", "fp")).alias("rows"))
+    tiles = materialize(tiles, "near-tiles")
+    ends = tiles.select("band", "part", "low", "high")
+    # Which tiles meet is a small table; each meeting has a key of its own, so that none waits for another.
+    step = F.explode(F.sequence(F.lit(0), F.lit(BANDS + 1)))
+    others = ends.withColumn("step", step).select((F.col("band") - F.col("step")).alias("band"), F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    meet = ends.join(others, "band").where(((F.col("band") != F.col("band2")) | (F.col("part") <= F.col("part2"))) & (F.col("low2") - F.col("high") <= radius) & (F.col("low") - F.col("high2") <= radius))
+    meet = materialize(meet.select("band", "part", "band2", "part2", F.monotonically_increasing_id().alias("meeting")), "near-meetings")
+    left = meet.select("band", "part", "meeting", ((F.col("band") == F.col("band2")) & (F.col("part") == F.col("part2"))).alias("same")).join(tiles.select("band", "part", "rows"), ["band", "part"]).select("meeting", "same", "rows")
+    right = meet.where((F.col("band") != F.col("band2")) | (F.col("part") != F.col("part2"))).select(F.col("band2").alias("band"), F.col("part2").alias("part"), "meeting").join(tiles.select("band", "part", "rows"), ["band", "part"]).select("meeting", F.col("rows").alias("others"))
+    met = left.join(right, "meeting", "left").select("rows", "others", "same")
+
+    def compare(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a = _tile(batch.column(0)[k].values)
+                b = a if batch.column(2)[k].as_py() else _tile(batch.column(1)[k].values)
+                u, v = wide_forest(a, b, b is a, radius, ratio)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return met.mapInArrow(compare, "u long, v long")
+
+
+def _tile(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, sizes and words of a tile's rows."""
+    node, n, fp = rows.flatten()
+    return node.to_numpy(), n.to_numpy(), fp.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+
+
+def wide_forest(a: tuple, b: tuple, same: bool, radius: int, ratio: float, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, node) that connect what the links between a's and b's rows connect."""
+    (node_a, n_a, fp_a), (node_b, n_b, fp_b) = a, b
+    nodes = node_a if same else np.concatenate([node_a, node_b])
+    shift = 0 if same else len(node_a)
+    label = np.arange(len(nodes))
+    step = max(1, cells // max(1, len(node_b)))
+    for at in range(0, len(node_a), step):
+        for w in range(WORDS):  # a link has its share of the radius, or less, in one word at least
+            i, j = np.nonzero(np.bitwise_count(fp_a[at : at + step, w, None] ^ fp_b[:, w]) <= radius // WORDS)
+            i += at
+            keep = label[i] != label[j + shift]
+            i, j = i[keep], j[keep]
+            if len(i):
+                d = np.bitwise_count(fp_a[i] ^ fp_b[j]).sum(1, dtype=np.int32)
+                keep = (d <= radius) & (np.minimum(n_a[i], n_b[j]) >= ratio * np.maximum(n_a[i], n_b[j]))
+                label = joined(label, i[keep], j[keep] + shift)
+    linked = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[linked], nodes[label[linked]]
+
+
+def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels (each the smallest place of its group) after the links (i, j)."""
+    while True:
+        a, b = label[i], label[j]
+        open_ = a != b
+        if not open_.any():
+            return label
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
+    """(k1, k2, first): keys of each different row and whether it is the first (by doc_id, then keys) of its group.
+
+    docs: k1, k2 (key of the row), doc_id, text.  Texts without words are a group of their own.
+    """
+
+    def run(batches):
+        for batch in batches:
+            each = [wide_fingerprints(block, words_per_shingle) for _, block in in_blocks(batch.column(3).to_pylist())]
+            sizes, fps = (np.concatenate([*x, none]) for x, none in zip(zip(*each) if each else ((), ()), (np.empty(0, np.int32), np.empty((0, WORDS), np.uint64))))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, WORDS * len(fps) + 1, WORDS), pa.int32()), pa.array(fps.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes), lists], ["k1", "k2", "doc_id", "n", "fp"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("k1", "k2", "doc_id", "text").mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, n int, fp array<long>")
+    found = materialize(found, "near-docs")
+    classes = found.groupBy("n", "fp").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("least"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    roots = components(wide_pairs(classes.where("n > 0").select("node", "n", "fp"), similarity))
+    rooted = classes.join(roots, "node", "left").select("n", "fp", "least", F.coalesce("root", "node").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("least").alias("best"))
+    # Of each class only its least row can be the first of the group.
+    firsts = rooted.join(best, "root").where(F.col("least") == F.col("best")).select(F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"), F.lit(True).alias("first"))
+    rows = found.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
+    return rows.join(firsts, ["k1", "k2"], "left").select("k1", "k2", "copies", F.coalesce("first", F.lit(False)).alias("first"))

@@ -1,10 +1,13 @@
 """The pipeline's stages against brute force, and the queries against their SQL."""
 
+import re
+
 import duckdb
 import pytest
+import xxhash
 
 import corpus_pipeline
-from quillstone.llm import queries
+from quillstone.llm import queries, simhash
 
 DIR = "/root/testdata/sf0.001"
 
@@ -43,24 +46,48 @@ def test_line_stage_keeps_every_document_and_one_copy_of_every_line(stages):
     assert all(any(c.isdigit() for c in line) or len(line.split()) >= 3 for line in masked) and len(masked) < 0.1 * len(lines(before))
 
 
-def test_near_stage_keeps_one_of_each_group(stages):
-    from quillstone.llm.simhash import fingerprint
-
-    before = stages["line_dedup"].collect()
-    fps = [(r.doc_id, fingerprint(r.text) % (1 << 64)) for r in before]
-    group = list(range(len(fps)))
-    changed = True
-    while changed:
-        changed = False
-        for i, (_, a) in enumerate(fps):
-            for j, (_, b) in enumerate(fps):
-                if (a ^ b).bit_count() <= corpus_pipeline.STAGE_RADIUS and group[i] != group[j]:
-                    group[i] = group[j] = min(group[i], group[j])
-                    changed = True
+def shingle_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def wide(shingles):
+    """The fingerprint by definition: bits as a list."""
+    hashes = sorted(xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles)
+    m, out = (1 << 64) - 1, []
+    for k in range(1, 5):
+        mixed = []
+        for h in hashes:
+            z = (h + k * 0x9E3779B97F4A7C15) & m
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & m
+            z = (z ^ z >> 27) * 0x94D049BB133111EB & m
+            mixed.append(z ^ z >> 31)
+        for b in range(64):
+            ones = 2 * sum(z >> b & 1 for z in mixed)
+            out.append(ones > len(mixed) or (ones == len(mixed) > 0 and mixed[0] >> b & 1))
+    return sum(int(x) << i for i, x in enumerate(out))
+
+
+def brute_firsts(rows):
+    """rows: (doc_id, text); the ids that stay."""
+    sets = [shingle_set(t) for _, t in rows]
+    fps = [wide(s) for s in sets]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            alike = a == b or (a and b and (fps[i] ^ fps[j]).bit_count() <= simhash.radius_for(0.8) and min(len(a), len(b)) >= 0.8**2 * max(len(a), len(b)))
+            if alike and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
     first = {}
-    for g, (i, _) in zip(group, fps):
+    for g, (i, _) in zip(group, rows):
         first[g] = min(first.get(g, i), i)
-    assert sorted(r.doc_id for r in stages["near_dedup"].collect()) == sorted(first.values())
+    return sorted(first.values())
+
+
+def test_near_stage_keeps_one_of_each_group(stages):
+    before = [(r.doc_id, r.text) for r in stages["line_dedup"].collect()]
+    assert sorted(r.doc_id for r in stages["near_dedup"].collect()) == brute_firsts(before)
 
 
 def test_contaminated_documents_go(stages, spark):
@@ -111,35 +138,33 @@ def near_texts():
     return [" ".join(t) for t in texts]
 
 
-def brute_firsts(texts):
-    sets = []
-    for t in texts:
-        w = t.lower().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    group = list(range(len(texts)))
-    changed = True
-    while changed:
-        changed = False
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets[:i]):
-                if group[i] != group[j] and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
-                    group[i] = group[j] = min(group[i], group[j])
-                    changed = True
-    return sorted({g for g in group})
-
-
 def kept_by_near_stage(spark, texts):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     return sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DIR).collect())
 
 
-def test_near_stage_finds_all_pairs_at_the_similarity(spark):
+def test_near_stage_equals_brute_force_and_finds_copies(spark):
     texts = near_texts()
-    want = brute_firsts(texts)
-    assert len(want) < len(texts) and kept_by_near_stage(spark, texts) == want
+    got = kept_by_near_stage(spark, texts)
+    assert got == brute_firsts(list(enumerate(texts)))
+    assert sum(i % 3 == 0 for i in got) == len(texts) // 3  # the bases differ and stay
+    cosine = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    copies = [i for i in range(len(texts)) if i % 3 and any(cosine(shingle_set(texts[i]), shingle_set(texts[j])) >= 0.8 for j in range(i - i % 3, i))]
+    assert sum(i in got for i in copies) <= 0.05 * len(copies)
 
 
 def test_near_stage_links_no_unlike_texts(spark):
-    # Four words, fingerprints with at most seven bits set: near that of a text without words.
-    few_bits = ["dbbggc jiebhb chijfg hgidgi", "hcebad ajifcj hijdbh jbgahe", "febfbj cedidd iiedha cgceif"]
-    assert kept_by_near_stage(spark, ["", "a text of its own with some words", *few_bits, "", " "]) == [0, 1, 2, 3, 4]
+    # Few shingles have near fingerprints by chance if their bits are few.
+    few = ["dbbggc jiebhb chijfg hgidgi", "hcebad ajifcj hijdbh jbgahe", "febfbj cedidd iiedha cgceif", "one two three four five six", "one", "two"]
+    assert kept_by_near_stage(spark, ["", "a text of its own with some words", *few, "", " "]) == list(range(8))
+
+
+def test_near_stage_cuts_tiles_without_losing_links(spark):
+    from pyspark.sql import functions as F
+
+    texts = near_texts()
+    sizes, fps = simhash.wide_fingerprints(texts)
+    rows = [(i, int(n), f.view("int64").tolist()) for i, (n, f) in enumerate(zip(sizes, fps))]
+    classes = spark.createDataFrame(rows, "node long, n int, fp array<long>")
+    found = [{(r.node, r.root) for r in simhash.components(simhash.wide_pairs(classes, 0.8, tile=t)).where(F.col("node") != F.col("root")).collect()} for t in (4, 1000)]
+    assert found[0] == found[1] and found[0]
