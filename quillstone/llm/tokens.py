@@ -64,11 +64,11 @@ class Encoder:
     limit: chunks, and words, that the caches hold before they start anew, which bounds the memory.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -76,19 +76,25 @@ class Encoder:
         normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.by_chunk = patterns == [SPLIT] and normal == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>" and not spec["model"].get("dropout")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        del spec
+        # The model for words that are parted and spelled in its byte letters already.
+        self.model = Tokenizer.from_file(path)
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        # The same model for words that are parted and spelled in its byte letters already.
-        self.model = Tokenizer.from_file(path)
+        del vocabulary
         self.model.normalizer, self.model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.letters = {i: spell(chr(i))[0][0] for i in range(256) if i != 32}
         self.chunks, self.words = _Table(limit, self._chunks), _Table(limit, self._words)
 
     def _plain(self, text: str | None) -> np.ndarray:
+        if self.tokenizer is None:  # few texts need it, and it takes its memory
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
 
     def _each(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +147,7 @@ class Encoder:
             return ids, np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
         ids, to = self.chunks.ids(lists.flatten())
+        pa.default_memory_pool().release_unused()
         return ids, to[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)]
 
 
@@ -161,7 +168,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def blocks(texts: pa.Array, size: int = 1 << 23):
+def blocks(texts: pa.Array, size: int = 1 << 22):
     """(start, end) of slices with about so many bytes each."""
     start = held = 0
     for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist(), 1):
