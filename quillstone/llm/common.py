@@ -77,3 +77,16 @@ def unit_hash(*cols) -> Column:
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns only, under the operator's own names: extra columns never clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """Left join on key; right has a row per key.  A hot key's rows go to as many tasks as there are salts."""
+    left = left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return left.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "salt"], "left").drop("salt")

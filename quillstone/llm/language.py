@@ -13,7 +13,8 @@ every worker.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0.  Ties go to the
 first language in alphabetical order; a text whose n-grams are all unknown is such a tie.
-Without any training document everything is ``und``.  Repeated rows are predicted each.
+Without any training document everything is ``und``.  A very long text is read whole.  Repeated
+rows are predicted each.  An empty table gives an empty result.  Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, small, unit_hash
+from .common import free, narrow, small, unit_hash
 from .tokens import in_blocks
 
 UNKNOWN = "und"
@@ -152,7 +153,8 @@ def identify(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> D
     """The columns `keep` (all by default) with lang_pred and score; a column of those names is replaced."""
     names = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
     held = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"))
+    probe = free(docs, "probe")
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(probe))
 
     def run(batches):
         for batch in batches:
@@ -164,5 +166,5 @@ def identify(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> D
             both = [pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *both], [*names, "lang_pred", "score"])
 
-    schema = source.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    schema = source.drop(probe).schema.add("lang_pred", "string").add("score", "double")
     return source.mapInArrow(run, schema)

@@ -1,9 +1,9 @@
 """Line dedup with a log-template tree.
 
 A line's tokens are parted by blanks; a token with a digit is a variable field.  The tree
-has a fixed depth: the number of tokens, then the leading tokens.  Inside a leaf, a token
-that at its place occurs in two documents or more is constant; other tokens are variable
-fields too, if they are few enough.  What is left is the template.  A template that
+has a fixed depth: the number of tokens, then the leading tokens.  Inside a leaf, a token is
+constant that at its place occurs in two documents or more and in a tenth of the leaf's
+lines; other tokens are variable fields too, if they are few enough.  What is left is the template.  A template that
 recurs across documents is dropped from all of them but for its first occurrence (by
 doc_id, then by place), so that one copy of every text stays.
 
@@ -12,11 +12,15 @@ equal long lines are no accident.  Lines with fewer than `min_tokens` tokens, or
 constant words, stay.
 
 Scale: exact repeats are grouped before tokens are taken apart, and only leaves with
-different lines take them apart; tokens move as hashes, without the leading ones.  All groups are counted with partial aggregates.
-
-Defined cases: null texts stay null; empty ones stay empty.  Rows with equal doc_id and text
-are one document and lose the same lines.  A null doc_id comes first in the order.  An
-empty table gives an empty result.
+different lines take them apart; tokens move as hashes, without the leading ones.  All groups
+are counted with partial aggregates.  Lines meet their templates by key, but templates
+with a two-thousandth of all lines, at most two thousand, are sent to the lines.  In the end
+each text moves once, to the numbers of its dropped lines; that plan is the same at all sizes.
+
+Defined cases: null texts stay null; empty ones stay empty; a very long one is an array of lines
+in one row.  Rows with equal doc_id and text are one document and lose the same lines.  A null
+doc_id comes first in the order.  Equal lines of one document are ties by their places: the
+first stays.  An empty table gives an empty result.  Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from .common import materialize, small
 BLANKS = r"[ \t\x0B\f\r]+"
 FIELD = "<*>"
 KEY_ROWS = 1_000_000  # keys of 8 bytes up to which they are broadcast
-PLACES = 2_000_000  # dropped lines (4 bytes each) up to which their documents' lists are broadcast
+HOT = 2000  # a template with more than one in so many lines is hot
 
 
 def tidy(line: Column) -> Column:
@@ -47,7 +51,7 @@ def _key(*c: Column) -> list[Column]:
     return [F.xxhash64(*c), F.xxhash64(F.lit("second"), *c)]
 
 
-def templates(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_tokens: int = 3) -> DataFrame:
+def templates(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_tokens: int = 3, share: float = 0.1) -> DataFrame:
     """(doc_id, doc, pos, n, words, t1, t2) of every line that may be dropped; docs: doc_id, doc (key of the row), text.
 
     words: tokens that are no variable fields.  Only the lines of leaves with different lines
@@ -61,13 +65,14 @@ def templates(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_toke
     words = (F.col("n") - (F.length("m") - F.length(F.replace("m", F.lit(FIELD), F.lit("")))) / len(FIELD)).cast("int")
     lines = materialize(lines.select("doc_id", "doc", "pos", "n", words.alias("words"), leaf.alias("leaf"), a.alias("h1"), b.alias("h2"), "m"), "line-masked")
 
-    mixed = lines.groupBy("leaf").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("doc").alias("c"), F.max("doc").alias("d")).where("a <> b and c <> d").select("leaf")
-    forms = lines.join(small(materialize(mixed, "line-mixed"), KEY_ROWS), "leaf", "left_semi").groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"), F.min("m").alias("m"), F.min("doc").alias("d1"), F.max("doc").alias("d2"))
+    mixed = lines.groupBy("leaf").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("doc").alias("c"), F.max("doc").alias("d"), F.count("*").alias("leaf_lines")).where("a <> b and c <> d").select("leaf", "leaf_lines")
+    forms = lines.join(small(materialize(mixed, "line-mixed"), KEY_ROWS), "leaf").groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"), F.min("leaf_lines").alias("leaf_lines"), F.count("*").alias("lines"), F.min("m").alias("m"), F.min("doc").alias("d1"), F.max("doc").alias("d2"))
     forms = materialize(forms.withColumn("form", F.monotonically_increasing_id()), "line-forms")
     # The leading tokens are constant, since the leaf has several documents; the others move as hashes of their places.
-    parts = forms.select("form", "leaf", "d1", "d2", F.posexplode(F.split("m", " ")).alias("at", "token")).where((F.col("at") >= depth) & (F.col("token") != FIELD))
-    parts = parts.select("form", "at", F.xxhash64("leaf", "at", "token").alias("spot"), "d1", "d2")
-    constant = parts.groupBy("spot").agg(F.min("d1").alias("d1"), F.max("d2").alias("d2")).where("d1 <> d2").select("spot")
+    parts = forms.select("form", "leaf", "d1", "d2", "lines", "leaf_lines", F.posexplode(F.split("m", " ")).alias("at", "token")).where((F.col("at") >= depth) & (F.col("token") != FIELD))
+    parts = parts.select("form", "at", F.xxhash64("leaf", "at", "token").alias("spot"), "d1", "d2", "lines", "leaf_lines")
+    constant = parts.groupBy("spot").agg(F.min("d1").alias("d1"), F.max("d2").alias("d2"), F.sum("lines").alias("lines"), F.min("leaf_lines").alias("leaf_lines"))
+    constant = constant.where((F.col("d1") != F.col("d2")) & (F.col("lines") >= share * F.col("leaf_lines"))).select("spot")
     places = parts.select("form", "at", "spot").join(constant, "spot", "left_semi").groupBy("form").agg(F.array_sort(F.collect_list("at")).alias("ats"))
     rebuilt = forms.join(places, "form", "left").select("h1", "h2", F.split("m", " ").alias("tokens"), F.coalesce("ats", F.array().cast("array<int>")).alias("ats"))
     n, lead = F.size("tokens"), F.filter("tokens", lambda t, i: (i < depth) & (t != FIELD))
@@ -83,23 +88,25 @@ def templates(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_toke
     return lines.join(wide, ["h1", "h2"], "left").select("doc_id", "doc", "pos", "n", "words", F.coalesce("g1", "h1").alias("t1"), F.coalesce("g2", "h2").alias("t2"))
 
 
-def dedup_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_docs: int = 3, min_tokens: int = 3, long_tokens: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_docs: int = 3, min_tokens: int = 3, long_tokens: int = 20, doc_id: str = "doc_id", text: str = "text", share: float = 0.1, hot: int = HOT) -> DataFrame:
     """All columns of docs with the recurring lines taken from the text; adds lines_seen and lines_dropped (replaced if there)."""
     own = [c for c in docs.columns if c not in ("lines_seen", "lines_dropped")]
     doc = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.lit("doc"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in own], doc.alias("__doc"))
-    slim = keyed.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col("__doc").alias("doc"), F.col(f"`{text}`").alias("text")).where("text is not null")
-    lines = materialize(templates(slim, depth, similarity, min_tokens), "line-templates")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), doc.alias("doc"))
+    slim = rows.select(F.col("row")[doc_id].alias("doc_id"), "doc", F.col("row")[text].alias("text")).where("text is not null")
+    lines = materialize(templates(slim, depth, similarity, min_tokens, share), "line-templates")
     usable = lines.where("words >= 2").select("doc_id", "doc", "pos", "n", "t1", "t2")
-    groups = usable.groupBy("t1", "t2", "doc").agg(F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.max("n").alias("n")).groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.max("n").alias("n"))
-    recurring = groups.where((F.col("docs") >= min_docs) | ((F.col("docs") >= 2) & (F.col("n") >= long_tokens))).select("t1", "t2", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
-    gone = usable.join(recurring, ["t1", "t2"]).where((F.col("doc") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos")))
-    gone = materialize(gone.groupBy("doc").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc", "__doc"), "line-gone")
-    if gone.select(F.explode("__gone")).limit(PLACES + 1).count() <= PLACES:
-        joined = keyed.join(F.broadcast(gone), "__doc", "left")
-    else:  # documents that lose nothing are told by their keys and are not moved, as long as the keys are few
-        keys = small(gone.select("__doc"), KEY_ROWS)
-        joined = keyed.join(keys, "__doc", "left_semi").join(gone, "__doc").unionByName(keyed.join(keys, "__doc", "left_anti").withColumn("__gone", F.lit(None).cast("array<int>")))
-    split = F.split(F.col(f"`{text}`"), "\n")
-    kept = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
-    return joined.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in own], F.coalesce(F.size(split), F.lit(0)).cast("long").alias("lines_seen"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("lines_dropped"))
+    groups = usable.groupBy("t1", "t2", "doc").agg(F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.max("n").alias("n"), F.count("*").alias("lines"))
+    groups = groups.groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.max("n").alias("n"), F.sum("lines").alias("lines"))
+    recurring = groups.where((F.col("docs") >= min_docs) | ((F.col("docs") >= 2) & (F.col("n") >= long_tokens))).select("t1", "t2", "lines", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    recurring = materialize(recurring, "line-recurring")
+    least = lines.count() / hot
+    often, seldom = recurring.where(F.col("lines") > least).withColumn("often", F.lit(True)), recurring.where(F.col("lines") <= least).drop("lines")
+    marked = usable.drop("doc_id", "n").join(F.broadcast(often.drop("lines")), ["t1", "t2"], "left")  # fewer than `hot` rows
+    met = marked.where("often").drop("often").unionByName(marked.where("often is null").select("t1", "t2", "doc", "pos").join(seldom, ["t1", "t2"]))
+    gone = met.where((F.col("doc") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos"))).groupBy("doc").agg(F.collect_set("pos").alias("gone"))
+    joined = rows.join(gone, "doc", "left")
+    content = F.col("row")[text]
+    split = F.split(content, "\n")
+    kept = F.when(F.col("gone").isNull(), content).otherwise(F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+    return joined.select(*[(kept if c == text else F.col("row")[c]).alias(c) for c in own], F.coalesce(F.size(split), F.lit(0)).cast("long").alias("lines_seen"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("lines_dropped"))

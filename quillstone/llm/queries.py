@@ -12,7 +12,7 @@ from .common import table
 from .decontam import decontaminate
 from .lines import dedup_lines
 from .packing import pack_documents
-from .secrets import report, scan
+from .secrets import open_ledger, report, scan
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .url_filter import filter_urls
@@ -62,9 +62,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, _, ledger = scan(table(spark, sf_dir, "documents"), path="doc_id")
+    """The ledger is kept where the session's setting spark.quillstone.ledger says; without it, it starts empty."""
+    at = spark.conf.get("spark.quillstone.ledger", None)
+    paths, new, ledger = scan(table(spark, sf_dir, "documents"), open_ledger(spark, at), path="doc_id")
+    if at is not None:
+        new.write.mode("append").parquet(at)
     found = report(paths, ledger)
-    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.col("spans"), 256).alias("base_sha256"), "spans", "blob")
+    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "blob")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +111,10 @@ lines AS (
   FROM (SELECT doc_id, pos, regexp_replace(trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g')), '[^ 0-9]*[0-9][^ ]*', '<*>', 'g') AS m FROM split)
   WHERE len(string_split(m, ' ')) >= 3),
 mixed AS (SELECT n, lead FROM lines GROUP BY n, lead HAVING min(m) <> max(m) AND min(doc_id) <> max(doc_id)),
-forms AS (SELECT m, n, lead, min(doc_id) AS d1, max(doc_id) AS d2 FROM lines JOIN mixed USING (n, lead) GROUP BY m, n, lead),
-parts AS (SELECT m, n, lead, d1, d2, unnest(string_split(m, ' ')) AS token, generate_subscripts(string_split(m, ' '), 1) AS p FROM forms),
-constant AS (SELECT n, lead, p, token FROM parts GROUP BY n, lead, p, token HAVING min(d1) <> max(d2)),
+forms AS (SELECT m, n, lead, min(doc_id) AS d1, max(doc_id) AS d2, count(*) AS k FROM lines JOIN mixed USING (n, lead) GROUP BY m, n, lead),
+leaves AS (SELECT n, lead, sum(k) AS total FROM forms GROUP BY n, lead),
+parts AS (SELECT m, n, lead, d1, d2, k, unnest(string_split(m, ' ')) AS token, generate_subscripts(string_split(m, ' '), 1) AS p FROM forms),
+constant AS (SELECT n, lead, p, token FROM parts JOIN leaves USING (n, lead) GROUP BY n, lead, p, token HAVING p <= 4 OR (min(d1) <> max(d2) AND 10 * sum(k) >= max(total))),
 marked AS (SELECT a.m, a.n, a.p, a.token, c.token IS NOT NULL AS fixed FROM parts a LEFT JOIN constant c ON a.n = c.n AND a.lead = c.lead AND a.p = c.p AND a.token = c.token),
 wide AS (
   SELECT m, string_agg(CASE WHEN fixed OR token = '<*>' THEN token ELSE '<*>' END, ' ' ORDER BY p) AS t

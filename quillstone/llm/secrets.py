@@ -9,18 +9,20 @@ Spans are half-open and count code points.  They come from two built-in function
 walk the same matches: the pieces between matches (split) and the matches themselves
 (regexp_extract_all); running lengths place each match.
 
-Defined cases: a null text is scanned as an empty one.  Equal texts are scanned once.
-Repeated rows return as often as they came.  Empty tables give empty results.
+Defined cases: a null text is scanned as an empty one; a very long one is scanned whole.  Equal
+texts are scanned once.  Spans of several kinds with one start go in the rules' order.
+Repeated rows return as often as they came; repeated ledger rows count once.  Empty tables
+give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, narrow
+from .common import materialize, narrow, salted_join
 
 SPANS = "array<struct<start:long,end:long>>"
 
@@ -94,14 +96,26 @@ def _is(rule: Rule):
     return lambda s: s.rule == rule.name
 
 
+def _joined(items: Column) -> Column:
+    return F.array_join(F.transform(items, lambda s: F.concat_ws(":", s.rule, s.start.cast("string"), s.end.cast("string"))), ",")
+
+
+def open_ledger(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """The ledger kept at this path of a shared store; None if there is none yet."""
+    if path is None:
+        return None
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+
+
 def report(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
-    """Per path row: counts by rule and the spans as kind:start:end, by start, then by the rules' order."""
+    """Per path row: counts by rule, the spans as kind:start:end, by start, then by the rules' order, and the base kinds' alone (base)."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
     version = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.version)])
     current = ledger.where(F.col("rule_version") == F.try_element_at(version, F.col("rule"))).where(F.size("spans") > 0)
     items = current.select("blob", "rule", F.transform("spans", lambda s: F.struct(s.start.alias("start"), F.element_at(order, F.col("rule")).alias("kind"), s.end.alias("end"), F.col("rule").alias("rule"))).alias("items"))
-    found = items.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))  # a row per rule and blob
-    text = F.array_join(F.transform("items", lambda s: F.concat_ws(":", s.rule, s.start.cast("string"), s.end.cast("string"))), ",")
-    per_blob = found.select("blob", *[F.size(F.filter("items", _is(r))).cast("long").alias(f"n_{r.name}") for r in rules], text.alias("spans"))
-    joined = paths.join(per_blob, "blob", "left")
-    return joined.select("path", "blob", *[F.coalesce(f"n_{r.name}", F.lit(0)).cast("long").alias(f"n_{r.name}") for r in rules], F.coalesce("spans", F.lit("")).alias("spans"))
+    found = items.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("items"))).alias("items"))  # a ledger row that came twice counts once
+    base = F.filter("items", lambda s: s.rule.isin([r.name for r in BASE_RULES]))
+    per_blob = found.select("blob", *[F.size(F.filter("items", _is(r))).cast("long").alias(f"n_{r.name}") for r in rules], _joined(F.col("items")).alias("spans"), _joined(base).alias("base"))
+    joined = salted_join(paths, per_blob, "blob", "path")
+    return joined.select("path", "blob", *[F.coalesce(f"n_{r.name}", F.lit(0)).cast("long").alias(f"n_{r.name}") for r in rules], F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("base", F.lit("")).alias("base"))

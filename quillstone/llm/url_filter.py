@@ -7,8 +7,9 @@ its tokens, pages are joined with the postings, and the rest of the rule is test
 the pages found.  Given host/path rules come first; the mined rules judge what is left.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no
-tokens, no rule and the verdict allow.  Repeated pages are judged alike, each in its own
-row.  Without labelled pages nothing is mined and the default verdict is allow.
+tokens, no rule and the verdict allow.  A very long url is judged whole.  Repeated pages are
+judged alike, each in its own row.  Of rules of equal confidence the last by name counts.  An
+empty table gives no rows; extra columns are ignored.  Without labelled pages nothing is mined and the default verdict is allow.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, narrow
+from .common import ascii_lower, materialize, narrow, salted_join
 
 BAD, GOOD = "label=bad", "label=good"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -92,6 +93,6 @@ def filter_urls(pages: DataFrame, labels: DataFrame | None, rules: list[tuple[st
             .where(F.size(F.array_except("antecedent", "tokens")) == 0)
             .groupBy("tokens").agg(F.max(F.struct("confidence", "rule_id")).alias("best"))
         )
-        judged = judged.withColumn("tokens", tokens(F.col("url"))).join(hits, "tokens", "left").withColumn("mined_rule", F.col("best.rule_id")).withColumn("confidence", F.col("best.confidence"))
+        judged = salted_join(judged.withColumn("tokens", tokens(F.col("url"))), hits, "tokens", "page_id").withColumn("mined_rule", F.col("best.rule_id")).withColumn("confidence", F.col("best.confidence"))
     verdict = F.coalesce(F.col("given.verdict"), F.when(F.col("mined_rule").isNotNull(), "block"), F.lit("allow"))
     return judged.select("page_id", "host", "path", F.col("given.rule").alias("rule"), verdict.alias("verdict"), "mined_rule", "confidence")
