@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, narrow
 
-INDEX = "block string, ids array<long>, vectors binary, codes binary, norm binary, fit binary, ones binary"
+INDEX = "block string, ids array<long>, rows array<long>, codes binary, norm binary, fit binary, ones binary"
 QUERY_BITS = 4
 
 
@@ -64,20 +64,20 @@ def _encode(x: np.ndarray, centroid: np.ndarray, turn: np.ndarray, n: int):
 
 
 class Index:
-    """blocks: the written table; the rest is the fitted model, whose size is that of one rotation set."""
+    """vectors (row, vec_id, x) and blocks of codes are written tables; the rest is the fitted model, whose size is that of one rotation set."""
 
-    def __init__(self, blocks: DataFrame, count: int, dim: int, centroid: np.ndarray, turn: np.ndarray, n: int) -> None:
-        self.blocks, self.count, self.dim, self.centroid, self.turn, self.n = blocks, count, dim, centroid, turn, n
+    def __init__(self, vectors: DataFrame, blocks: DataFrame, dim: int, centroid: np.ndarray, turn: np.ndarray, n: int) -> None:
+        self.vectors, self.blocks, self.dim, self.centroid, self.turn, self.n = vectors, blocks, dim, centroid, turn, n
 
 
-def build(vectors: DataFrame, n_rotations: int = 4, block: int = 4096, seed: int = 7, vec_id: str = "vec_id", embedding: str = "embedding") -> Index | None:
+def build(vectors: DataFrame, n_rotations: int = 4, block: int = 16384, seed: int = 7, vec_id: str = "vec_id", embedding: str = "embedding") -> Index | None:
     """The index over all usable vectors; None if there is none."""
-    rows = narrow(vectors, vec_id=vec_id, x=embedding).where(usable(F.col("x"))).select("vec_id", F.col("x").cast("array<double>").alias("x"))
+    rows = narrow(vectors, vec_id=vec_id, x=embedding).where(usable(F.col("x")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("x").cast("array<double>").alias("x"))
     sizes = rows.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not sizes:
         return None
-    dim, count = sizes[0].dim, sizes[0].n
-    rows = rows.where(F.size("x") == dim)
+    dim = sizes[0].dim
+    rows = materialize(rows.where(F.size("x") == dim).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), "x"), "ann-vectors")
     means = rows.select(F.posexplode("x")).groupBy("pos").agg(F.avg("col").alias("m")).collect()  # dim rows
     centroid = np.array([r.m for r in sorted(means, key=lambda r: r.pos)])
     turn = rotations(dim, n_rotations, seed)
@@ -87,83 +87,84 @@ def build(vectors: DataFrame, n_rotations: int = 4, block: int = 4096, seed: int
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 some = batch.slice(at, block)
-                x = some.column(1).flatten().to_numpy().reshape(-1, dim)
-                codes, norm, fit, ones = _encode(x, centroid, turn, n_rotations)
+                codes, norm, fit, ones = _encode(some.column(2).flatten().to_numpy().reshape(-1, dim), centroid, turn, n_rotations)
                 seq += 1
-                row = [[f"{part}-{seq}"], [some.column(0).to_pylist()], *[[a.tobytes()] for a in (x, codes, norm, fit, ones.astype(np.int64))]]
-                kinds = [pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(row, kinds)], ["block", "ids", "vectors", "codes", "norm", "fit", "ones"])
+                ends = pa.array([0, some.num_rows], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, some.column(i)) for i in (1, 0)]
+                binary = [pa.array([a.tobytes()], pa.binary()) for a in (codes, norm, fit, ones.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{seq}"]), *lists, *binary], ["block", "ids", "rows", "codes", "norm", "fit", "ones"])
 
     blocks = materialize(rows.mapInArrow(pack, INDEX), "ann-index")
-    return Index(blocks, count, dim, centroid, turn, n_rotations)
+    return Index(rows, blocks, dim, centroid, turn, n_rotations)
 
 
-def _nearest(ids, x, code, norm, fit, ones, q_ids, q, index_dim, centroid, turn, n, k, width):
-    """Per query the k nearest rows of one block: (query place, row, distance)."""
-    dim = index_dim
+def bounds(code: np.ndarray, norm: np.ndarray, fit: np.ndarray, ones: np.ndarray, q: np.ndarray, centroid: np.ndarray, turn: np.ndarray, width: float):
+    """For each query the lower and upper bounds of its squared distances to the rows of one block."""
+    (m, n), dim = fit.shape, len(centroid)
     y = q - centroid
     q_norm = np.sqrt((y * y).sum(1))
     z = ((y / np.where(q_norm == 0, 1, q_norm)[:, None]) @ turn).reshape(len(q), n, dim)
     low = z.min(2)
     gap = np.maximum((z.max(2) - low) / (2**QUERY_BITS - 1), 1e-12)
     level = np.rint((z - low[:, :, None]) / gap[:, :, None]).astype(np.uint8)
-    slack = width * np.sqrt(((1 - fit**2).clip(0) / fit**2).sum(1)) / n / math.sqrt(max(1, dim - 1))  # error bound of the mean of n estimates
+    lost = ((z - low[:, :, None] - gap[:, :, None] * level) ** 2).sum(2)  # what rounding took from the query, squared
+    code_error = ((1 - fit**2).clip(0) / fit**2).sum(1) / max(1, dim - 1)
     root = math.sqrt(dim)
     for a in range(len(q)):
-        inner = np.zeros(len(ids))
+        inner = np.zeros(m)
         for r in range(n):
             planes = _words(((level[a, r][None, :] >> np.arange(QUERY_BITS)[:, None]) & 1).astype(bool))
-            both = np.zeros(len(ids))
+            both = np.zeros(m)
             for b in range(QUERY_BITS):
                 both += np.bitwise_count(code[:, r] & planes[b]).sum(1, dtype=np.int64) * (1 << b)
             g, v = gap[a, r], low[a, r]
             inner += (2 * g * both + 2 * v * ones[:, r] - g * float(level[a, r].sum(dtype=np.int64)) - dim * v) / root / fit[:, r]
         inner /= n
+        # Standard errors of the mean of n estimates: of the codes, and of the rounded query.
+        slack = width * np.sqrt(code_error + (lost[a] / fit**2).sum(1) / dim) / n
         scale, base = 2 * norm * q_norm[a], norm**2 + q_norm[a] ** 2
-        guess = base - scale * inner
-        floor = base - scale * np.minimum(1, inner + slack)
-        usable_rows = ids != q_ids[a]
-        rows = np.flatnonzero(usable_rows)
-        if len(rows) > k:
-            first = rows[np.argpartition(guess[rows], k - 1)[:k]]
-            worst = ((x[first] - q[a]) ** 2).sum(1).max()
-            rows = rows[floor[rows] <= worst * (1 + 1e-9) + 1e-12]
-            rows = np.union1d(rows, first)
-        d = np.sqrt(((x[rows] - q[a]) ** 2).sum(1))
-        best = np.lexsort((ids[rows], d))[:k]
-        yield a, rows[best], d[best]
+        yield base - scale * np.minimum(1, inner + slack), base - scale * np.maximum(-1, inner - slack)
 
 
 def search(index: Index | None, queries: DataFrame, k: int = 10, width: float = 3.0, query_block: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of each query's k nearest rows."""
     spark = queries.sparkSession
-    out = "query_id long, vec_id long, score double"
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = narrow(queries, query_id=vec_id, x=embedding).where(usable(F.col("x"))).where(F.size("x") == index.dim).select("query_id", F.col("x").cast("array<double>").alias("x")).dropDuplicates(["query_id"])
+    asked = narrow(queries, query_id=vec_id, x=embedding).where(usable(F.col("x")) & F.col("query_id").isNotNull()).where(F.size("x") == index.dim)
+    asked = asked.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.min(F.col("x").cast("array<double>")).alias("q"))
     asked = materialize(asked, "ann-queries")
-    blocks = max(1, -(-asked.count() // query_block))
+    parts = max(1, -(-asked.count() // query_block))
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A block of queries has a bounded size; it goes to every lane, and each index block to one lane per query block.
-    grouped = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("q")).agg(F.collect_list(F.struct("query_id", "x")).alias("queries"))
-    grouped = grouped.select("q", "queries", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    spread = index.blocks.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = spread.join(grouped, ["q", "lane"]).select("ids", "vectors", "codes", "norm", "fit", "ones", "queries")
+    grouped = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
+    grouped = grouped.select("part", "queries", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
+    spread = index.blocks.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    met = spread.join(grouped, ["part", "lane"]).select("ids", "rows", "codes", "norm", "fit", "ones", "queries")
     dim, centroid, turn, n = index.dim, index.centroid, index.turn, index.n
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.array(row["ids"], np.int64)
+            for i in range(batch.num_rows):
+                ids, rows = (batch.column(c)[i].values.to_numpy() for c in (0, 1))
+                code, norm, fit, ones = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((2, np.uint64), (3, np.float64), (4, np.float64), (5, np.int64)))
                 m = len(ids)
-                x = np.frombuffer(row["vectors"]).reshape(m, dim)
-                code = np.frombuffer(row["codes"], np.uint64).reshape(m, n, -1)
-                norm, fit, ones = np.frombuffer(row["norm"]), np.frombuffer(row["fit"]).reshape(m, n), np.frombuffer(row["ones"], np.int64).reshape(m, n)
-                q_ids = np.array([r["query_id"] for r in row["queries"]], np.int64)
-                q = np.array([r["x"] for r in row["queries"]])
-                got = [(np.full(len(rows), q_ids[a]), ids[rows], d) for a, rows, d in _nearest(ids, x, code, norm, fit, ones, q_ids, q, dim, centroid, turn, n, k, width)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], ["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(run, out)
+                q_ids, q = batch.column(6)[i].values.flatten()
+                q_ids = q_ids.to_numpy()
+                found = []
+                for q_id, (low, high) in zip(q_ids.tolist(), bounds(code.reshape(m, n, -1), norm, fit.reshape(m, n), ones.reshape(m, n), q.flatten().to_numpy().reshape(-1, dim), centroid, turn, width)):
+                    keep = np.flatnonzero(ids != q_id)
+                    if len(keep) > k:
+                        keep = keep[low[keep] <= np.partition(high[keep], k - 1)[k - 1]]
+                    found.append((np.full(len(keep), q_id), rows[keep], low[keep], high[keep]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "row", "low", "high"])
+
+    found = materialize(met.mapInArrow(run, "query_id long, row long, low double, high double"), "ann-candidates")
+    by_high = F.row_number().over(Window.partitionBy("query_id").orderBy("high"))
+    reach = found.select("query_id", "high", by_high.alias("place")).where(F.col("place") <= k).groupBy("query_id").agg(F.max("high").alias("reach"))
+    likely = found.join(reach, "query_id").where(F.col("low") <= F.col("reach") * (1 + 1e-9) + 1e-12).select("query_id", "row")
+    both = likely.join(index.vectors, "row").join(asked, "query_id")
+    square = F.aggregate(F.zip_with("x", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    both = both.select("query_id", "vec_id", F.sqrt(square).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -330,7 +330,7 @@ def test_neighbours_have_the_recall_asked(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(24).tolist()) for i in range(700)]
     rows += [(1000 + i, rows[5][1]) for i in range(30)]
-    bad = [(2000, None), (2001, [0.0] * 24), (2002, [float("nan")] * 24), (2003, [None] * 24), (2004, [float("inf")] * 24), (2005, [1.0, 2.0])]
+    bad = [(2000, None), (2001, [0.0] * 24), (2002, [float("nan")] * 24), (2003, [None] * 24), (2004, [float("inf")] * 24), (2005, [1.0, 2.0]), (None, rows[5][1])]
     df = spark.createDataFrame([(i, v, 7) for i, v in rows + bad], "vec_id long, embedding array<double>, norm int")
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.search(ann.build(df, block=64), df.where("vec_id % 20 = 0"), k=10, query_block=8).collect()}
     want = brute_neighbours(rows, [(i, v) for i, v in rows if i % 20 == 0], 10)
