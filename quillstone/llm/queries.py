@@ -102,6 +102,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
+def _either(word: str) -> str:
+    """A pattern for the word with each letter in either case."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_KEYS = "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key")))
+_ASSIGN = rf"""({_KEYS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
 #: DuckDB counterparts of what SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
@@ -130,6 +138,26 @@ kept AS (
   FROM split s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.pos = g.pos GROUP BY s.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, CAST(coalesce(k.lines_seen, 0) AS BIGINT) AS lines_seen, CAST(coalesce(k.lines_dropped, 0) AS BIGINT) AS lines_dropped
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+    "op6_secret_scan": rf"""
+WITH d AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
+parted AS (
+  SELECT t, 0 AS kind, 'assign' AS name, regexp_extract_all(t, '{_ASSIGN}') AS m, string_split_regex(t, '{_ASSIGN}') AS parts FROM d
+  UNION ALL SELECT t, 1, 'access', regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT t, 2, 'hex', regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+') FROM d),
+matches AS (
+  SELECT t, kind, name, m[i] AS hit, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM parted)),
+kept AS (
+  SELECT t, kind, name, start, start + length(hit) AS stop FROM matches
+  WHERE (kind = 0 AND length(regexp_extract(hit, '{_ASSIGN}', 2)) >= 6) OR (kind = 1 AND length(hit) >= 20) OR (kind = 2 AND length(hit) >= 24)),
+found AS (
+  SELECT t, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
+    string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans
+  FROM kept GROUP BY t)
+SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0) AS BIGINT) AS n_access, CAST(coalesce(c, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(coalesce(text, '')) AS blob
+FROM documents LEFT JOIN found ON found.t = coalesce(text, '')
 """,
     "op9_winnow_decontamination": r"""
 WITH doc_words AS (

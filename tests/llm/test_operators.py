@@ -254,6 +254,27 @@ def test_secrets_equal_brute_force_and_ledger_is_incremental(spark):
     assert {r.rule for r in rescan.select("rule").distinct().collect()} == {"hex"} and rescan.count() == distinct + 1
     assert {r.path: r.spans for r in secrets.report(paths2, all2, raised).collect()}[0] == ""
     assert secrets.report(*secrets.scan(empty(spark), path="doc_id")[::2]).count() == 0
+    twice = {r.path: (r.spans, r.n_assign) for r in secrets.report(paths, known.unionByName(known)).collect()}
+    assert twice == got
+
+
+def test_a_secret_in_half_of_the_paths_and_a_kept_ledger(spark, tmp_path):
+    texts = ["token=abcdef123"] * 60 + [f"text {i}" for i in range(60)]
+    at = f"file://{tmp_path}/ledger"
+    for part, expected in ((texts[:90], 31 * 3), (texts, 30 * 3)):
+        paths, new, known = secrets.scan(docs(spark, part), secrets.open_ledger(spark, at), path="doc_id")
+        assert new.count() == expected + (3 if part is not texts else 0)  # and the text of docs() itself
+        found = {r.path: r.spans for r in secrets.report(paths, known).collect()}
+        assert all(found[i] == brute_spans(t) for i, t in enumerate(part))
+        new.write.mode("append").parquet(at)
+
+
+def test_a_host_of_half_of_the_pages(spark):
+    urls = ["http://spam.org/shop"] * 100 + [f"http://good{i % 7}.org/news" for i in range(100)]
+    pages = spark.createDataFrame([(i, f"{u}/{i}") for i, u in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 100) for i in range(0, 200, 2)], "key long, bad boolean")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, labels, [], 0.02, 0.8).collect()}
+    assert all((got[i] == "block") == (i < 100) for i in range(200))
 
 
 # --- SimHash
