@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import bin_of
+from .graph import cut_lineage
 from .ranks import feature_auc, quantiles
 
 
@@ -19,17 +20,33 @@ def training(long: DataFrame, folds: int) -> DataFrame:
     return long.withColumn("model", F.explode(F.array_compact(models)))
 
 
+def training_counts(long: DataFrame, folds: int) -> DataFrame:
+    """The same as counts: (model, j, v, y, n).
+
+    Equal values of a fold are counted once, before they are copied to the models, and the counts are
+    written: all states of all models come from one pass over the rows.
+    """
+    counts = cut_lineage(long.groupBy("fold", "j", "v", "y").agg(F.count("*").alias("n")), "coordinate-counts")
+    return training(counts, folds).drop("fold")
+
+
+def _weight(train: DataFrame) -> str | None:
+    return "n" if "n" in train.columns else None
+
+
 def fit_edges(train: DataFrame, bins: int) -> DataFrame:
     """(model, j, edges)."""
     inner = [k / bins for k in range(1, bins)]
-    edges = quantiles(train.where("v > 0"), inner, "model", "j").select("model", "j", F.array_sort(F.array_distinct("q")).alias("edges"))
+    edges = quantiles(train.where("v > 0"), inner, "model", "j", weight=_weight(train)).select("model", "j", F.array_sort(F.array_distinct("q")).alias("edges"))
     every = train.select("model", "j").distinct()
     return every.join(edges, ["model", "j"], "left").select("model", "j", F.coalesce("edges", F.array().cast("array<double>")).alias("edges"))
 
 
 def fit_ratios(train: DataFrame, edges: DataFrame, alpha: float) -> DataFrame:
     """(model, j, bin, c0, c1, llr): Laplace-smoothed log ratio of the classes for every bin, empty ones too."""
-    counts = train.join(F.broadcast(edges), ["model", "j"]).groupBy("model", "j", bin_of(F.col("v"), F.col("edges")).alias("bin")).agg(F.count_if(F.col("y") == 0).alias("c0"), F.count_if(F.col("y") == 1).alias("c1"))
+    times = F.col("n") if _weight(train) else F.lit(1)
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("y") == c, times)), F.lit(0)).cast("long")
+    counts = train.join(F.broadcast(edges), ["model", "j"]).groupBy("model", "j", bin_of(F.col("v"), F.col("edges")).alias("bin")).agg(of(0).alias("c0"), of(1).alias("c1"))
     every = edges.select("model", "j", F.size("edges").alias("e"), F.explode(F.sequence(F.lit(0), F.size("edges") + 1)).alias("bin"))
     full = every.join(counts, ["model", "j", "bin"], "left").select("model", "j", "bin", (F.col("e") + 2).alias("b"), F.coalesce("c0", F.lit(0)).alias("c0"), F.coalesce("c1", F.lit(0)).alias("c1"))
     totals = full.groupBy("model", "j").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
@@ -61,7 +78,7 @@ def strengths(train: DataFrame) -> DataFrame:
     """(model, j, auc, strength, place): distance of the AUC from one half and the place in its order."""
     from pyspark.sql import Window
 
-    auc = feature_auc(train, "model", "j").select("model", "j", "auc", F.round(F.abs(F.col("auc") - 0.5), 9).alias("strength"))
+    auc = feature_auc(train, "model", "j", weight=_weight(train)).select("model", "j", "auc", F.round(F.abs(F.col("auc") - 0.5), 9).alias("strength"))
     return auc.withColumn("place", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("strength"), F.desc("j"))) - 1)  # a row per column
 
 

@@ -60,9 +60,9 @@ def average_rank_by_counts(df: DataFrame, value: str, *by: str) -> DataFrame:
     return count_before(counts, value, *by).withColumn("rank", F.col("before") + (F.col("n") + 1) / F.lit(2.0)).drop("before")
 
 
-def quantiles(df: DataFrame, probabilities: list[float], *by: str, value: str = "v") -> DataFrame:
-    """(by, total, q): exact quantiles with linear interpolation, as an array in the order asked."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+def quantiles(df: DataFrame, probabilities: list[float], *by: str, value: str = "v", weight: str | None = None) -> DataFrame:
+    """(by, total, q): exact quantiles with linear interpolation, as an array in the order asked; weight: rows that a row stands for."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     placed = count_before(counts, value, *by)
     placed = placed.join(totals, list(by)) if by else placed.join(F.broadcast(totals))  # without groups: one row
@@ -74,12 +74,13 @@ def quantiles(df: DataFrame, probabilities: list[float], *by: str, value: str =
     return got.select(*by, "total", F.array(*out).alias("q"))
 
 
-def feature_auc(long: DataFrame, *by: str, score: str = "v", label: str = "y") -> DataFrame:
+def feature_auc(long: DataFrame, *by: str, score: str = "v", label: str = "y", weight: str | None = None) -> DataFrame:
     """ROC-AUC with ties of `score` for each group of `by`; one class or a constant score gives 0.5.
 
     Works on counts per (group, distinct value, class): (sum of positive ranks - n1 (n1 + 1) / 2) / (n0 n1).
     """
-    counts = long.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("pos"))
+    times = F.col(weight) if weight else F.lit(1)
+    counts = long.groupBy(*by, score).agg(F.sum(times).alias("n"), F.sum(F.col(label) * times).cast("long").alias("pos"))
     ranked = count_before(counts, score, *by).withColumn("rank", F.col("before") + (F.col("n") + 1) / F.lit(2.0))
     sums = ranked.groupBy(*by).agg(F.sum("pos").alias("n1"), (F.sum("n") - F.sum("pos")).alias("n0"), F.sum(F.col("pos") * F.col("rank")).alias("s"))
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")

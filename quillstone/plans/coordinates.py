@@ -8,6 +8,7 @@ from ..functions import vectors as V
 from ..functions.vectors import r6
 from ..operators import coordinates as K
 from ..operators import folds
+from ..operators.graph import cut_lineage
 from ..operators.ranks import feature_auc, quantiles
 from ..sources.fixtures import ORDER_VEC, VEC_PAIRS, VEC_RELU, long_form, order_vec, vec_pairs, vec_relu
 from .register import query
@@ -64,8 +65,8 @@ def _oof_rows(long):
 
 
 def _fitted(long, bins=BINS, alpha=ALPHA):
-    train = K.training(long, FOLDS)
-    edges = K.fit_edges(train, bins).persist()  # a row per (model, column)
+    train = K.training_counts(long, FOLDS)
+    edges = cut_lineage(K.fit_edges(train, bins), "coordinate-edges")  # a row per (model, column)
     return train, edges, K.fit_ratios(train, edges, alpha)
 
 
@@ -204,9 +205,9 @@ SELECT * FROM (WITH {ORDER_VEC}, {TRAIN_SQL},{_llr_sql(b, a)}
 SELECT {b} AS bins, CAST({a} AS DOUBLE) AS alpha, CAST(j AS INTEGER) AS j, round(max(llr) - min(llr), 6) AS spread FROM lr WHERE model = -1 GROUP BY j)""" for b, a in ((4, 1.0), (8, 5.0), (12, 5.0), (16, 10.0))))
 def llr_sensitivity(spark, sf_dir):
     """Spread of the log ratios of each column under four pairs of bins and smoothing."""
-    long, out = _folded(order_vec(spark, sf_dir)), None
+    train = K.training_counts(_folded(order_vec(spark, sf_dir)), FOLDS).where("model = -1")
+    out = None
     for bins, alpha in ((4, 1.0), (8, 5.0), (12, 5.0), (16, 10.0)):
-        train = long.withColumn("model", F.lit(-1))
         ratios = K.fit_ratios(train, K.fit_edges(train, bins), alpha)
         part = ratios.groupBy("j").agg(r6(F.max("llr") - F.min("llr")).alias("spread")).select(F.lit(bins).alias("bins"), F.lit(alpha).alias("alpha"), column(), "spread")
         out = part if out is None else out.unionByName(part)
