@@ -22,12 +22,16 @@ LAMBDAS = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)  # fixed values: blends of pooled and
 
 def moments(train: DataFrame, p: int) -> dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray]]:
     """(model, class): rows, mean and covariance (ddof 0) of train (model, y, x)."""
+    first = train.select("x").first()
+    if first is None:
+        return {}
+    shift = np.array(first.x, float)  # sums of products lose digits if the mean is large
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for batch in batches:
             for key, g in batch.groupby(["model", "y"]):
-                x = np.stack(g["x"].to_numpy())
+                x = np.stack(g["x"].to_numpy()) - shift
                 s = np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
                 sums[key] = sums[key] + s if key in sums else s
         for (model, y), s in sums.items():
@@ -38,26 +42,34 @@ def moments(train: DataFrame, p: int) -> dict[tuple[int, int], tuple[int, np.nda
     for (model, y), g in rows.groupby(["model", "y"]):
         s = g.sort_values("k")["s"].to_numpy()
         n, mean = s[0], s[1 : p + 1] / s[0]
-        out[int(model), int(y)] = (int(n), mean, s[p + 1 :].reshape(p, p) / n - np.outer(mean, mean))
+        out[int(model), int(y)] = (int(n), shift + mean, s[p + 1 :].reshape(p, p) / n - np.outer(mean, mean))
     return out
 
 
-def shrinkage(train: DataFrame) -> DataFrame:
-    """(model, y, n, mu, shrinkage): the Ledoit-Wolf weight of the scaled identity, in closed form.
+def together(found: dict, model: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean and covariance of all classes of a model in one."""
+    parts = [v for (m, _), v in found.items() if m == model]
+    n = sum(k for k, _, _ in parts)
+    mean = sum(k * m for k, m, _ in parts) / n
+    return n, mean, sum(k * (c + np.outer(m - mean, m - mean)) for k, m, c in parts) / n
 
-    Needs the mean of the fourth power of the centred norm and the squared norm of the covariance.
+
+def shrinkage(train: DataFrame, found: dict) -> dict[tuple[int, int], tuple[int, float, float]]:
+    """(model, y): rows, mean variance, and the Ledoit-Wolf weight of the scaled identity, in closed form; found: the moments.
+
+    Besides the covariance it needs the mean of the fourth power of the centred norm.
     """
-    means = train.select("model", "y", F.posexplode("x").alias("j", "v")).groupBy("model", "y", "j").agg(F.avg("v").alias("m"))
-    means = means.groupBy("model", "y").agg(F.array_sort(F.collect_list(F.struct("j", "m"))).alias("c")).select("model", "y", F.col("c.m").alias("c"))
-    centred = train.join(F.broadcast(means), ["model", "y"]).select("model", "y", F.zip_with("x", "c", lambda a, b: a - b).alias("z"))  # a row per model and class
-    fourth = centred.groupBy("model", "y").agg(F.count("*").alias("n"), F.avg(F.pow(V.dot(F.col("z"), F.col("z")), F.lit(2))).alias("fourth"), F.first(F.size("z")).alias("p"))
-    cells = centred.select("model", "y", "z", F.posexplode("z").alias("a", "za")).select("model", "y", "a", "za", F.posexplode("z").alias("b", "zb"))
-    cov = cells.groupBy("model", "y", "a", "b").agg(F.avg(F.col("za") * F.col("zb")).alias("s"))
-    sums = cov.groupBy("model", "y").agg(F.sum(F.col("s") * F.col("s")).alias("norm"), F.sum(F.when(F.col("a") == F.col("b"), F.col("s"))).alias("trace"))
-    p, mu = F.col("p"), F.col("trace") / F.col("p")
-    beta = (F.col("fourth") - F.col("norm")) / (p * F.col("n"))
-    delta = (F.col("norm") - 2 * mu * F.col("trace") + p * mu * mu) / p
-    return fourth.join(sums, ["model", "y"]).select("model", "y", "n", mu.alias("mu"), F.coalesce(F.try_divide(F.least(beta, delta), delta), F.lit(0.0)).alias("shrinkage"))
+    spark = train.sparkSession
+    means = spark.createDataFrame([(m, y, mean.tolist()) for (m, y), (_, mean, _) in found.items()], "model int, y int, c array<double>")
+    z = F.zip_with("x", "c", lambda a, b: a - b)
+    centred = train.select("model", "y", "x").join(F.broadcast(means), ["model", "y"]).select("model", "y", z.alias("z"))  # a row per model and class
+    out = {}
+    for r in centred.groupBy("model", "y").agg(F.avg(F.pow(V.dot(F.col("z"), F.col("z")), F.lit(2))).alias("fourth")).collect():  # a row per model and class
+        n, _, cov = found[r.model, r.y]
+        p, trace, norm = len(cov), float(np.trace(cov)), float((cov * cov).sum())
+        beta, delta = (r.fourth - norm) / (p * n), (norm - trace * trace / p) / p
+        out[r.model, r.y] = (n, trace / p, min(beta, delta) / delta if delta else 0.0)
+    return out
 
 
 def shrunk(cov: np.ndarray, weight: float) -> np.ndarray:
@@ -75,14 +87,25 @@ def precision(cov: np.ndarray) -> np.ndarray:
     return vector / value @ vector.T
 
 
-def class_state(n: list[int], mean: list[np.ndarray], cov: list[np.ndarray], weight: list[float]) -> dict:
-    """What the scores of one model need."""
+def root_inverse(cov: np.ndarray) -> np.ndarray:
+    value, vector = floored(cov)
+    return vector / np.sqrt(value) @ vector.T
+
+
+def unit(w: np.ndarray) -> np.ndarray:
+    return w / (np.linalg.norm(w) + EPS)
+
+
+def class_state(n: list[int], mean: list[np.ndarray], cov: list[np.ndarray], weight: list[float], every: np.ndarray) -> dict:
+    """What the scores of one model need; every: the shrunk covariance of all its rows."""
     p = len(mean[0])
     own = [shrunk(c, w) for c, w in zip(cov, weight)]
     pooled = sum(k * c for k, c in zip(n, own)) / sum(n)
     inverse = precision(pooled)
     state = {"mean": mean, "own": [precision(c) for c in own], "logdet": [float(np.log(floored(c)[0]).sum()) for c in own], "lda": inverse @ (mean[1] - mean[0]), "mid": (mean[0] + mean[1]) / 2, "prior": float(np.log(n[1] / n[0]))}
-    state["rda"] = [[precision((1 - t) * pooled + t * c) for c in own] for t in LAMBDAS]
+    state["rda"] = [[precision((1 - t) * every + t * c) for c in own] for t in LAMBDAS]
+    state["whitener"] = root_inverse(every)
+    state["axes"] = {"mid": unit(mean[1] - mean[0]), "fisher": unit(state["whitener"] @ (mean[1] - mean[0]))}
     state["ppca"] = []
     for k in sorted({max(1, p // d) for d in (16, 8, 4, 2)}):
         pair = []
@@ -94,22 +117,33 @@ def class_state(n: list[int], mean: list[np.ndarray], cov: list[np.ndarray], wei
     return state
 
 
+def along(z: np.ndarray, axis: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    """Place along a unit axis, distance from it, cosine, and their ratio per dimension."""
+    place, square = z @ axis, (z * z).sum(1)
+    off = np.sqrt(np.maximum(square - place**2, 0))
+    return {f"{name}_axis": place, f"{name}_orth": off, f"{name}_cos": place / (np.sqrt(square) + EPS), f"{name}_axis_snr": place / (off / np.sqrt(max(z.shape[1] - 1, 1)) + EPS)}
+
+
 def scores(x: np.ndarray, s: dict) -> dict[str, np.ndarray]:
     """The features of the rows x under one model."""
     quad = lambda m, q: np.einsum("ij,jk,ik->i", x - m, q, x - m)
     d0, d1 = (quad(m, q) for m, q in zip(s["mean"], s["own"]))
-    out = {"lda": (x - s["mid"]) @ s["lda"] + s["prior"], "qda": 0.5 * (d0 - d1 + s["logdet"][0] - s["logdet"][1]) + s["prior"], "mahal_0": np.sqrt(d0), "mahal_1": np.sqrt(d1), "mahal_diff": np.sqrt(d0) - np.sqrt(d1), "mahal_norm_diff": (d0 - d1) / (d0 + d1 + EPS), "mahal_log_ratio": np.log((d0 + EPS) / (d1 + EPS))}
+    out = {"lda": (x - s["mid"]) @ s["lda"] + s["prior"], "qda": 0.5 * (d0 - d1 + s["logdet"][0] - s["logdet"][1]) + s["prior"], "mahal_0": np.sqrt(d0), "mahal_1": np.sqrt(d1), "mahal_diff": np.sqrt(d0) - np.sqrt(d1)}
+    out |= {"mahal_sq_0": d0, "mahal_sq_1": d1, "mahal_sq_diff": d0 - d1, "mahal_norm_diff": (d0 - d1) / (d0 + d1 + EPS), "mahal_log_ratio": np.log((d0 + EPS) / (d1 + EPS))}
     for t, (q0, q1) in zip(LAMBDAS, s["rda"]):
-        out[f"rda_{t:g}"] = quad(s["mean"][0], q0) - quad(s["mean"][1], q1)
+        r0, r1 = quad(s["mean"][0], q0), quad(s["mean"][1], q1)
+        out[f"rda_{t:g}"], out[f"rda_norm_{t:g}"] = r0 - r1, (r0 - r1) / (r0 + r1 + EPS)
+    centred = x - s["mid"]
+    out |= along(centred, s["axes"]["mid"], "mid") | along(centred @ s["whitener"], s["axes"]["fisher"], "fisher")
     for k, pair in s["ppca"]:
         logp, rebuilt = [], []
         for m, vector, value, rest, logdet in pair:
             z = x - m
             t = z @ vector
-            left = (z * z).sum(1) - (t * t).sum(1)
-            logp.append(-0.5 * ((t * t / value).sum(1) + left / rest + logdet))
-            rebuilt.append(left)
-        out[f"ppca_llr_{k}"], out[f"subspace_diff_{k}"] = logp[1] - logp[0], rebuilt[0] - rebuilt[1]
+            left = np.maximum((z * z).sum(1) - (t * t).sum(1), 0)
+            logp.append(-0.5 * ((t * t / value).sum(1) + left / rest + logdet + len(m) * np.log(2 * np.pi)))
+            rebuilt.append(np.sqrt(left))
+        out |= {f"ppca_logp0_{k}": logp[0], f"ppca_logp1_{k}": logp[1], f"ppca_llr_{k}": logp[1] - logp[0], f"subspace_diff_{k}": rebuilt[0] - rebuilt[1]}
     return out
 
 

@@ -55,6 +55,34 @@ def out_of_fold(rows: DataFrame, estimator, folds: int) -> DataFrame:
     return out
 
 
+def by_fold(rows: DataFrame, folds: int, scored) -> DataFrame:
+    """The rows of every fold as scored(rows of the other folds, rows of the fold) returns them, with their fold."""
+    out = None
+    for f in range(folds):
+        part = scored(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)).withColumn("fold", F.lit(f))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def log_density(rows: DataFrame, mixture, name: str) -> DataFrame:
+    """Adds the log density of column x under a fitted Gaussian mixture."""
+    parts = mixture.gaussiansDF.collect()  # a mean and a matrix per component
+    state = []
+    for w, r in zip(mixture.weights, parts):
+        value, vector = np.linalg.eigh(r["cov"].toArray())
+        value = np.maximum(value, 1e-10)
+        state.append((np.log(w) - 0.5 * (np.log(2 * np.pi * value).sum()), r["mean"].toArray(), vector / np.sqrt(value)))
+
+    @F.pandas_udf("double")
+    def density(x: pd.Series) -> pd.Series:
+        v = np.stack(x.to_numpy()) if len(x) else np.empty((0, len(state[0][1])))
+        each = np.stack([c - 0.5 * (((v - m) @ t) ** 2).sum(1) for c, m, t in state])
+        top = each.max(0)
+        return pd.Series(top + np.log(np.exp(each - top).sum(0)))
+
+    return rows.withColumn(name, density("x"))
+
+
 def noisy_labels(oof: DataFrame) -> DataFrame:
     """(id, y, score) of rows whose label is likely wrong: the other class's probability reaches that class's mean confidence and exceeds the own one's."""
     own = F.when(F.col("y") == 1, F.col("score")).otherwise(1 - F.col("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.vectors import r6
-from ..operators import folds
+from ..operators import copula, folds
 from ..operators import gaussian as G
 from ..operators import learners as L
 from ..operators.comparison import ranked
@@ -43,17 +43,21 @@ s AS (SELECT y, sum(s * s) AS norm, sum(s) FILTER (a = b) AS trace, 64 AS p FROM
 SELECT f.y, CAST(n AS BIGINT) AS n, round(trace / p, 6) AS mu, round(least((fourth - norm) / (p * n), (norm - trace * trace / p) / p) / ((norm - trace * trace / p) / p), 6) AS shrinkage FROM f JOIN s ON f.y = s.y""")
 def ledoit_wolf(spark, sf_dir):
     """Shrinkage of the covariance of each class."""
-    s = G.shrinkage(vec_relu(spark, sf_dir).withColumn("model", F.lit(0)))
-    return s.select("y", "n", r6(F.col("mu")).alias("mu"), r6(F.col("shrinkage")).alias("shrinkage"))
+    train = vec_relu(spark, sf_dir).withColumn("model", F.lit(0))
+    found = G.shrinkage(train, G.moments(train, 64))
+    rows = spark.createDataFrame([(y, n, float(mu), float(w)) for (_, y), (n, mu, w) in found.items()], "y int, n long, mu double, shrinkage double")
+    return rows.select("y", "n", r6(F.col("mu")).alias("mu"), r6(F.col("shrinkage")).alias("shrinkage"))
 
 
 def _states(train, p=64):
-    weights = {(r.model, r.y): r.shrinkage for r in G.shrinkage(train).collect()}  # a row per model and class
     found = G.moments(train, p)
+    weights = G.shrinkage(train, found)
+    every = {(m, -1): G.together(found, m) for m in {m for m, _ in found}}
+    of_all = G.shrinkage(train.withColumn("y", F.lit(-1)), every)
     states = {}
     for model in sorted({m for m, _ in found}):
         n, mean, cov = zip(*(found[model, y] for y in (0, 1)))
-        states[model] = G.class_state(list(n), list(mean), list(cov), [weights[model, y] for y in (0, 1)])
+        states[model] = G.class_state(list(n), list(mean), list(cov), [weights[model, y][2] for y in (0, 1)], G.shrunk(every[model, -1][2], of_all[model, -1][2]))
     return states
 
 
@@ -96,37 +100,28 @@ def pca_spectrum(spark, sf_dir):
 
 @query("copula_llr")
 def copula_llr(spark, sf_dir):
-    """Log ratio of Gaussian copulas: normal scores of each column, then the class Gaussians of the other folds."""
-    from statistics import NormalDist
-
-    from ..operators.ranks import average_rank_by_counts
-
-    long = vec_relu(spark, sf_dir).select("id", F.posexplode("x").alias("j", "v"))
-    n = F.broadcast(long.groupBy("j").agg(F.count("*").alias("m")))  # a row per column
-    ranks = average_rank_by_counts(long, "v", "j").join(n, "j").select("j", "v", F.least(F.greatest((F.col("rank") + 0.5) / (F.col("m") + 1), F.lit(1e-4)), F.lit(1 - 1e-4)).alias("u"))
-
-    @F.pandas_udf("double")
-    def normal(u: pd.Series) -> pd.Series:
-        return u.map(NormalDist().inv_cdf)
-
-    scored = long.join(ranks.withColumn("z", normal("u")), ["j", "v"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("j", "z"))).alias("s")).select("id", F.col("s.z").alias("x"))
-    rows = _folded(vec_relu(spark, sf_dir)).drop("x").join(scored, "id")
-    found = G.score_rows(rows.withColumn("model", F.col("fold")), _states(_models(rows))).where("name = 'qda'")
-    return found.select("id", F.col("model").alias("fold"), r6(F.col("value")).alias("llr"))
+    """Log densities of the class copulas of the other folds, and their difference."""
+    vec = vec_relu(spark, sf_dir)
+    fold = folds.stratified(vec, FOLDS, [SEED]).select("id", "fold")
+    long = vec.join(fold, "id").select("id", "y", "fold", F.posexplode("x").alias("j", "v"))
+    found = copula.scores(long, FOLDS, 64)
+    return found.select("id", F.col("model").alias("fold"), *[r6(F.col(c)).alias(c) for c in ("logp0", "logp1")], r6(F.col("logp1") - F.col("logp0")).alias("llr"))
 
 
 @query("mixture_components")
 def mixture_components(spark, sf_dir):
-    """Components of class mixtures of three Gaussians that each held-out row belongs to."""
+    """Log densities of each row under class mixtures of three Gaussians of the other folds, and their difference."""
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import array_to_vector
 
-    rows = _folded(order_vec(spark, sf_dir)).withColumn("features", array_to_vector("x")).persist()
-    out = rows.where("fold = 0").select("id", "features")
-    for y in (0, 1):
-        model = GaussianMixture(k=3, seed=1, maxIter=10).fit(rows.where((F.col("fold") != 0) & (F.col("y") == y)))
-        out = model.setProbabilityCol(f"p{y}").setPredictionCol(f"c{y}").transform(out)
-    return out.select("id", F.col("c0").alias("component0"), F.col("c1").alias("component1"))
+    def scored(train, held):
+        for y in (0, 1):
+            mixture = GaussianMixture(k=3, seed=1, maxIter=10).fit(train.where(F.col("y") == y).select(array_to_vector("x").alias("features")))
+            held = L.log_density(held, mixture, f"logp{y}")
+        return held
+
+    found = L.by_fold(_folded(order_vec(spark, sf_dir)), FOLDS, scored)
+    return found.select("id", "fold", *[r6(F.col(c)).alias(c) for c in ("logp0", "logp1")], r6(F.col("logp1") - F.col("logp0")).alias("llr"))
 
 
 @query("logistic_grid")
@@ -157,12 +152,13 @@ def multi_kernel_oof(spark, sf_dir):
 
 @query("swap_augmented_svc")
 def swap_augmented_svc(spark, sf_dir):
-    """A machine fitted on rows and their halves swapped; scores of the hold-out fold only."""
-    rows = _folded(vec_relu(spark, sf_dir))
-    more = rows.where("fold <> 0").withColumn("x", V.swap_halves(F.col("x")))
-    both = L.prepared(L.fourier(rows.where("fold <> 0").unionByName(more), [(0, 64, 1.0, 0.8)]))
-    held = L.prepared(L.fourier(rows.where("fold = 0"), [(0, 64, 1.0, 0.8)]))
-    return _scores(L.positive(LinearSVC(maxIter=30, regParam=0.01).fit(both).transform(held)).withColumn("fold", F.lit(0)))
+    """A machine fitted on the other folds' rows and their halves swapped."""
+
+    def scored(train, held):
+        both, held = (L.prepared(L.fourier(r, [(0, 64, 1.0, 0.8)])) for r in (train.unionByName(train.withColumn("x", V.swap_halves(F.col("x")))), held))
+        return L.positive(LinearSVC(maxIter=30, regParam=0.01).fit(both).transform(held))
+
+    return _scores(L.by_fold(_folded(vec_relu(spark, sf_dir)), FOLDS, scored))
 
 
 def _trees(name, estimator, doc):
@@ -181,10 +177,10 @@ _trees("mlp_scores", lambda: MultilayerPerceptronClassifier(layers=[8, 16, 2], m
 
 @query("gbt_scores")
 def gbt_scores(spark, sf_dir):
-    """Boosted trees that stop early on a validation share of the training folds; scores of the hold-out fold."""
-    rows = _folded(order_vec(spark, sf_dir), 5).withColumn("held", F.col("fold") == 1)
-    model = GBTClassifier(maxIter=10, maxDepth=4, seed=1, validationIndicatorCol="held", validationTol=0.001).fit(L.prepared(rows.where("fold <> 0")))
-    return _scores(L.positive(model.transform(L.prepared(rows.where("fold = 0")))).withColumn("fold", F.lit(0)))
+    """Boosted trees that stop early on a fifth of the training rows, by hash."""
+    rows = _folded(order_vec(spark, sf_dir)).withColumn("held", F.pmod(F.xxhash64("id"), F.lit(5)) == 0)
+    trees = GBTClassifier(maxIter=10, maxDepth=4, seed=1, validationIndicatorCol="held", validationTol=0.001)
+    return _scores(L.by_fold(rows, FOLDS, lambda train, held: L.positive(trees.fit(L.prepared(train)).transform(L.prepared(held)))))
 
 
 def _base_scores(spark, sf_dir):
@@ -213,24 +209,24 @@ def calibrated(spark, sf_dir):
 
 @query("bagged")
 def bagged(spark, sf_dir):
-    """Mean probability of five members fitted on rows drawn with replacement."""
-    rows = _folded(order_vec(spark, sf_dir))
-    train, held = rows.where("fold <> 0"), L.prepared(rows.where("fold = 0")).persist()
-    draws, out = folds.bootstrap(train, 5, 3), None
-    for m in range(5):
-        drawn = L.prepared(train.join(draws.where(F.col("member") == m).select("id", F.col("weight").cast("double").alias("w")), "id"))
-        part = L.positive(LogisticRegression(maxIter=15, regParam=0.01, weightCol="w").fit(drawn).transform(held))
-        out = part if out is None else out.unionByName(part)
-    return _scores(out.groupBy("id", "y").agg(F.avg("score").alias("score")).withColumn("fold", F.lit(0)))
+    """Mean probability of five members fitted on rows drawn with replacement from the other folds."""
+
+    def scored(train, held):
+        draws, out, held = folds.bootstrap(train, 5, 3), None, L.prepared(held)
+        for m in range(5):
+            drawn = L.prepared(train.join(draws.where(F.col("member") == m).select("id", F.col("weight").cast("double").alias("w")), "id"))
+            part = L.positive(LogisticRegression(maxIter=15, regParam=0.01, weightCol="w").fit(drawn).transform(held))
+            out = part if out is None else out.unionByName(part)
+        return out.groupBy("id", "y").agg(F.avg("score").alias("score"))
+
+    return _scores(L.by_fold(_folded(order_vec(spark, sf_dir)), FOLDS, scored))
 
 
 @query("ranker")
 def ranker(spark, sf_dir):
-    """A pairwise logistic ranker: fitted on differences of rows, applied to rows."""
-    rows = _folded(order_vec(spark, sf_dir))
-    pairs = L.prepared(L.pair_differences(rows.where("fold <> 0")))
-    model = LogisticRegression(maxIter=20, regParam=0.01, fitIntercept=False).fit(pairs)
-    return _scores(L.positive(model.transform(L.prepared(rows.where("fold = 0")))).withColumn("fold", F.lit(0)))
+    """A pairwise logistic ranker: fitted on differences of the other folds' rows, applied to rows."""
+    model = LogisticRegression(maxIter=20, regParam=0.01, fitIntercept=False)
+    return _scores(L.by_fold(_folded(order_vec(spark, sf_dir)), FOLDS, lambda train, held: L.positive(model.fit(L.prepared(L.pair_differences(train))).transform(L.prepared(held)))))
 
 
 @query("label_noise_candidates")

@@ -122,10 +122,81 @@ def test_shrinkage_matches_its_definition(spark):
     mu = np.trace(s) / 4
     beta = sum(((np.outer(r, r) - s) ** 2).sum() for r in z) / 40**2 / 4
     delta = ((s - mu * np.eye(4)) ** 2).sum() / 4
-    got = gaussian.shrinkage(spark.createDataFrame([(0, 0, r.tolist()) for r in x], "model int, y int, x array<double>")).first()
-    assert got.shrinkage == pytest.approx(min(beta, delta) / delta) and got.mu == pytest.approx(mu)
-    n, mean, cov = gaussian.moments(spark.createDataFrame([(0, 0, r.tolist()) for r in x], "model int, y int, x array<double>"), 4)[0, 0]
+    train = spark.createDataFrame([(0, 0, r.tolist()) for r in x], "model int, y int, x array<double>")
+    n, mean, cov = gaussian.moments(train, 4)[0, 0]
     assert n == 40 and np.allclose(mean, x.mean(0)) and np.allclose(cov, s)
+    _, mu_got, weight = gaussian.shrinkage(train, {(0, 0): (n, mean, cov)})[0, 0]
+    assert weight == pytest.approx(min(beta, delta) / delta) and mu_got == pytest.approx(mu)
+    far = spark.createDataFrame([(0, 0, (r + 1e9).tolist()) for r in x], "model int, y int, x array<double>")
+    assert np.allclose(gaussian.moments(far, 4)[0, 0][2], s, atol=1e-6)
+
+
+def test_moments_of_classes_add_up():
+    x, y = np.random.default_rng(2).random((50, 3)), np.arange(50) % 3 == 0
+    found = {(0, c): (int((y == c).sum()), x[y == c].mean(0), np.cov(x[y == c].T, ddof=0)) for c in (0, 1)}
+    n, mean, cov = gaussian.together(found, 0)
+    assert n == 50 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T, ddof=0))
+
+
+def test_gaussian_features_equal_their_definitions():
+    rng = np.random.default_rng(5)
+    x = [rng.random((60, 4)), rng.random((50, 4)) + 0.3]
+    cov, mean = [np.cov(v.T, ddof=0) for v in x], [v.mean(0) for v in x]
+    every = np.cov(np.concatenate(x).T, ddof=0)
+    own = [gaussian.shrunk(c, 0.2) for c in cov]
+    got = gaussian.scores(z := rng.random((7, 4)), gaussian.class_state([60, 50], mean, cov, [0.2, 0.2], every))
+    squared = lambda m, c: np.array([(r - m) @ np.linalg.inv(c) @ (r - m) for r in z])
+    d = [squared(m, c) for m, c in zip(mean, own)]
+    assert np.allclose(got["mahal_sq_0"], d[0]) and np.allclose(got["mahal_norm_diff"], (d[0] - d[1]) / (d[0] + d[1]))
+    qda = [-0.5 * (q + np.linalg.slogdet(c)[1]) + np.log(n / 110) for q, c, n in zip(d, own, (60, 50))]
+    assert np.allclose(got["qda"], qda[1] - qda[0])
+    r = [squared(m, 0.75 * every + 0.25 * c) for m, c in zip(mean, own)]
+    assert np.allclose(got["rda_0.25"], r[0] - r[1]) and np.allclose(got["rda_norm_0.25"], (r[0] - r[1]) / (r[0] + r[1]))
+    w, c = mean[1] - mean[0], z - (mean[0] + mean[1]) / 2
+    axis = c @ w / np.linalg.norm(w)
+    off = np.linalg.norm(c - np.outer(axis, w / np.linalg.norm(w)), axis=1)
+    assert np.allclose(got["mid_axis"], axis) and np.allclose(got["mid_orth"], off) and np.allclose(got["mid_axis_snr"], axis / (off / 3**0.5))
+    value, vector = np.linalg.eigh(every)
+    root = vector / np.sqrt(value) @ vector.T
+    f = root @ w / np.linalg.norm(root @ w)
+    assert np.allclose(got["fisher_axis"], c @ root @ f) and np.allclose(got["fisher_cos"], c @ root @ f / np.linalg.norm(c @ root, axis=1))
+    logp = []
+    for m, s in zip(mean, cov):
+        value, vector = np.linalg.eigh(s)
+        full = vector[:, -2:] * value[-2:] @ vector[:, -2:].T + value[:2].mean() * vector[:, :2] @ vector[:, :2].T
+        logp.append(-0.5 * (squared(m, full) + np.linalg.slogdet(2 * np.pi * full)[1]))
+    assert np.allclose(got["ppca_logp0_2"], logp[0]) and np.allclose(got["ppca_llr_2"], logp[1] - logp[0])
+    left = [np.linalg.norm((z - m) @ np.linalg.eigh(s)[1][:, :2], axis=1) for m, s in zip(mean, cov)]
+    assert np.allclose(got["subspace_diff_2"], left[0] - left[1])
+
+
+def test_copulas_equal_their_definition(spark):
+    from statistics import NormalDist
+
+    from quillstone.operators import copula
+
+    rng = np.random.default_rng(6)
+    x, y, fold = np.maximum(rng.normal(size=(60, 3)), 0).round(2), np.arange(60) % 2, np.arange(60) // 2 % 3
+    long = spark.createDataFrame([(i, int(y[i]), int(fold[i]), j, float(x[i, j])) for i in range(60) for j in range(3)], "id long, y int, fold int, j int, v double")
+    got = {r.id: (r.logp0, r.logp1) for r in copula.scores(long, 3, 3).collect()}
+
+    def normal(values, own):
+        u = np.array([[(np.sort(own[:, j]).searchsorted(v[j], "right") + 0.5) / (len(own) + 1) for j in range(3)] for v in values])
+        return np.vectorize(NormalDist().inv_cdf)(np.clip(u, 1e-4, 1 - 1e-4))
+
+    for f in range(3):
+        held = np.flatnonzero(fold == f)
+        for c in (0, 1):
+            own = x[(fold != f) & (y == c)]
+            z = normal(own, own)
+            cov = np.cov(z.T, ddof=0)
+            n, p, centred = len(z), 3, z - z.mean(0)
+            norm, trace = (cov * cov).sum(), np.trace(cov)
+            beta, delta = (np.mean((centred**2).sum(1) ** 2) - norm) / (p * n), (norm - trace**2 / p) / p
+            s = gaussian.shrunk(cov, min(beta, delta) / delta)
+            t = normal(x[held], own)
+            want = -0.5 * (np.linalg.slogdet(s)[1] + np.einsum("ij,jk,ik->i", t, np.linalg.inv(s), t) - (t * t).sum(1))
+            assert np.allclose([got[i][c] for i in held], want)
 
 
 def test_whitened_coordinates_have_unit_covariance(spark):
@@ -197,7 +268,7 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
 
     rng = np.random.default_rng(7)
     x = rng.random((30, 4))
-    states = {0: gaussian.class_state([15, 15], [x[:15].mean(0), x[15:].mean(0)], [np.cov(x[:15].T, ddof=0), np.cov(x[15:].T, ddof=0)], [0.1, 0.1])}
+    states = {0: gaussian.class_state([15, 15], [x[:15].mean(0), x[15:].mean(0)], [np.cov(x[:15].T, ddof=0), np.cov(x[15:].T, ddof=0)], [0.1, 0.1], np.cov(x.T, ddof=0))}
     rows = spark.createDataFrame([(i, 0, r.tolist()) for i, r in enumerate(x)], "id long, model int, x array<double>")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
