@@ -70,7 +70,7 @@ class Index:
         self.vectors, self.blocks, self.dim, self.centroid, self.turn, self.n = vectors, blocks, dim, centroid, turn, n
 
 
-def build(vectors: DataFrame, n_rotations: int = 4, block: int = 16384, seed: int = 7, vec_id: str = "vec_id", embedding: str = "embedding") -> Index | None:
+def build(vectors: DataFrame, n_rotations: int = 16, block: int = 16384, seed: int = 7, vec_id: str = "vec_id", embedding: str = "embedding") -> Index | None:
     """The index over all usable vectors; None if there is none."""
     rows = narrow(vectors, vec_id=vec_id, x=embedding).where(usable(F.col("x")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("x").cast("array<double>").alias("x"))
     sizes = rows.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
@@ -126,7 +126,7 @@ def bounds(code: np.ndarray, norm: np.ndarray, fit: np.ndarray, ones: np.ndarray
         yield base - scale * np.minimum(1, inner + slack), base - scale * np.maximum(-1, inner - slack)
 
 
-def search(index: Index | None, queries: DataFrame, k: int = 10, width: float = 3.0, query_block: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def search(index: Index | None, queries: DataFrame, k: int = 10, width: float = 2.5, query_block: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of each query's k nearest rows."""
     spark = queries.sparkSession
     if index is None:
