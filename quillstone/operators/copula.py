@@ -36,6 +36,7 @@ def normal_scores(long: DataFrame, folds: int) -> DataFrame:
     totals = train.groupBy("model", "c", "j").agg(F.sum("n").alias("total"))
     grid = long.select("j", "v").distinct().withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("c", F.explode(F.array(F.lit(0), F.lit(1))))
     counts = grid.join(train, ["model", "c", "j", "v"], "left").select("model", "c", "j", "v", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = cut_lineage(counts, "copula-counts")  # read several times
     placed = count_before(counts, "v", "model", "c", "j").join(totals, ["model", "c", "j"])
     share = (F.col("before") + F.col("n") + 0.5) / (F.col("total") + 1)
     return placed.select("model", "c", "j", "v", inverse_normal(F.least(F.greatest(share, F.lit(CLIP)), F.lit(1 - CLIP))).alias("z"))
@@ -43,6 +44,7 @@ def normal_scores(long: DataFrame, folds: int) -> DataFrame:
 
 def scores(long: DataFrame, folds: int, p: int) -> DataFrame:
     """(id, model, logp0, logp1) of each row (id, y, fold, j, v) under the copulas of the other folds."""
+    long = cut_lineage(long, "copula-rows")
     z = cut_lineage(normal_scores(long, folds), "copula-scores")
     packed = lambda df, *by: df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("j", "z"))).alias("s")).select(*by, F.col("s.z").alias("x"))
     seen = K.training(long, folds).where("model >= 0").join(z.withColumnRenamed("c", "y"), ["model", "y", "j", "v"])

@@ -16,6 +16,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut_lineage
+
 
 def fourier(rows: DataFrame, parts: list[tuple[int, int, float, float]], features: int = 256, seed: int = 5) -> DataFrame:
     """rows with x replaced by features of the kernel: the sum over parts (first, last, weight, gamma) of weight exp(-gamma d2)."""
@@ -57,7 +59,7 @@ def out_of_fold(rows: DataFrame, estimator, folds: int) -> DataFrame:
 
 def by_fold(rows: DataFrame, folds: int, scored) -> DataFrame:
     """The rows of every fold as scored(rows of the other folds, rows of the fold) returns them, with their fold."""
-    out = None
+    rows, out = cut_lineage(rows, "fold-rows"), None  # fits read them many times
     for f in range(folds):
         part = scored(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)).withColumn("fold", F.lit(f))
         out = part if out is None else out.unionByName(part)

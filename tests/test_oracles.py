@@ -1,6 +1,7 @@
 """Every query with a DuckDB counterpart against it, at the smallest scale."""
 
 import glob
+import math
 import os
 
 import duckdb
@@ -38,6 +39,19 @@ def test_query_equals_sql(spark, duck, name):
     spark.catalog.clearCache()
 
 
+#: Queries of fitted models and the table of their rows.
+SCORED = {"copula_llr": "embeddings", "gbt_scores": "orders", "mixture_components": "orders", "ranker": "orders"}
+
+
+@pytest.mark.parametrize("name", sorted(SCORED))
+def test_models_score_each_row_once_out_of_fold(spark, name):
+    rows = registry.QUERIES[name](spark, DIR).collect()
+    assert len({r.id for r in rows}) == len(rows) > 0 and {r.fold for r in rows} == set(range(3))
+    values = [v for r in rows for v in r if isinstance(v, float)]
+    assert values and all(math.isfinite(v) for v in values)
+    assert len(rows) <= spark.read.parquet(f"{DIR}/{SCORED[name]}.parquet").count()
+
+
 def test_entry_gives_the_flagship(spark):
     assert entry_point.entry(spark).count() == 10
 
