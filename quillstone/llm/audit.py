@@ -28,7 +28,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, narrow
+from .common import UPPER, materialize, narrow
 
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Fixed values of the five filters: fewest words, percent of distinct words, percent of capitals, marks.
@@ -81,16 +81,17 @@ def survivors(counts: DataFrame, names: list[str]) -> DataFrame:
     return alive.select("part", sum((F.col(f"rolled {n}").cast("int") * -1 + 1) * (1 << i) for i, n in enumerate(names)).alias("subset"), *[F.col(c).cast("long").alias(c) for c in ("n", "good", "toxic")])
 
 
-def steps(names: list[str]) -> list[tuple[str, int, str, int, int]]:
-    """(order, step, filter, subset before, subset after) of all orders; n! n of them, for the few filters there are."""
-    found = []
-    for order in permutations(names):
-        done = 0
-        for k, name in enumerate(order, 1):
-            after = done | 1 << names.index(name)
-            found.append(("".join(order), k, name, done, after))
-            done = after
-    return found
+def steps(parts: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of parts with (filter_order, step, filter, before, after): every step of every order, with the subsets around it.
+
+    There are n! n of them, for the few filters there are.
+    """
+    bit = {n: F.lit(1 << i) for i, n in enumerate(names)}
+    rows = parts.withColumn("filter_order", F.explode(F.split(F.lit(",".join(map("".join, permutations(names)))), ",")))
+    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(names))))).withColumn("filter", F.substr("filter_order", "step", F.lit(1)))
+    before = sum(F.when(F.instr("filter_order", n) < F.col("step"), b).otherwise(0) for n, b in bit.items())
+    after = sum(F.when(F.instr("filter_order", n) <= F.col("step"), b).otherwise(0) for n, b in bit.items())
+    return rows.withColumns({"before": before, "after": after})
 
 
 def audit(counts: DataFrame, names: list[str]) -> DataFrame:
@@ -100,10 +101,8 @@ def audit(counts: DataFrame, names: list[str]) -> DataFrame:
     (failing the filter, gone before), unique_fails, good_lost, toxic_lost, shapley (removed by the
     filter, summed over all orders).  Filters have names of one letter.
     """
-    alive = survivors(counts, names)
-    plan = F.array(*[F.struct(F.lit(o).alias("filter_order"), F.lit(k).alias("step"), F.lit(f).alias("filter"), F.lit(a).alias("before"), F.lit(b).alias("after")) for o, k, f, a, b in steps(names)])
-    parts = alive.where("subset = 0").select("part", F.col("n").alias("total"))
-    rows = parts.select("part", "total", F.explode(plan).alias("s")).select("part", "total", "s.*")
+    alive = materialize(survivors(counts, names), "survivors")  # 2^n rows per part at most, read three times
+    rows = steps(alive.where("subset = 0").select("part"), names)
     for at in ("before", "after"):
         rows = rows.join(alive.select("part", F.col("subset").alias(at), *[F.col(c).alias(f"{c} {at}") for c in ("n", "good", "toxic")]), ["part", at], "left")
     rows = rows.fillna(0)
