@@ -15,8 +15,10 @@ from .packing import pack_documents
 from .secrets import open_ledger, report, scan
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .trie import prefix_trie
 from .url_filter import filter_urls
 from .wavelet import read_documents, write_shards
+from .webpages import extract
 
 #: Fixed values: (verdict, host, path).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -89,6 +91,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.flag_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), list("ABCDE"))
 
@@ -104,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_one_bit_neighbours": op8_one_bit_neighbours,
     "op9_winnow_decontamination": op9_winnow_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -183,6 +196,33 @@ found AS (
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(f.n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM doc_words d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
+""",
+    "op12_prefix_trie": r"""
+WITH turns AS (
+  SELECT conv_id, r, t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+heads AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT h.conv_id, b.i, b.r, b.t FROM heads h JOIN turns b ON b.conv_id = h.base AND b.i <= h.h
+  UNION ALL SELECT h.conv_id, o.i, o.r, o.t FROM heads h JOIN turns o ON o.conv_id = h.conv_id AND o.i > h.h),
+paths AS (
+  SELECT h.conv_id, coalesce(list({'r': r, 't': t} ORDER BY i) FILTER (i IS NOT NULL), []) AS p FROM heads h LEFT JOIN rebuilt x ON h.conv_id = x.conv_id GROUP BY h.conv_id),
+prefixes AS (SELECT conv_id, d, p[1 : d] AS pre, len(p) = d AS is_end FROM (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT pre, d, min(conv_id) AS c, count(*) AS n, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '') AS ends,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(list_filter(string_split_regex(pre[d].t, '[\x20\x09-\x0D]+'), lambda w: w <> '')) END AS saved
+  FROM prefixes GROUP BY pre, d),
+children AS (SELECT pre[1 : d - 1] AS pre, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+whole AS (SELECT n.*, coalesce(k, 0) AS k FROM nodes n LEFT JOIN children USING (pre)),
+subtrees AS (
+  SELECT pre[1 : up] AS pre, sum(saved) AS saved, count(*) FILTER (k = 0) AS leaves FROM (SELECT pre, saved, k, unnest(range(0, d + 1)) AS up FROM whole) GROUP BY ALL)
+SELECT w.c AS conv_id, CAST(w.d AS BIGINT) AS depth, p.c AS parent_conv_id, w.n AS n_convs, CAST(w.k AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM whole w JOIN subtrees s ON w.pre = s.pre LEFT JOIN whole p ON w.d > 0 AND p.pre = w.pre[1 : w.d - 1]
 """,
     "op13_filter_audit": r"""
 WITH words AS (
