@@ -18,7 +18,7 @@ different places are different tokens.
 4. *Roles.*  Menus, headers, footers, sidebars, notices, adverts, forms and comments, told by element, role
    or class, are left out inside of slots too.
 
-Hosts with fewer than `FEW` different pages use the template of all pages of the table.  A page that does not fit its host's
+Hosts with fewer than `FEW` different pages use the template of all pages of the table, which has tags only.  A page that does not fit its host's
 template is read by its own article or main element, or in full without what rule 4 leaves out.
 
 Blocks are the texts between tags of block elements; <br> is white space.  Character references are
