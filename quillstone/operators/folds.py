@@ -35,9 +35,44 @@ def stratified(vec: DataFrame, k: int, seeds: list[int], key: str = "id", label:
     return ranked.select("repeat", "seed", key, label, F.pmod(F.col("k"), F.lit(k)).cast("int").alias("fold"))
 
 
-def grouped(vec: DataFrame, k: int, group: str) -> DataFrame:
-    """Folds by the hash of a group, so that equal rows stay together; any number of groups."""
-    return vec.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))
+def group_order(shapes: list[tuple[int, int, int, int]], k: int) -> list[list[int]]:
+    """For each shape (rows, rows of class 0, of class 1, groups of that shape) the order in which its groups are dealt to the folds.
+
+    The largest groups come first.  Every fold gets the same number of groups of a shape; what is left over goes to the
+    folds that have least of the classes that these groups hold.
+    """
+    total = [max(1, sum(s[c] * s[3] for s in shapes)) for c in (0, 1, 2)]
+    load, out = [[0, 0, 0] for _ in range(k)], [[] for _ in shapes]
+    for i in sorted(range(len(shapes)), key=lambda i: shapes[i][:3], reverse=True):
+        shape, m = shapes[i][:3], shapes[i][3]
+        order = sorted(range(k), key=lambda f: (sum(load[f][c] * shape[c] / total[c] ** 2 for c in (0, 1, 2)), f))
+        for place, f in enumerate(order):
+            got = m // k + (place < m % k)
+            for c in (0, 1, 2):
+                load[f][c] += got * shape[c]
+        out[i] = order
+    return out
+
+
+def grouped(vec: DataFrame, k: int, group: str, label: str = "y", exact: int = 64, seed: int = 7) -> DataFrame:
+    """vec with stratified folds that never cut a group: groups are dealt by their class counts.
+
+    Groups with the same counts (a shape; those of more than `exact` rows: the same size and a sixteenth of class 1) are
+    numbered by hash and dealt round the folds.  The shapes are what reaches the driver: there are fewer than the root of
+    twice the rows different sizes, whatever the number of groups.  Rows with a null group are groups of their own by hash.
+    """
+    key = F.col(group)
+    counts = vec.where(key.isNotNull()).groupBy(key.alias("__group")).agg(F.count("*").alias("__rows"), *[F.count_if(F.col(label) == c).alias(f"__n{c}") for c in (0, 1)])
+    small = F.col("__rows") <= exact
+    rough = lambda c: F.when(small, F.col(c)).otherwise(F.round(F.col(c) * 16 / F.col("__rows")) * F.col("__rows") / 16).cast("long")
+    shaped = counts.select(F.xxhash64("__group").alias("__key"), "__group", "__rows", rough("__n0").alias("__shape0"), rough("__n1").alias("__shape1"))
+    shapes = shaped.groupBy("__rows", "__shape0", "__shape1").agg(F.count("*").alias("m")).collect()  # a row per shape
+    orders = group_order([(r["__rows"], r["__shape0"], r["__shape1"], r["m"]) for r in shapes], k)
+    dealt = vec.sparkSession.createDataFrame([(r["__rows"], r["__shape0"], r["__shape1"], o) for r, o in zip(shapes, orders, strict=True)], "__rows long, __shape0 long, __shape1 long, __order array<int>")
+    placed = hashed_rank(shaped, seed, "__key", "__rows", "__shape0", "__shape1", name="__place").join(F.broadcast(dealt), ["__rows", "__shape0", "__shape1"])
+    fold = placed.select("__group", F.element_at("__order", (F.col("__place") % k + 1).cast("int")).alias("fold"))
+    alone = F.pmod(F.xxhash64(F.lit(seed), *[c for c in vec.columns if c != group]), F.lit(k)).cast("int")
+    return vec.join(fold, key == F.col("__group"), "left").withColumn("fold", F.coalesce("fold", alone)).drop("__group")
 
 
 def bootstrap(vec: DataFrame, members: int, seed: int, key: str = "id") -> DataFrame:

@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """df written in the shared folder of spark.checkpoint.dir and read again; only local sessions may lack that setting."""
-    spark = df.sparkSession
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; only local sessions may lack that setting."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="scratch-")
         spark.sparkContext.setCheckpointDir(f"file://{root}")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """df written in the shared folder and read again."""
+    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:

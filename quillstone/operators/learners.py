@@ -9,6 +9,7 @@ fit is distributed, which an n x n Gram matrix is not.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import cut_lineage
+from .parallel import side_by_side
 
 
 def fourier(rows: DataFrame, parts: list[tuple[int, int, float, float]], features: int = 256, seed: int = 5) -> DataFrame:
@@ -49,21 +51,18 @@ def positive(scored: DataFrame) -> DataFrame:
 
 def out_of_fold(rows: DataFrame, estimator, folds: int) -> DataFrame:
     """(id, y, fold, score): each row scored by the model fitted on the other folds; rows: id, y, fold, x."""
-    data, out = prepared(rows).persist(), None
-    for f in range(folds):
-        model = estimator.fit(data.where(F.col("fold") != f))
-        part = positive(model.transform(data.where(F.col("fold") == f))).withColumn("fold", F.lit(f))
-        out = part if out is None else out.unionByName(part)
-    return out
+    data = cut_lineage(rows.select("id", "y", "fold", "x"), "fold-rows")  # fits read them many times
+    data = prepared(data)
+    models = side_by_side([partial(estimator.fit, data.where(F.col("fold") != f)) for f in range(folds)])
+    parts = [positive(m.transform(data.where(F.col("fold") == f))).withColumn("fold", F.lit(f)) for f, m in enumerate(models)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def by_fold(rows: DataFrame, folds: int, scored) -> DataFrame:
     """The rows of every fold as scored(rows of the other folds, rows of the fold) returns them, with their fold."""
-    rows, out = cut_lineage(rows, "fold-rows"), None  # fits read them many times
-    for f in range(folds):
-        part = scored(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)).withColumn("fold", F.lit(f))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = cut_lineage(rows, "fold-rows")  # fits read them many times
+    parts = side_by_side([partial(scored, rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)) for f in range(folds)])
+    return reduce(DataFrame.unionByName, [p.withColumn("fold", F.lit(f)) for f, p in enumerate(parts)])
 
 
 def log_density(rows: DataFrame, mixture, name: str) -> DataFrame:

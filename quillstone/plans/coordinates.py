@@ -10,7 +10,7 @@ from ..operators import coordinates as K
 from ..operators import folds
 from ..operators.graph import cut_lineage
 from ..operators.ranks import feature_auc, quantiles
-from ..sources.fixtures import ORDER_VEC, VEC_PAIRS, VEC_RELU, long_form, order_vec, vec_pairs, vec_relu
+from ..sources.fixtures import DOC_VEC, ORDER_VEC, VEC_PAIRS, VEC_RELU, long_form, order_vec, vec_pairs, vec_relu
 from .register import query
 
 
@@ -100,12 +100,19 @@ def holdout_split(spark, sf_dir):
     return folds.stratified(order_vec(spark, sf_dir), 20, [5]).select("id", "y", (F.col("fold") < 3).alias("held_out"))
 
 
-@query("group_folds")
+@query("group_folds", f"""
+WITH {DOC_VEC}, g AS (SELECT x, count(*) AS n, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM v GROUP BY x)
+SELECT c.y, c.n, g.groups, true AS whole, true AS even FROM (SELECT y, count(*) AS n FROM v GROUP BY y) c, (SELECT count(*) AS groups FROM g) g""")
 def group_folds(spark, sf_dir):
-    """Folds in which equal vectors stay together."""
+    """Folds in which equal vectors stay together: by class, whether no group is cut and no fold is further from its even share than the largest group."""
     from ..sources.fixtures import doc_vec
 
-    return folds.grouped(doc_vec(spark, sf_dir), 5, "x").select("id", "y", "fold")
+    rows = folds.grouped(doc_vec(spark, sf_dir), FOLDS, "x")
+    groups = rows.groupBy("x").agg(F.countDistinct("fold").alias("folds"), F.count("*").alias("n"), *[F.count_if(F.col("y") == c).alias(f"n{c}") for c in (0, 1)])
+    seen = groups.agg(F.count("*").alias("groups"), (F.max("folds") == 1).alias("whole"), F.max("n").alias("largest"))
+    share = rows.groupBy("y", "fold").agg(F.count("*").alias("n")).groupBy("y").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.when(F.count("*") == FOLDS, F.min("n")).otherwise(0).alias("least"))
+    even = F.greatest(F.col("most") - F.col("n") / FOLDS, F.col("n") / FOLDS - F.col("least")) <= F.col("largest")
+    return share.join(F.broadcast(seen)).select("y", "n", "groups", "whole", even.alias("even"))
 
 
 @query("bootstrap_draws")

@@ -66,6 +66,24 @@ v AS (SELECT l_orderkey AS id, [a, b, c, d, e, f, g, h] AS x, CAST(substr(o_orde
 l AS (SELECT id, y, unnest(generate_series(0, len(x) - 1)) AS j, unnest(x) AS v FROM v)"""
 
 
+def part_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same eight numbers per part that order_vec has per order, without a label: rows for fitted models to score."""
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    agg = line.groupBy("l_partkey").agg(
+        F.count("*").cast("double").alias("a"), F.countDistinct("l_orderkey").cast("double").alias("b"), r6(F.sum("l_quantity")).alias("c"), r6(F.max("l_extendedprice")).alias("d"),
+        r6(F.min("l_extendedprice")).alias("e"), F.max("l_discount").alias("f"), F.max("l_tax").alias("g"), F.count_if(F.col("l_returnflag") == "R").cast("double").alias("h"),
+    )
+    return agg.join(part, agg.l_partkey == part.p_partkey).select(F.col("l_partkey").alias("id"), F.array(*"abcdefgh").alias("x"))
+
+
+PART_VEC = """
+pagg AS (
+  SELECT l_partkey, CAST(count(*) AS DOUBLE) AS a, CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS b, round(sum(l_quantity), 6) AS c, round(max(l_extendedprice), 6) AS d,
+    round(min(l_extendedprice), 6) AS e, max(l_discount) AS f, max(l_tax) AS g, CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) AS h
+  FROM lineitem GROUP BY l_partkey),
+pv AS (SELECT l_partkey AS id, [a, b, c, d, e, f, g, h] AS x FROM pagg JOIN part ON l_partkey = p_partkey)"""
+
+
 def doc_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of characters, blanks, digits, punctuation and newlines; y: the quality label, if any."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
