@@ -47,7 +47,7 @@ def text_failures(text: Column) -> dict[str, Column]:
 
 
 def flag_counts(docs: DataFrame, labels: DataFrame, failures: Mapping[str, Column] | None = None, copies: str = "E", part: str = "lang") -> DataFrame:
-    """(part, a flag per filter, n, good, toxic): rows counted by what they fail.
+    """(part, a flag "fails X" per filter X, n, good, toxic): rows counted by what they fail.
 
     docs: doc_id, text and the part's column.  failures: conditions over the column `text`; by
     default text_failures.  copies: name of the filter that fails rows whose text a smaller doc_id has.
@@ -68,7 +68,7 @@ def flag_counts(docs: DataFrame, labels: DataFrame, failures: Mapping[str, Colum
     passing = F.col("nameless") + F.when(F.col("first.doc_id") == F.col("least"), F.col("first.k")).otherwise(0)
     both = F.array(F.struct(F.lit(False).alias("copy"), passing.alias("n")), F.struct(F.lit(True).alias("copy"), (F.col("n") - passing).alias("n")))
     dealt = least.select("part", "quality", "toxic", *flags, F.explode(both).alias("x")).select("part", "quality", "toxic", *flags, F.col("x.copy").alias(f"fails {copies}"), F.col("x.n").alias("n")).where("n > 0")
-    return dealt.groupBy("part", *[F.col(f"fails {n}").alias(n) for n in [*names, copies]]).agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col(c), F.col("n"))), F.lit(0)).alias(a) for c, a in (("quality", "good"), ("toxic", "toxic"))])
+    return dealt.groupBy("part", *flags, f"fails {copies}").agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col(c), F.col("n"))), F.lit(0)).alias(a) for c, a in (("quality", "good"), ("toxic", "toxic"))])
 
 
 def survivors(counts: DataFrame, names: list[str]) -> DataFrame:
@@ -76,8 +76,8 @@ def survivors(counts: DataFrame, names: list[str]) -> DataFrame:
 
     subset: a bit per filter, the first one the lowest.  A subset that nothing survives has no row.
     """
-    cube = counts.cube("part", *names).agg(F.grouping("part").alias("all parts"), *[F.grouping(n).alias(f"rolled {n}") for n in names], *[F.sum(c).alias(c) for c in ("n", "good", "toxic")])
-    alive = cube.where(F.col("all parts") == 0).where(" AND ".join(f"(`rolled {n}` = 1 OR NOT `{n}`)" for n in names))
+    cube = counts.cube("part", *[f"fails {n}" for n in names]).agg(F.grouping("part").alias("all parts"), *[F.grouping(f"fails {n}").alias(f"rolled {n}") for n in names], *[F.sum(c).alias(c) for c in ("n", "good", "toxic")])
+    alive = cube.where(F.col("all parts") == 0).where(" AND ".join(f"(`rolled {n}` = 1 OR NOT `fails {n}`)" for n in names))
     return alive.select("part", sum((F.col(f"rolled {n}").cast("int") * -1 + 1) * (1 << i) for i, n in enumerate(names)).alias("subset"), *[F.col(c).cast("long").alias(c) for c in ("n", "good", "toxic")])
 
 
