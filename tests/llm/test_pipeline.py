@@ -114,31 +114,13 @@ def shingle_set(text):
     return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def wide(shingles):
-    """The fingerprint by definition: bits as a list."""
-    hashes = sorted(xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles)
-    m, out = (1 << 64) - 1, []
-    for k in range(1, 5):
-        mixed = []
-        for h in hashes:
-            z = (h + k * 0x9E3779B97F4A7C15) & m
-            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & m
-            z = (z ^ z >> 27) * 0x94D049BB133111EB & m
-            mixed.append(z ^ z >> 31)
-        for b in range(64):
-            ones = 2 * sum(z >> b & 1 for z in mixed)
-            out.append(ones > len(mixed) or (ones == len(mixed) > 0 and mixed[0] >> b & 1))
-    return sum(int(x) << i for i, x in enumerate(out))
-
-
 def brute_firsts(rows):
-    """rows: (doc_id, text); the ids that stay."""
+    """rows: (doc_id, text); the ids that stay if every pair is compared on its whole sets."""
     sets = [shingle_set(t) for _, t in rows]
-    fps = [wide(s) for s in sets]
     group = list(range(len(rows)))
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            alike = a == b or (a and b and (fps[i] ^ fps[j]).bit_count() <= simhash.radius_for(0.8) and min(len(a), len(b)) >= 0.8**2 * max(len(a), len(b)))
+            alike = a == b or len(a & b) ** 2 >= 0.64 * len(a) * len(b) > 0
             if alike and group[i] != group[j]:
                 old, new = max(group[i], group[j]), min(group[i], group[j])
                 group = [new if g == old else g for g in group]
@@ -169,7 +151,7 @@ def test_packing_holds_what_is_left(stages):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     found = c.sql(queries.ORACLE_SQL[name])
     df = queries.QUERIES[name](spark, DIR)
@@ -177,11 +159,39 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(repr, found.fetchall())) == sorted(repr(tuple(r)) for r in df.select(found.columns).collect())
 
 
-def test_all_eleven_are_registered():
+def test_all_are_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
+
+
+def test_nearest_links_are_a_minimum_spanning_forest():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(50):
+        n = rng.randrange(2, 12)
+        edges = [(*rng.sample(range(n), 2), rng.randrange(6)) for _ in range(rng.randrange(1, 30))]
+        i, j, d = (np.array(c) for c in zip(*edges))
+        picked = simhash.nearest_links(n, i, j, d)
+        group, weight = list(range(n)), 0
+        for u, v, w in sorted(edges, key=lambda e: e[2]):
+            if group[u] != group[v]:
+                weight, group = weight + w, [group[u] if g == group[v] else g for g in group]
+        assert d[picked].sum() == weight and len(picked) == n - len(set(group))
+
+
+def test_large_groups_of_near_copies_are_one_group(spark):
+    import random
+
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(120)]
+    texts = [" ".join("changed" + str(i) if k == i % 100 + 6 else w for k, w in enumerate(base)) for i in range(600)]
+    texts += [" ".join(rng.sample(base, 120)) for _ in range(20)]  # the same words in other orders
+    assert kept_by_near_stage(spark, texts) == [0, *range(600, 620)]
 
 
 def near_texts():
@@ -208,8 +218,8 @@ def kept_by_near_stage(spark, texts):
 
 def test_near_stage_equals_brute_force_and_finds_copies(spark):
     texts = near_texts()
-    got = kept_by_near_stage(spark, texts)
-    assert got == brute_firsts(list(enumerate(texts)))
+    got, want = kept_by_near_stage(spark, texts), brute_firsts(list(enumerate(texts)))
+    assert set(want) <= set(got) and len(got) - len(want) <= 0.05 * (len(texts) - len(want))  # nothing goes that brute force keeps
     assert sum(i % 3 == 0 for i in got) == len(texts) // 3  # the bases differ and stay
     cosine = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
     copies = [i for i in range(len(texts)) if i % 3 and any(cosine(shingle_set(texts[i]), shingle_set(texts[j])) >= 0.8 for j in range(i - i % 3, i))]
@@ -225,9 +235,9 @@ def test_near_stage_links_no_unlike_texts(spark):
 def test_near_stage_cuts_tiles_without_losing_links(spark):
     from pyspark.sql import functions as F
 
-    texts = near_texts()
-    sizes, fps = simhash.wide_fingerprints(texts)
-    rows = [(i, int(n), f.view("int64").tolist()) for i, (n, f) in enumerate(zip(sizes, fps))]
-    classes = spark.createDataFrame(rows, "node long, n int, fp array<long>")
+    sets = simhash.shingle_sets(near_texts())
+    rows = [(i, len(s), f.view("int64").tolist(), c.view("int64").tolist()) for i, (s, f, c) in enumerate(zip(sets, simhash.wide_fingerprints(sets), simhash.cells(sets)))]
+    rows = [(i, n, f, [*c, 7]) for i, n, f, c in rows]  # one cell that all share
+    classes = spark.createDataFrame(rows, "node long, n int, fp array<long>, cells array<long>")
     found = [{(r.node, r.root) for r in simhash.components(simhash.wide_pairs(classes, 0.8, tile=t)).where(F.col("node") != F.col("root")).collect()} for t in (4, 1000)]
     assert found[0] == found[1] and found[0]
