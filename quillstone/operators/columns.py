@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +49,28 @@ def bin_of(v, edges):
 def correlations(long: DataFrame, spearman: bool = False) -> DataFrame:
     """(a, b, n, r) for all pairs of columns a < b; null where a column is constant.
 
-    Rows are taken apart and met again inside their own id: width^2 / 2 products per row that are
-    summed up before the shuffle, never a pair of rows.
+    Each id's standard scores are one vector; a task sums up the products of its vectors as one matrix, and
+    what is shuffled is such a matrix per task, never a product per row.
     """
     cells = long.select("id", "j", "v")
     if spearman:
         ranks = average_rank_by_counts(cells, "v", "j")
         cells = cells.join(ranks, ["j", "v"]).select("id", "j", F.col("rank").alias("v"))
     means = F.broadcast(cells.groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")))  # a row per column
-    unit = cells.join(means, "j").select("id", "j", F.when(F.col("s") > 0, (F.col("v") - F.col("m")) / F.col("s")).alias("z"))
-    rows = unit.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("j", "z"))).alias("r"))  # one vector
-    left = rows.select("r", F.explode("r").alias("one"))
-    pairs = left.select("one", F.explode(F.filter("r", lambda t: t.j > F.col("one.j"))).alias("two"))
-    return pairs.groupBy(F.col("one.j").alias("a"), F.col("two.j").alias("b")).agg(F.count("*").alias("n"), F.avg(F.col("one.z") * F.col("two.z")).alias("r"))
+    unit = cells.join(means, "j").select("id", "j", F.when(F.col("s") > 0, (F.col("v") - F.col("m")) / F.col("s")).otherwise(float("nan")).alias("z"))
+    rows = unit.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("j", "z"))).alias("r")).select("r.j", "r.z")  # one vector
+
+    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, list] = {}
+        for batch in batches:
+            keys = batch["j"].map(tuple)
+            for js, z in batch["z"].groupby(keys):
+                z = np.stack(z.to_numpy())
+                had = sums.setdefault(js, [0, 0.0])
+                had[0], had[1] = had[0] + len(z), had[1] + z.T @ z
+        for js, (n, s) in sums.items():
+            a, b = np.triu_indices(len(js), 1)
+            yield pd.DataFrame({"a": np.array(js)[a], "b": np.array(js)[b], "n": n, "s": s[a, b]})
+
+    pairs = rows.mapInPandas(gram, "a int, b int, n long, s double").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return pairs.select("a", "b", "n", F.nanvl(F.col("s") / F.col("n"), F.lit(None).cast("double")).alias("r"))

@@ -27,6 +27,14 @@ def normalized(config: DataFrame) -> DataFrame:
     return config.withColumn("weight", F.when(good, F.col("weight") / total).otherwise(F.raise_error(F.concat(F.lit("the weights are not usable in "), "name"))))
 
 
+def sums_to_one(config: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """config(name, model, weight) as it is; weights that are negative or do not sum to one are an error."""
+    total = F.sum("weight").over(Window.partitionBy("name"))
+    least = F.min("weight").over(Window.partitionBy("name"))
+    good = (least >= 0) & (F.abs(total - 1) <= tolerance)
+    return config.withColumn("weight", F.when(good, F.col("weight")).otherwise(F.raise_error(F.concat(F.lit("the weights do not sum to one in "), "name"))))
+
+
 def rank_blend(ranks: DataFrame, config: DataFrame, *key: str) -> DataFrame:
     """(name, key, score): weighted sums of the ranks r of each model for every configuration; one query for all."""
     used = F.broadcast(normalized(config).where("weight > 0"))  # a row per model and configuration
@@ -46,6 +54,26 @@ def paired(auc: DataFrame, baseline, tolerance: float = 1e-12) -> DataFrame:
     )
 
 
+def signed_rank_p(differences: list[float]) -> float:
+    """Two-sided exact p of the signed-rank sum, ties of absolute differences sharing the mean of their ranks; zeros are left out, 1 for none.
+
+    differences: one per fold.  Ranks are doubled, so that those of ties are whole.
+    """
+    d = sorted((abs(x), x > 0) for x in differences if x)
+    doubled, k = [], 0
+    while k < len(d):
+        same = sum(a == d[k][0] for a, _ in d)
+        doubled += [2 * k + same + 1] * same
+        k += same
+    ways = [1] + [0] * sum(doubled)
+    for r in doubled:
+        for at in range(len(ways) - 1, r - 1, -1):
+            ways[at] += ways[at - r]
+    plus = sum(r for r, (_, up) in zip(doubled, d, strict=True) if up)
+    low = min(plus, sum(doubled) - plus)
+    return min(1.0, 2 * sum(ways[: low + 1]) / 2 ** len(d)) if d else 1.0
+
+
 def wilcoxon_p(w_plus: float, n: int) -> float:
     """Two-sided exact p of the signed-rank sum for n differences without ties; 1 for none."""
     ways = [1]

@@ -87,15 +87,15 @@ class Isotonic(Estimator):
 
         @F.pandas_udf("array<double>")
         def scored(model: pd.Series, vec: pd.Series) -> pd.Series:
-            out = pd.Series([None] * len(vec), dtype=object)
+            out: list = [None] * len(vec)
             for m in model.unique():
                 at, of = np.flatnonzero(model.to_numpy() == m), held.value[int(m)]
                 v = np.stack(vec.iloc[at].to_numpy())
                 p = np.stack([np.interp(v[:, j] * of[j][0], of[j][1], of[j][2]) for j in range(v.shape[1])], axis=1)
                 p = np.clip(p, clip, 1 - clip)
-                for i, row in zip(at, np.log(p / (1 - p)) if logit else p, strict=True):
-                    out.iat[i] = row
-            return out
+                for i, row in zip(at, (np.log(p / (1 - p)) if logit else p).tolist(), strict=True):
+                    out[i] = row
+            return pd.Series(out, dtype=object)
 
         return rows.withColumn(to, scored("model", x))
 

@@ -94,6 +94,19 @@ def noisy_labels(oof: DataFrame) -> DataFrame:
     return oof.join(bar).where((other >= reach) & (other > own)).select("id", "y", "score")
 
 
+def refitted(estimator, cleaned: bool, train: DataFrame, held: DataFrame, inner: int = 3) -> DataFrame:
+    """(id, y, score, left_out): held scored by the estimator fitted on train; cleaned: without the rows whose labels its own inner folds doubt."""
+    doubted = train.select("id").limit(0)
+    if cleaned:
+        from .folds import stratified
+
+        fold = stratified(train, inner, [1]).select("id", F.col("fold").alias("inner"))
+        rows = train.join(fold, "id").select("id", "y", F.col("inner").alias("fold"), "x")
+        doubted = cut_lineage(noisy_labels(out_of_fold(rows, estimator, inner)).select("id"), "doubted-rows")
+    model = estimator.fit(prepared(train.join(doubted, "id", "left_anti")))
+    return positive(model.transform(prepared(held))).withColumn("left_out", F.lit(doubted.count()))
+
+
 def pair_differences(rows: DataFrame, seed: int = 3) -> DataFrame:
     """(id, y, x): differences of a positive and a negative row in both directions, partners by hash order; for rankers."""
     from .folds import hashed_rank

@@ -50,12 +50,12 @@ METRICS: dict[str, Metric] = {
 def _blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
     n = max(1, -(-rows.count() // size))
     block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    return rows.groupBy(block.alias("b")).agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias("rows")), n  # about `size` rows
+    return rows.groupBy(block.alias("b")).agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("rows")), n  # about `size` rows
 
 
-def block_pairs(left: DataFrame, right: DataFrame, size: int = 1024) -> DataFrame:
-    """(l, r): every pair of a left and a right block of rows (id, x)."""
-    (a, na), (b, nb) = _blocks(left.select("id", "x"), size), _blocks(right.select("id", "x"), size)
+def block_pairs(left: DataFrame, right: DataFrame, size: int = 1024, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(l, r): every pair of a left and a right block of rows (id, x and what they carry)."""
+    (a, na), (b, nb) = (_blocks(side.select("id", "x", *carry), size) for side in (left, right))
     a = a.select(F.col("b").alias("bl"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("br"), F.col("rows").alias("l"))
     b = b.select(F.col("b").alias("br"), F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("bl"), F.col("rows").alias("r"))
     return a.join(b, ["bl", "br"]).select("l", "r")
@@ -85,6 +85,30 @@ def neighbours(left: DataFrame, right: DataFrame, metric: str, k: int, exclude_s
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "other", "d")
 
 
+def class_neighbours(left: DataFrame, right: DataFrame, metric: str, k: int, size: int = 1024) -> DataFrame:
+    """(id, y, rank, other, d): of each class the k nearest right rows of each left row, in one pass; ties to the smaller id.
+
+    left and right: id, x, y, fold.  Rows of the same fold never meet; a left fold of null meets all.
+    """
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for l, r in zip(batch["l"], batch["r"], strict=True):
+                (li, lx), (ri, rx) = _unpack(l), _unpack(r)
+                lf, rf = (np.array([-1 - 10 * side if t["fold"] is None else t["fold"] for t in rows]) for side, rows in enumerate((l, r)))
+                y = np.array([-1 if t["y"] is None else t["y"] for t in r])
+                d = np.where(lf[:, None] == rf, np.inf, METRICS[metric](lx, rx))
+                for c in np.unique(y[y >= 0]):
+                    own, of = d[:, y == c], ri[y == c]
+                    near = np.argsort(own, axis=1, kind="stable")[:, :k]  # rows come in id order
+                    out = pd.DataFrame({"id": np.repeat(li, near.shape[1]), "y": int(c), "other": of[near].ravel(), "d": np.take_along_axis(own, near, 1).ravel()})
+                    yield out[np.isfinite(out["d"])]
+
+    found = block_pairs(left, right, size, ("y", "fold")).mapInPandas(nearest, "id long, y int, other long, d double")
+    rank = F.row_number().over(Window.partitionBy("id", "y").orderBy("d", "other"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "y", "rank", "other", "d")
+
+
 def kernel_sums(left: DataFrame, right: DataFrame, parts: list[tuple[int, int, float, float]], product: bool = False, size: int = 1024) -> DataFrame:
     """(id, total, diagonal): sums over right rows of a kernel of squared distances over column ranges.
 

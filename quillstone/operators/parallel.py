@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
+from pyspark.sql import SparkSession
 
 T = TypeVar("T")
 
@@ -15,5 +16,6 @@ def side_by_side(jobs: list[Callable[[], T]], most: int = 8) -> list[T]:
     """The results of the jobs in their order; the first error is raised."""
     if len(jobs) < 2:
         return [job() for job in jobs]
+    inherits = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(min(most, len(jobs))) as pool:
-        return list(pool.map(lambda job: job(), [inheritable_thread_target(job) for job in jobs]))
+        return list(pool.map(lambda job: job(), [inherits(job) for job in jobs]))

@@ -85,10 +85,18 @@ def cumulative_variance(spark, sf_dir):
     return c.join(first).select(F.col("j").cast("int").alias("j"), F.col("k").cast("int").alias("k"), r6(F.col("share")).alias("share"), (F.col("k") == F.col("f")).alias("first80"))
 
 
-@query("correlation_prune")
+@query("correlation_prune", f"""
+WITH RECURSIVE {VEC_RELU}, k AS (SELECT id, j, rank() OVER (PARTITION BY j ORDER BY v) + (count(*) OVER (PARTITION BY j, v) - 1) / 2.0 AS r FROM l),
+c AS (SELECT a.j AS a, b.j AS b, round(abs(corr(a.r, b.r)), 9) AS r FROM k a JOIN k b ON a.id = b.id AND a.j < b.j GROUP BY a.j, b.j),
+tied AS (SELECT b, list(a) AS before FROM c WHERE r >= 0.1 GROUP BY b),
+walk AS (
+  SELECT 0 AS j, [CAST(0 AS BIGINT)] AS kept
+  UNION ALL SELECT walk.j + 1, CASE WHEN list_has_any(kept, coalesce(before, [])) THEN kept ELSE list_append(kept, walk.j + 1) END FROM walk LEFT JOIN tied ON tied.b = walk.j + 1 WHERE walk.j < 63)
+SELECT CAST(unnest(kept) AS INTEGER) AS j FROM walk WHERE j = 63""")
 def correlation_prune(spark, sf_dir):
-    """Columns that stay when each drops the later ones it is tied to by 0.1; the loop goes over columns only."""
-    tied = {(r.a, r.b) for r in _pairs(spark, sf_dir).where("r >= 0.1").select("a", "b").collect()}  # at most width^2 / 2
+    """Columns that stay when each drops the later ones whose ranks are tied to its own by 0.1; the loop goes over columns only."""
+    pairs = C.correlations(long_form(vec_relu(spark, sf_dir)), spearman=True)
+    tied = {(r.a, r.b) for r in pairs.where(F.round(F.abs("r"), 9) >= 0.1).select("a", "b").collect()}  # at most width^2 / 2
     kept: list[int] = []
     for j in range(64):
         if not any((k, j) in tied for k in kept):

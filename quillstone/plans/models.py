@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.vectors import r6
 from ..operators import copula, folds
+from ..operators import estimators as E
 from ..operators import gaussian as G
 from ..operators import learners as L
 from ..operators.comparison import ranked
+from ..operators.graph import cut_lineage
 from ..operators.ranks import feature_auc
-from ..sources.fixtures import VEC_RELU, order_vec, vec_relu
+from ..operators.parallel import side_by_side
+from ..sources.fixtures import VEC_RELU, order_vec, part_vec, vec_relu
 from .register import query
 
 FOLDS, SEED = 3, 11
@@ -100,12 +106,14 @@ def pca_spectrum(spark, sf_dir):
 
 @query("copula_llr")
 def copula_llr(spark, sf_dir):
-    """Log densities of the class copulas of the other folds, and their difference."""
+    """Log densities of the class copulas of the other folds, their difference, that of the binned marginals, and both together."""
     vec = vec_relu(spark, sf_dir)
     fold = folds.stratified(vec, FOLDS, [SEED]).select("id", "fold")
-    long = vec.join(fold, "id").select("id", "y", "fold", F.posexplode("x").alias("j", "v"))
-    found = copula.scores(long, FOLDS, 64)
-    return found.select("id", F.col("model").alias("fold"), *[r6(F.col(c)).alias(c) for c in ("logp0", "logp1")], r6(F.col("logp1") - F.col("logp0")).alias("llr"))
+    rows = cut_lineage(vec.join(fold, "id").select("id", "y", "fold", "x"), "copula-vectors")
+    found = copula.scores(rows.select("id", "y", "fold", F.posexplode("x").alias("j", "v")), FOLDS, 64)
+    marginals = E.Builder([E.Step("m", E.Evidence())], FOLDS).fit(rows).out_of_fold(rows).select("id", F.col("m")[0].alias("m"))
+    llr = F.col("logp1") - F.col("logp0")
+    return found.join(marginals, "id").select("id", F.col("model").alias("fold"), *[r6(F.col(c)).alias(c) for c in ("logp0", "logp1")], r6(llr).alias("llr"), r6(F.col("m")).alias("marginal_llr"), r6(llr + F.col("m")).alias("joint_llr"))
 
 
 @query("mixture_components")
@@ -244,6 +252,19 @@ def adversarial_auc(spark, sf_dir):
     return feature_auc(oof.select(F.lit("train vs test").alias("name"), "y", F.col("score").alias("v")), "name").select("name", r6(F.col("auc")).alias("auc"))
 
 
+@query("adversarial_tables")
+def adversarial_tables(spark, sf_dir):
+    """A forest that tells the vectors of orders from those of parts: AUC over all out-of-fold rows, and each column's mean importance over the folds."""
+    both = order_vec(spark, sf_dir).select("id", "x", F.lit(0).alias("y")).unionByName(part_vec(spark, sf_dir).select((-F.col("id") - 1).alias("id"), "x", F.lit(1).alias("y")))
+    rows = L.prepared(cut_lineage(_folded(both), "two-tables"))
+    models = side_by_side([partial(RandomForestClassifier(numTrees=10, maxDepth=4, seed=1).fit, rows.where(F.col("fold") != f)) for f in range(FOLDS)])
+    scored = reduce(DataFrame.unionByName, [L.positive(m.transform(rows.where(F.col("fold") == f))) for f, m in enumerate(models)])
+    importance = sum(m.featureImportances.toArray() for m in models) / FOLDS
+    found = spark.createDataFrame([(j, round(float(v), 6)) for j, v in enumerate(importance)], "j int, importance double")  # a row per column
+    auc = feature_auc(scored.select(F.lit(1).alias("all"), "y", F.col("score").alias("v")), "all").select(r6(F.col("auc")).alias("auc"))
+    return found.join(F.broadcast(auc))
+
+
 @query("final_blend")
 def final_blend(spark, sf_dir):
     """Ranks of three models' scores, blended .4/.4/.2 and ranked again: a score in (0, 1] for every row."""

@@ -24,6 +24,21 @@ def read_vectors(spark: SparkSession, path: str, features: list[str], labelled:
     return rows.select(F.col(ID).alias("id"), F.array(*[F.col(f"`{f}`") for f in features]).alias("x"), y.alias("y"))
 
 
+def locate(spark: SparkSession, candidates: list[str], tables: list[str]) -> str:
+    """The first folder that holds all tables; an error that names what each of them lacks, before any job runs."""
+    lacks = {}
+    for root in candidates:
+        missing = []
+        for t in tables:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{t}.parquet")
+            if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+                missing.append(t)
+        if not missing:
+            return root
+        lacks[root] = missing
+    raise FileNotFoundError("; ".join(f"{r} lacks {', '.join(m)}" for r, m in lacks.items()) or "no folder is given")
+
+
 def quality_report(vec: DataFrame) -> DataFrame:
     """One row: counts of rows, ids, nulls, NaN, infinite, negative and odd labels; two aggregates, no collection."""
     bad = lambda test: F.sum(F.size(F.filter("x", test)).cast("long"))
