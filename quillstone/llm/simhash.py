@@ -298,57 +298,33 @@ def _tile(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return node.to_numpy(), n.to_numpy(), fp.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
 
 
-def wide_forest(a: tuple, b: tuple | None, radius: int, ratio: float, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """A minimum spanning forest of the links between a's and b's rows, or inside of a."""
-    (node_a, n_a, fp_a), (node_b, n_b, fp_b) = a, a if b is None else b
-    nodes = node_a if b is None else np.concatenate([node_a, node_b])
-    shift = 0 if b is None else len(node_a)
-    i, j, d = (np.empty(0, np.int64) for _ in range(3))
-    step = max(1, most // max(1, len(node_b)))
-    for at in range(0, len(node_a), step):
-        near = np.bitwise_count(fp_a[at : at + step, None] ^ fp_b[None]).sum(2, dtype=np.int32)
-        low, high = np.minimum(n_a[at : at + step, None], n_b), np.maximum(n_a[at : at + step, None], n_b)
-        x, y = np.nonzero((near <= radius) & (low >= ratio * high))
-        keep = (x + at < y) if b is None else np.ones(len(x), bool)
-        x, y = x[keep], y[keep]
-        i, j, d = np.concatenate([i, x + at]), np.concatenate([j, y + shift]), np.concatenate([d, near[x, y]])
-        pick = nearest_links(len(nodes), i, j, d)  # what is no forest edge now never becomes one
-        i, j, d = i[pick], j[pick], d[pick]
-    return nodes[i], nodes[j]
-
-
-def nearest_links(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Places of the links that form a minimum spanning forest: in rounds each group takes its nearest link."""
-    label, picked, left = np.arange(n), [], np.arange(len(i))
-    rank = np.empty(len(i), np.int64)
-    rank[np.argsort(d, kind="stable")] = np.arange(len(i))
-    order = np.argsort(rank)
-    while True:
-        x, y = label[i[left]], label[j[left]]
-        open_ = x != y
-        if not open_.any():
-            return np.concatenate([*picked, np.empty(0, np.int64)])
-        left, x, y = left[open_], x[open_], y[open_]
-        best = np.full(n, len(i), np.int64)
-        np.minimum.at(best, x, rank[left])
-        np.minimum.at(best, y, rank[left])
-        took = order[np.unique(best[best < len(i)])]
-        picked.append(took)
-        label = joined(label, i[took], j[took])
-
-
-def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The labels (each the smallest place of its group) after the links (i, j)."""
-    while True:
-        a, b = label[i], label[j]
-        open_ = a != b
-        if not open_.any():
-            return label
-        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-        label = label.copy()
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (label != label[label]).any():
-            label = label[label]
+def wide_forest(a: tuple, b: tuple | None, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the links between a's and b's rows, or inside of a.
+
+    It grows by the nearest row that is not yet in it (Prim's way): a row's distances are computed once, when it
+    comes in, so that memory stays at a few numbers per row even if all rows are linked with all.
+    """
+    nodes, n, fp = (x if b is None else np.concatenate([x, y]) for x, y in zip(a, b or a, strict=True))
+    words, side = np.ascontiguousarray(fp.T), np.arange(len(nodes)) >= len(a[0])
+    low, high = np.ceil(n * ratio - 1e-9), np.floor(n / ratio + 1e-9)
+    free, taken = 1 << 14, 1 << 15
+    key, origin = np.full(len(nodes), free, np.uint16), np.zeros(len(nodes), np.int64)
+    u, v = [], []
+    for _ in range(len(nodes)):
+        i = int(key.argmin())
+        if key[i] < free:
+            u.append(origin[i])
+            v.append(i)
+        key[i] = taken
+        d = np.zeros(len(nodes), np.uint16)
+        for w in range(WORDS):
+            d += np.bitwise_count(words[w] ^ words[w, i])
+        near = (d <= radius) & (d < key) & (key <= free) & (n >= low[i]) & (n <= high[i])
+        if b is not None:
+            near &= side != side[i]
+        at = np.flatnonzero(near)
+        key[at], origin[at] = d[at], i
+    return nodes[np.array(u, np.int64)], nodes[np.array(v, np.int64)]
 
 
 def _longs(rows: np.ndarray) -> pa.Array:

@@ -166,22 +166,31 @@ def test_all_are_registered():
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
-def test_nearest_links_are_a_minimum_spanning_forest():
-    import random
-
+def test_forests_are_minimal(spark):
     import numpy as np
 
-    rng = random.Random(3)
-    for _ in range(50):
-        n = rng.randrange(2, 12)
-        edges = [(*rng.sample(range(n), 2), rng.randrange(6)) for _ in range(rng.randrange(1, 30))]
-        i, j, d = (np.array(c) for c in zip(*edges))
-        picked = simhash.nearest_links(n, i, j, d)
-        group, weight = list(range(n)), 0
-        for u, v, w in sorted(edges, key=lambda e: e[2]):
-            if group[u] != group[v]:
-                weight, group = weight + w, [group[u] if g == group[v] else g for g in group]
-        assert d[picked].sum() == weight and len(picked) == n - len(set(group))
+    rng = np.random.default_rng(3)
+    for k in range(40):
+        base = rng.integers(0, 2**63, 4, np.uint64)
+        m = int(rng.integers(2, 14))
+        fp = np.stack([base ^ np.array([sum(1 << int(x) for x in rng.choice(64, int(rng.integers(0, 9)), replace=False)) for _ in range(4)], np.uint64) for _ in range(m)])
+        n = rng.integers(20, 40, m).astype(np.int32)
+        cut = m // 2 if k % 2 else m
+        a, b = (np.arange(cut), n[:cut], fp[:cut]), (np.arange(cut, m), n[cut:], fp[cut:]) if cut < m else None
+        radius = 20
+        links = []
+        for i in range(m):
+            for j in range(i):
+                d = int(np.bitwise_count(fp[i] ^ fp[j]).sum())
+                if d <= radius and min(n[i], n[j]) >= 0.64 * max(n[i], n[j]) and (b is None or (i < cut) != (j < cut)):
+                    links.append((d, j, i))
+        group, weight = list(range(m)), 0
+        for d, i, j in sorted(links):
+            if group[i] != group[j]:
+                weight, group = weight + d, [group[i] if g == group[j] else g for g in group]
+        u, v = simhash.wide_forest(a, b, radius, 0.64)
+        assert len(u) == m - len(set(group)) and sum(int(np.bitwise_count(fp[i] ^ fp[j]).sum()) for i, j in zip(u, v)) == weight
+        assert all((min(i, j), max(i, j)) in {(x, y) for _, x, y in links} for i, j in zip(u.tolist(), v.tolist()))
 
 
 def test_large_groups_of_near_copies_are_one_group(spark):
