@@ -104,9 +104,13 @@ def dedup_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_do
     often, seldom = recurring.where(F.col("lines") > least).withColumn("often", F.lit(True)), recurring.where(F.col("lines") <= least).drop("lines")
     marked = usable.drop("doc_id", "n").join(F.broadcast(often.drop("lines")), ["t1", "t2"], "left")  # fewer than `hot` rows
     met = marked.where("often").drop("often").unionByName(marked.where("often is null").select("t1", "t2", "doc", "pos").join(seldom, ["t1", "t2"]))
-    gone = met.where((F.col("doc") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos"))).groupBy("doc").agg(F.collect_set("pos").alias("gone"))
+    gone = met.where((F.col("doc") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos"))).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     joined = rows.join(gone, "doc", "left")
     content = F.col("row")[text]
     split = F.split(content, "\n")
-    kept = F.when(F.col("gone").isNull(), content).otherwise(F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+    # A flag for each line, from the sorted places of those that go: linear in the lines, however many go.  array_join skips nulls.
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("gone", i - 1))
+    flags = F.array_join(F.transform("gone", lambda at, i: F.concat(F.repeat(F.lit("1"), at - before(i) - 1), F.lit("0"))), "")
+    flags = F.split(F.rpad(flags, F.size(split), F.lit("1")), "")
+    kept = F.when(F.col("gone").isNull(), content).otherwise(F.array_join(F.zip_with(split, flags, lambda line, f: F.when(f == "1", line)), "\n"))
     return joined.select(*[(kept if c == text else F.col("row")[c]).alias(c) for c in own], F.coalesce(F.size(split), F.lit(0)).cast("long").alias("lines_seen"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("lines_dropped"))

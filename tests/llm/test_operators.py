@@ -403,6 +403,25 @@ def test_decontamination_equals_brute_force(spark):
     assert not any(r.contaminated for r in decontam.decontaminate(docs(spark), bench.where("false")).collect())
 
 
+# --- recurring lines
+
+
+def test_many_recurring_lines_of_one_document(spark):
+    import time
+
+    lines_of = lambda n: "\n".join(f"line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} of a long log\n" for i in range(n))
+    took = {}
+    for n in (4000, 16000):
+        docs = spark.createDataFrame([(i, lines_of(n)) for i in range(3)], "doc_id long, text string")
+        began = time.perf_counter()
+        got = {r.doc_id: (r.text, r.lines_dropped) for r in lines.dedup_lines(docs).collect()}
+        took[n] = time.perf_counter() - began
+        assert got[0] == (lines_of(n), 0)
+        for i in (1, 2):
+            assert got[i] == ("\n" * (n - 1), n)
+    assert took[16000] < 5 * took[4000] + 5  # no square of the lines
+
+
 # --- sharding
 
 
