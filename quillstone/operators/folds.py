@@ -75,17 +75,27 @@ def grouped(vec: DataFrame, k: int, group: str, label: str = "y", exact: int = 6
     return vec.join(fold, key == F.col("__group"), "left").withColumn("fold", F.coalesce("fold", alone)).drop("__group")
 
 
-def bootstrap(vec: DataFrame, members: int, seed: int, key: str = "id") -> DataFrame:
-    """(member, id, weight): how often each row is drawn, Poisson(0.8) by hash: rows are drawn apart from each other, without a shuffle."""
-    spread = vec.select(key, F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "member", key), F.lit(1 << 53)) / float(1 << 53)
-    steps, p, total = [], 0.44932896411722156, 0.0  # fixed value: exp(-0.8)
-    for n in range(8):
+#: Fixed value: exp(-0.8), the chance that a row with 0.8 expected draws is not drawn.
+UNDRAWN = 0.44932896411722156
+
+
+def draw_steps(most: int = 8) -> list[float]:
+    """The chances that a row is drawn k times or less, k = 0, 1, ...: Poisson with mean 0.8."""
+    steps, p, total = [], UNDRAWN, 0.0
+    for n in range(most):
         total += p
         steps.append(total)
         p *= 0.8 / (n + 1)
-    weight = F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s <= u))
+    return steps
+
+
+def bootstrap(vec: DataFrame, members: int, seed: int, key: str = "id") -> DataFrame:
+    """(member, id, weight): how often each row is drawn, Poisson(0.8) by MD5 of seed, member and id: rows are drawn apart from each other, without a shuffle."""
+    spread = vec.select(key, F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("member").cast("string"), F.col(key).cast("string"))), 1, 13)
+    u = F.conv(digits, 16, 10).cast("double") / float(16**13)
+    weight = F.size(F.filter(F.array(*map(F.lit, draw_steps())), lambda s: s <= u))
     return spread.select("member", key, weight.alias("weight")).where("weight > 0")
 
 
-__all__ = ["bootstrap", "grouped", "hashed_rank", "stratified"]
+__all__ = ["bootstrap", "draw_steps", "grouped", "hashed_rank", "stratified"]

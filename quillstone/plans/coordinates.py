@@ -115,7 +115,9 @@ def group_folds(spark, sf_dir):
     return share.join(F.broadcast(seen)).select("y", "n", "groups", "whole", even.alias("even"))
 
 
-@query("bootstrap_draws")
+@query("bootstrap_draws", f"""
+WITH {ORDER_VEC}, u AS (SELECT member, id, CAST('0x' || substr(md5('3:' || member || ':' || id), 1, 13) AS BIGINT) / {float(16**13)!r}::DOUBLE AS u FROM v, (SELECT unnest(range(10)) AS member))
+SELECT CAST(member AS INTEGER) AS member, id, CAST(len(list_filter({folds.draw_steps()!r}::DOUBLE[], lambda s: s <= u)) AS INTEGER) AS weight FROM u WHERE u >= {folds.draw_steps()[0]!r}::DOUBLE""")
 def bootstrap_draws(spark, sf_dir):
     """Rows drawn for ten bagging members."""
     return folds.bootstrap(order_vec(spark, sf_dir), 10, 3)
