@@ -54,24 +54,31 @@ def paired(auc: DataFrame, baseline, tolerance: float = 1e-12) -> DataFrame:
     )
 
 
-def signed_rank_p(differences: list[float]) -> float:
-    """Two-sided exact p of the signed-rank sum, ties of absolute differences sharing the mean of their ranks; zeros are left out, 1 for none.
-
-    differences: one per fold.  Ranks are doubled, so that those of ties are whole.
-    """
+def _signed_ranks(differences: list[float]) -> list[tuple[int, bool]]:
+    """Twice the rank of each difference's size, and whether it is positive; zeros are left out, ties share the mean of their ranks."""
     d = sorted((abs(x), x > 0) for x in differences if x)
-    doubled, k = [], 0
+    out, k = [], 0
     while k < len(d):
         same = sum(a == d[k][0] for a, _ in d)
-        doubled += [2 * k + same + 1] * same
+        out += [(2 * k + same + 1, up) for _, up in d[k : k + same]]
         k += same
-    ways = [1] + [0] * sum(doubled)
-    for r in doubled:
+    return out
+
+
+def signed_rank_sum(differences: list[float]) -> float:
+    return sum(r for r, up in _signed_ranks(differences) if up) / 2
+
+
+def signed_rank_p(differences: list[float]) -> float:
+    """Two-sided exact p of the signed-rank sum, ties and zeros allowed; 1 if all are zero.  differences: one per fold."""
+    ranks = _signed_ranks(differences)
+    ways = [1] + [0] * sum(r for r, _ in ranks)
+    for r, _ in ranks:
         for at in range(len(ways) - 1, r - 1, -1):
             ways[at] += ways[at - r]
-    plus = sum(r for r, (_, up) in zip(doubled, d, strict=True) if up)
-    low = min(plus, sum(doubled) - plus)
-    return min(1.0, 2 * sum(ways[: low + 1]) / 2 ** len(d)) if d else 1.0
+    plus = sum(r for r, up in ranks if up)
+    low = min(plus, len(ways) - 1 - plus)
+    return min(1.0, 2 * sum(ways[: low + 1]) / 2 ** len(ranks)) if ranks else 1.0
 
 
 def wilcoxon_p(w_plus: float, n: int) -> float:

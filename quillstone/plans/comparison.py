@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.vectors import r6
 from ..operators import comparison as M
 from ..operators import folds
-from ..operators.ranks import average_rank_by_counts, quantiles
+from ..operators.ranks import average_rank_by_counts, feature_auc, quantiles
 from ..sources.fixtures import ORDER_VEC, VEC_RELU, long_form, order_vec, vec_relu
 from .register import query
 
@@ -139,14 +140,62 @@ def stability_gate(spark, sf_dir):
     return s.where("m >= 0.49 AND wins >= 3 AND sd <= 0.05").select(F.col("model").cast("int").alias("model"), r6(F.col("m")).alias("mean"), r6(F.col("sd")).alias("std"))
 
 
-@query("weight_l1_diverse", f"WITH {_CONFIG}, n AS (SELECT DISTINCT name FROM cn), p AS (SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name < b.name), m AS (SELECT DISTINCT model FROM cn) SELECT p.a, p.b, round(sum(abs(coalesce(x.weight, 0) - coalesce(y.weight, 0))), 6) AS l1 FROM p, m LEFT JOIN cn x ON x.name = p.a AND x.model = m.model LEFT JOIN cn y ON y.name = p.b AND y.model = m.model GROUP BY p.a, p.b HAVING l1 >= 0.08")
+_WEIGHTS = f"""{_OOF}, g AS (SELECT model, round(abs(avg(auc) - 0.5), 9) AS s FROM a GROUP BY model),
+cw AS (SELECT 'even' AS name, model, 1.0::DOUBLE AS weight FROM g UNION ALL SELECT 'strength', model, s FROM g UNION ALL SELECT 'square', model, s * s FROM g UNION ALL SELECT 'root', model, sqrt(s) FROM g),
+cn AS (SELECT name, model, weight / sum(weight) OVER (PARTITION BY name) AS weight FROM cw)"""
+
+
+@query("weight_l1_diverse", f"WITH {_WEIGHTS} SELECT x.name AS a, y.name AS b, round(sum(abs(x.weight - y.weight)), 6) AS l1 FROM cn x JOIN cn y ON x.model = y.model AND x.name < y.name GROUP BY x.name, y.name HAVING l1 >= 0.08")
 def weight_l1_diverse(spark, sf_dir):
-    """Pairs of configurations whose weights differ by 0.08 in sum: shared models through a join, the rest from the totals."""
-    c = M.normalized(config(spark))
-    shared = c.alias("x").join(c.alias("y"), (F.col("x.model") == F.col("y.model")) & (F.col("x.name") < F.col("y.name"))).groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(F.sum(F.abs(F.col("x.weight") - F.col("y.weight")) - F.col("x.weight") - F.col("y.weight")).alias("less"))
-    names = c.select("name").distinct()
-    pairs = names.select(F.col("name").alias("a"), F.lit(1).alias("one")).join(names.select(F.col("name").alias("b"), F.lit(1).alias("one")), "one").where("a < b")
-    return pairs.join(shared, ["a", "b"], "left").select("a", "b", r6(2 + F.coalesce("less", F.lit(0.0))).alias("l1")).where("l1 >= 0.08")
+    """Pairs of configurations whose weights differ by 0.08 in sum; the weights are even, or follow from the models' mean AUC over folds."""
+    s = F.round(F.abs(F.avg("auc") - 0.5), 9)
+    strength = M.fold_auc(oof(spark, sf_dir), "model", "repeat", "fold").groupBy("model").agg(s.alias("s"))
+    kinds = F.array(*[F.struct(F.lit(n).alias("name"), w.alias("weight")) for n, w in (("even", F.lit(1.0)), ("strength", F.col("s")), ("square", F.col("s") * F.col("s")), ("root", F.sqrt("s")))])
+    c = M.normalized(strength.select("model", F.explode(kinds).alias("c")).select("c.name", "model", "c.weight"))
+    met = c.alias("x").join(c.alias("y"), (F.col("x.model") == F.col("y.model")) & (F.col("x.name") < F.col("y.name")))  # a row per model and configuration
+    l1 = met.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(F.sum(F.abs(F.col("x.weight") - F.col("y.weight"))).alias("l1"))
+    return l1.select("a", "b", r6(F.col("l1")).alias("l1")).where("l1 >= 0.08")
+
+
+@query("paired_signed_rank", f"""
+WITH {_OOF}, b AS (SELECT repeat, fold, auc FROM a WHERE model = 3),
+d AS (SELECT a.model, a.repeat, a.fold, round(a.auc - b.auc, 12) AS d FROM a JOIN b ON a.repeat = b.repeat AND a.fold = b.fold WHERE a.model <> 3),
+r AS (SELECT model, d, rank() OVER (PARTITION BY model ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, abs(d)) - 1) / 2.0 AS k, row_number() OVER (PARTITION BY model ORDER BY abs(d), repeat, fold) - 1 AS i FROM d WHERE d <> 0),
+w AS (SELECT model, count(*) AS n, sum(k) FILTER (d > 0) AS up, sum(k) AS whole FROM r GROUP BY model),
+t AS (SELECT w.model, m.mask, coalesce(sum(r.k) FILTER (CAST(floor(m.mask / pow(2, r.i)) AS BIGINT) % 2 = 1), 0) AS total FROM w, (SELECT unnest(range(1024)) AS mask) m, r WHERE m.mask < pow(2, w.n) AND r.model = w.model GROUP BY w.model, m.mask)
+SELECT CAST(w.model AS INTEGER) AS model, CAST(n AS BIGINT) AS n, round(coalesce(up, 0), 6) AS w_plus, round(least(1, 2.0 * count(*) FILTER (total <= least(coalesce(up, 0), whole - coalesce(up, 0)) + 1e-9) / count(*)), 6) AS p FROM w JOIN t ON w.model = t.model GROUP BY w.model, n, up, whole""")
+def paired_signed_rank(spark, sf_dir):
+    """The exact two-sided p of each model's differences to the baseline over the folds, ties sharing their ranks."""
+    auc = M.fold_auc(oof(spark, sf_dir), "model", "repeat", "fold")
+    base = auc.where("model = 3").select("repeat", "fold", F.col("auc").alias("base"))
+    d = auc.where("model <> 3").join(F.broadcast(base), ["repeat", "fold"]).groupBy("model").agg(F.collect_list(F.round(F.col("auc") - F.col("base"), 12)).alias("d"))  # a number per fold
+
+    @F.pandas_udf("w_plus double, p double")
+    def tested(d: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(M.signed_rank_sum(list(x)), M.signed_rank_p(list(x))) for x in d], columns=["w_plus", "p"])
+
+    found = d.select("model", F.size(F.filter("d", lambda x: x != 0)).cast("long").alias("n"), tested("d").alias("t"))
+    return found.where("n > 0").select(F.col("model").cast("int").alias("model"), "n", r6(F.col("t.w_plus")).alias("w_plus"), r6(F.col("t.p")).alias("p"))
+
+
+@query("prediction_complementarity", f"""
+WITH {ORDER_VEC}, r AS (SELECT id, y, j, v, (rank() OVER (PARTITION BY j ORDER BY v) + (count(*) OVER (PARTITION BY j, v) - 1) / 2.0) / count(*) OVER (PARTITION BY j) AS r FROM l),
+p AS (SELECT b.j AS model, a.y, a.v AS va, b.v AS vb, a.r AS ra, b.r AS rb, round(abs(a.r - b.r), 12) AS gap FROM r a JOIN r b ON a.id = b.id AND a.j = 3 AND b.j <> 3),
+q AS (SELECT *, quantile_cont(gap, 0.75) OVER (PARTITION BY model) AS q75 FROM p),
+k AS (SELECT model, y, rank() OVER (PARTITION BY model ORDER BY vb) + (count(*) OVER (PARTITION BY model, vb) - 1) / 2.0 AS k FROM q WHERE gap >= q75),
+u AS (SELECT model, (sum(k) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auc FROM k GROUP BY model)
+SELECT CAST(q.model AS INTEGER) AS model, round(corr(va, vb), 6) + 0.0 AS pearson, round(corr(ra, rb), 6) + 0.0 AS spearman, round(avg(gap), 6) AS mean_gap, round(any_value(u.auc), 6) AS apart_auc FROM q JOIN u ON q.model = u.model GROUP BY q.model""")
+def prediction_complementarity(spark, sf_dir):
+    """Each model against a reference: correlations of scores and ranks, mean difference in rank, and its AUC on the quarter of rows that the two rank most differently."""
+    long = long_form(order_vec(spark, sf_dir)).select("id", "y", "j", F.col("v").alias("score"))
+    rows = M.ranked(long, "j").groupBy("id", "y").agg(F.map_from_entries(F.collect_list(F.struct("j", F.struct("score", "r")))).alias("m"))  # a row per model
+    of = lambda j: F.element_at("m", j)
+    pairs = rows.select("y", of(F.lit(3)).alias("a"), F.explode("m").alias("model", "b")).where("model <> 3").withColumn("v", F.round(F.abs(F.col("a.r") - F.col("b.r")), 12))
+    whole = pairs.groupBy("model").agg(F.corr("a.score", "b.score").alias("pearson"), F.corr("a.r", "b.r").alias("spearman"), F.avg("v").alias("mean_gap"))
+    bar = F.broadcast(quantiles(pairs, [0.75], "model").select("model", F.col("q")[0].alias("q75")))  # a row per model
+    apart = pairs.join(bar, "model").where("v >= q75").select("model", "y", F.col("b.score").alias("v"))
+    found = whole.join(feature_auc(apart, "model").select("model", F.col("auc").alias("apart_auc")), "model")
+    return found.select(F.col("model").cast("int").alias("model"), *[r6(F.col(c)).alias(c) for c in ("pearson", "spearman", "mean_gap", "apart_auc")])
 
 
 @query("oof_correlation", f"WITH {_OOF} SELECT CAST(x.model AS INTEGER) AS a, CAST(y.model AS INTEGER) AS b, round(corr(x.k / x.n, y.k / y.n), 6) + 0.0 AS r FROM rk x JOIN rk y ON x.id = y.id AND x.repeat = y.repeat AND x.model < y.model GROUP BY x.model, y.model")
