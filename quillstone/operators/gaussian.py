@@ -82,6 +82,14 @@ def floored(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(value, max(value.max() * 1e-10, EPS))[::-1], vector[:, ::-1]
 
 
+def spectrum_ranks(cov: np.ndarray) -> dict[str, float]:
+    """How many directions a covariance has in effect: participation ratio, exponent of the entropy, shares of the first ones."""
+    value = np.maximum(np.linalg.eigvalsh(cov)[::-1], 0)
+    share = value / max(value.sum(), EPS)
+    used = share[share > 0]
+    return {"total": float(value.sum()), "participation": float(1 / (share**2).sum()), "entropy": float(np.exp(-(used * np.log(used)).sum())), **{f"top{k}": float(share[:k].sum()) for k in (1, 3, 5)}}
+
+
 def precision(cov: np.ndarray) -> np.ndarray:
     value, vector = floored(cov)
     return vector / value @ vector.T

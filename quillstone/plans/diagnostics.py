@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import r6
 from ..operators import columns as C
+from ..operators import gaussian as G
 from ..operators.graph import components
 from ..operators.ranks import quantiles
 from ..sources.fixtures import ORDER_VEC, VEC_RELU, long_form, order_vec, vec_relu
@@ -85,6 +86,17 @@ def cumulative_variance(spark, sf_dir):
     return c.join(first).select(F.col("j").cast("int").alias("j"), F.col("k").cast("int").alias("k"), r6(F.col("share")).alias("share"), (F.col("k") == F.col("f")).alias("first80"))
 
 
+@query("effective_rank", f"""
+WITH {VEC_RELU}, c AS (SELECT a.j AS a, b.j AS b, covar_pop(a.v, b.v) AS c FROM l a JOIN l b ON a.id = b.id GROUP BY a.j, b.j)
+SELECT round(pow(sum(c) FILTER (a = b), 2) / sum(c * c), 4) AS participation, round(sum(c) FILTER (a = b), 6) AS total, true AS bounded FROM c""")
+def effective_rank(spark, sf_dir):
+    """Participation ratio and total variance of the spectrum; bounded: the entropy rank lies between it and the width, and the shares of the first 1, 3 and 5 directions rise."""
+    rows = vec_relu(spark, sf_dir).select(F.lit(0).alias("model"), F.lit(0).alias("y"), "x")
+    found = G.spectrum_ranks(G.moments(rows, 64)[0, 0][2])
+    bounded = found["participation"] <= found["entropy"] + 1e-9 <= 64 + 1e-9 and 0 < found["top1"] <= found["top3"] <= found["top5"] <= 1
+    return spark.createDataFrame([(round(found["participation"], 4), round(found["total"], 6), bool(bounded))], "participation double, total double, bounded boolean")
+
+
 @query("correlation_prune", f"""
 WITH RECURSIVE {VEC_RELU}, k AS (SELECT id, j, rank() OVER (PARTITION BY j ORDER BY v) + (count(*) OVER (PARTITION BY j, v) - 1) / 2.0 AS r FROM l),
 c AS (SELECT a.j AS a, b.j AS b, round(abs(corr(a.r, b.r)), 9) AS r FROM k a JOIN k b ON a.id = b.id AND a.j < b.j GROUP BY a.j, b.j),

@@ -93,6 +93,13 @@ def factor_llr(spark, sf_dir):
     return scored.select("id", "fold", *[r6(F.col("block")[i]).alias(n) for i, n in enumerate(("logp0", "logp1", "llr"))])
 
 
+@query("discriminant_scores")
+def discriminant_scores(spark, sf_dir):
+    """Decisions of a shrunken linear and a regularised quadratic discriminant, out of fold."""
+    scored = _out_of_fold(_folded(vec_relu(spark, sf_dir)).withColumn("x", V.log1p(F.col("x"))), E.Discriminants())
+    return scored.select("id", "y", "fold", r6(F.col("block")[0]).alias("lda_score"), r6(F.col("block")[1]).alias("qda_score"))
+
+
 @query("standardised_pca")
 def standardised_pca(spark, sf_dir):
     """Sixteen whitened principal coordinates of standardised logarithms, standardised again; fitted on all rows."""

@@ -128,6 +128,35 @@ def test_gaussians(spark):
     both_ways(spark, E.Gaussians(), define)
 
 
+def test_discriminants(spark):
+    def ledoit_wolf(z):
+        z, n, p = z - z.mean(0), *z.shape
+        c = z.T @ z / n
+        mu = np.trace(c) / p
+        delta = ((c - mu * np.eye(p)) ** 2).sum() / p
+        beta = min(sum(((np.outer(r, r) - c) ** 2).sum() for r in z) / (p * n * n), delta)
+        return G.shrunk(c, beta / delta)
+
+    def define(x, y, u):
+        share = [np.mean(y == c) for c in (0, 1)]
+        parts = [x[y == c] for c in (0, 1)]
+        within = sum(s * ledoit_wolf((p - p.mean(0)) / p.std(0)) * np.outer(p.std(0), p.std(0)) for s, p in zip(share, parts))
+        linear = [u @ np.linalg.solve(within, p.mean(0)) - 0.5 * p.mean(0) @ np.linalg.solve(within, p.mean(0)) + np.log(s) for s, p in zip(share, parts)]
+        quadratic = []
+        for s, p in zip(share, parts):
+            _, size, axes = np.linalg.svd(p - p.mean(0), full_matrices=False)
+            var = 0.95 * size**2 / (len(p) - 1) + 0.05
+            quadratic.append(-0.5 * ((((u - p.mean(0)) @ axes.T) ** 2 / var).sum(1) + np.log(var).sum()) + np.log(s))
+        return np.stack([linear[1] - linear[0], quadratic[1] - quadratic[0]], 1)
+
+    both_ways(spark, E.Discriminants(), define)
+
+
+def test_spectrum_ranks():
+    found = G.spectrum_ranks(np.diag([4.0, 4.0, 0.0]))
+    assert found == pytest.approx({"total": 8, "participation": 2, "entropy": 2, "top1": 0.5, "top3": 1, "top5": 1})
+
+
 def test_factor_models(spark):
     def log_density(x, u):
         cov = np.cov(x.T, ddof=0)
