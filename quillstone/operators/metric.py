@@ -112,7 +112,7 @@ class Metric(E.Estimator):
         return rows.sparkSession.createDataFrame(out, "model int, weights array<double>, turn array<array<double>>")  # (rank + 1) p numbers per model
 
     def block(self, x, state):
-        return F.concat(F.zip_with(x, state["weights"], lambda a, w: a * w), E._dots(state["turn"], x))
+        return F.concat(F.zip_with(x, state["weights"], lambda a, w: a * w), E.dots(state["turn"], x))
 
     def features(self, width):
         return [*[f"metric_{j}" for j in range(width)], *[f"turned_{k}" for k in range(self.rank)]]
