@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free, narrow, small, unit_hash
-from .tokens import in_blocks
+from .tokens import in_blocks, lists_of
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)  # bytes of an n-gram
@@ -158,8 +158,8 @@ def identify(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> D
 
     def run(batches):
         for batch in batches:
-            langs, scores, texts = [], [], batch.column(len(names)).to_pylist()
-            for _, block in in_blocks(texts):
+            langs, scores = [], []
+            for _, block in lists_of(batch.column(len(names))):
                 a, b = held.value.predict(block)
                 langs += a
                 scores.append(b)

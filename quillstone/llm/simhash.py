@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, narrow, release, small
-from .tokens import in_blocks
+from .tokens import lists_of
 
 SALTS = 4  # shares of the tiles that meet one tile
 WORDS = 4  # 64-bit words of a wide fingerprint
@@ -342,7 +342,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
 
     def run(batches):
         for batch in batches:
-            for at, block in in_blocks(batch.column(3).to_pylist()):
+            for at, block in lists_of(batch.column(3)):
                 sets = shingle_sets(block, words_per_shingle)
                 s = [xxhash.xxh128_digest(x.tobytes()) for x in sets]
                 sigs = np.frombuffer(b"".join(s), np.int64).reshape(-1, 2)
@@ -370,7 +370,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
 
     def run(batches):
         for batch in batches:
-            for at, block in in_blocks(batch.column(1).to_pylist()):
+            for at, block in lists_of(batch.column(1)):
                 sets = [s.view(np.int64) for s in shingle_sets(block, words_per_shingle)]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, np.int64)]), pa.int64()))], ["node", "shingles"])

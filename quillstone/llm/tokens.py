@@ -190,3 +190,10 @@ def in_blocks(texts: list[str | None], chars: int = 1 << 20):
             start, held = i + 1, 0
     if start < len(texts):
         yield start, texts[start:]
+
+
+def lists_of(texts, rows: int = 256):
+    """(start, list) of some rows of an Arrow column at a time, so that a batch is never a list of strings as a whole."""
+    for at in range(0, len(texts), rows):
+        for start, block in in_blocks(texts.slice(at, rows).to_pylist()):
+            yield at + start, block
