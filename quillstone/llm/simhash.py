@@ -25,7 +25,7 @@ from itertools import product, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, narrow, release, small
@@ -34,6 +34,7 @@ from .tokens import lists_of
 SALTS = 4  # shares of the tiles that meet one tile
 WORDS = 4  # 64-bit words of a wide fingerprint
 CELLS, LEAST = 12, 3  # numbers by which sets meet, and orders of shingles behind each
+KEY_BITS, SKETCH = 40, 2048  # bits of a shingle's hash by which rare shingles meet, and of a set
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)  # of a byte
 
@@ -254,7 +255,7 @@ def radius_for(similarity: float) -> int:
 
 
 def wide_pairs(classes: DataFrame, similarity: float, tile: int = 2048) -> DataFrame:
-    """Links (u, v) to be verified; classes: node, n (shingles, 1 or more), fp (WORDS longs), cells (CELLS longs).
+    """Most links (u, v), to be verified, so that few groups are left for rare_pairs, which finds all others; classes: node, n (shingles, 1 or more), fp (WORDS longs), cells (CELLS longs).
 
     Sets with a cell in common meet; a link: the distance of the fingerprints is at most radius_for(similarity), and the smaller
     set has similarity ** 2 of the larger one's shingles or more, without which no cosine reaches it.  A cell of many sets is cut
@@ -327,6 +328,130 @@ def wide_forest(a: tuple, b: tuple | None, radius: int, ratio: float) -> tuple[n
     return nodes[np.array(u, np.int64)], nodes[np.array(v, np.int64)]
 
 
+def _keys(s: np.ndarray) -> np.ndarray:
+    """Numbers of KEY_BITS bits for ascending shingle hashes, ascending and different."""
+    return np.unique(s >> np.uint64(64 - KEY_BITS))
+
+
+def _low(s: np.ndarray) -> np.ndarray:
+    """The ascending shingle hashes that are in the lower half of their range."""
+    return s[: np.searchsorted(s, np.uint64(1 << 63))]
+
+
+def _prefix(n, share: float):
+    """How many shingles of n, first in any order common to all sets, hold one of any `share` * n or more that are shared (numbers or a column)."""
+    return n - (F if isinstance(n, Column) else np).ceil(n * share - 1e-6) + 1
+
+
+def rare_pairs(texts: DataFrame, classes: DataFrame, similarity: float, words_per_shingle: int, tile: int = 1024) -> DataFrame:
+    """Pairs (u, v) of nodes with different roots, among them each that has the similarity; to be verified.
+
+    texts: text, of each class; classes: node, s1, s2 (key of its set), n (shingles), low (different keys in the lower half), bits, root.
+    The shingles of all sets have one order: those in the lower half of the hash range come first, the rarest of them foremost, and
+    the others follow by hash.  A pair of the similarity shares similarity * n shingles of the smaller set and similarity ** 2 * n
+    of the larger one or more, so what comes first in both orders cannot be different throughout.  Only the lower half is counted
+    and shuffled (and what a set lacks there), and what one text alone holds meets nobody.  Pairs that share such a shingle are compared
+    in tiles by the places of that shingle and by bits of the whole sets; both only drop pairs that cannot have the similarity.  Keys are
+    shorter than hashes: two shingles of one key count as one, and places in the order are too low rather than too high.
+    """
+    ratio = similarity**2
+
+    def run(batches):
+        for batch in batches:
+            for _, block in lists_of(batch.column(0)):
+                sets = shingle_sets(block, words_per_shingle)
+                sigs = _signatures(sets)
+                keys = [_keys(s[: max(len(_low(s)), int(_prefix(len(s), ratio)))]) if len(s) else s for s in sets]
+                each = [len(k) for k in keys]
+                flat = np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sigs[:, 0], each)), pa.array(np.repeat(sigs[:, 1], each)), pa.array(flat)], ["s1", "s2", "key"])
+
+    held = texts.select("text").mapInArrow(run, "s1 long, s2 long, key long").withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
+    lower = F.col("key") < 1 << (KEY_BITS - 1)
+    held = held.groupBy("s1", "s2", "key").agg(F.max(F.when(lower, F.col("df")).otherwise(1 << 62)).alias("df"))  # once for rows that are repeated
+    own = Window.partitionBy("node")
+    held = held.join(classes.select("s1", "s2", "node", "n", "low", "root"), ["s1", "s2"]).withColumn("lower", F.sum(lower.cast("int")).over(own))
+    held = held.withColumn("at", F.col("low") - F.col("lower") + F.row_number().over(own.orderBy("df", "key")) - 1)
+    held = held.where(F.col("at") < _prefix(F.col("n"), ratio)).select("key", "root", "node", "n", "at", (F.col("at") < _prefix(F.col("n"), similarity)).alias("leads"))
+    held = materialize(held, "near-rare")
+    roots = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    held = held.join(roots, "key")
+    # The nodes of a large group have tiles of their own, and tiles of one root do not meet: copies are not compared with each other.
+    key = Window.partitionBy("key")
+    held = held.withColumn("k", F.count("*").over(key)).withColumn("own", F.count("*").over(Window.partitionBy("key", "root"))).join(classes.select("node", "bits"), "node")
+    part = F.when(F.col("own") > tile, F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / tile)))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("k") / tile)))
+    tiles = held.groupBy("key", part.alias("part")).agg(F.max("k").alias("k"), F.min("root").alias("least"), F.max("root").alias("most"), F.collect_list(F.struct("node", "n", "at", "leads", "root", "bits")).alias("rows"))
+    tiles = materialize(tiles, "near-tiles")
+    many = tiles.where(F.col("k") > tile)
+    others = many.select("key", *[F.col(c).alias(f"other {c}") for c in ("part", "least", "most", "rows")])
+    met = many.join(others, "key").where((F.col("part") < F.col("other part")) & ((F.col("least") < F.col("other most")) | (F.col("other least") < F.col("most"))))
+    met = met.select("rows", F.col("other rows").alias("others"))
+    alone = tiles.where("least < most").select("rows", F.lit(None).cast(tiles.schema["rows"].dataType).alias("others"))
+
+    def compare(batches):
+        for batch in batches:
+            found = [np.empty((0, 2), np.int64)]
+            for k in range(batch.num_rows):
+                a = _rare_tile(batch.column(0)[k].values)
+                found.append(rare_links(a, _rare_tile(batch.column(1)[k].values) if batch.column(1)[k].is_valid else None, ratio))
+                if sum(map(len, found)) > 300_000:  # bounds the memory
+                    found = [np.unique(np.concatenate(found), axis=0)]
+                    if len(found[0]) > 150_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.pop().T], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate([*found, np.empty((0, 2), np.int64)]), axis=0).T], ["u", "v"])
+
+    return alone.unionByName(met).mapInArrow(compare, "u long, v long").distinct()
+
+
+def _rare_tile(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+    """Nodes, sizes, places, whether they lead, roots and bits of a tile's rows."""
+    *columns, bits = rows.flatten()
+    return *[c.to_numpy(zero_copy_only=False) for c in columns], np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+
+
+def rare_links(a: tuple, b: tuple | None, ratio: float) -> np.ndarray:
+    """Pairs (rows: u < v) of nodes with different roots in a and b, or inside of a, that may have the similarity.
+
+    A bit that one set has and the other lacks is a shingle or more that they do not share.
+    """
+    (nodes, n, at, leads, root, bits), other = a, b or a
+    values, counts = np.unique(np.concatenate([root, other[4]]), return_counts=True)
+    most = values[counts.argmax()]  # rows of this root meet only those of others
+    ones, other_ones = (np.bitwise_count(x[5]).sum(axis=1, dtype=np.int64) for x in (a, other))
+    rare, everyone, others = np.flatnonzero(root != most), np.arange(len(other[0])), np.flatnonzero(other[4] != most)
+    found = [np.empty((0, 2), np.int64)]
+    for left, right in ((rare, everyone), (np.flatnonzero(root == most), others)):
+        step = max(1, (1 << 16) // max(1, len(right)))
+        for start in range(0, len(left), step):
+            i, j = left[start : start + step, None], right
+            n1, n2 = n[i].astype(np.int64), other[1][j].astype(np.int64)
+            smaller = (n1 < n2) | ((n1 == n2) & (nodes[i] < other[0][j]))
+            able = (root[i] != other[4][j]) & np.where(smaller, leads[i], other[3][j]) & (np.minimum(n1 - at[i], n2 - other[2][j]) ** 2 >= ratio * (1 - 1e-9) * n1 * n2)
+            if b is None:
+                able &= i < j
+            x, y = np.nonzero(able)
+            i, j = i[x, 0], j[y]
+            n1, n2 = n[i].astype(np.int64), other[1][j].astype(np.int64)
+            both = np.bitwise_count(bits[i] & other[5][j]).sum(axis=1, dtype=np.int64)
+            able = np.minimum(n1 - ones[i], n2 - other_ones[j]) + both
+            able = able**2 >= ratio * (1 - 1e-9) * n1 * n2
+            u, v = nodes[i[able]], other[0][j[able]]
+            found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
+    return np.concatenate(found)
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """SKETCH bits, set where a shingle falls."""
+    bits = np.zeros(SKETCH, bool)
+    bits[s & np.uint64(SKETCH - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """Two longs that stand for each set."""
+    return np.frombuffer(b"".join(xxhash.xxh128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+
+
 def _longs(rows: np.ndarray) -> pa.Array:
     """A list of longs per row of unsigned words."""
     return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, max(1, rows.shape[1])), pa.int32()), pa.array(rows.ravel().view(np.int64)))
@@ -344,19 +469,26 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
         for batch in batches:
             for at, block in lists_of(batch.column(3)):
                 sets = shingle_sets(block, words_per_shingle)
-                s = [xxhash.xxh128_digest(x.tobytes()) for x in sets]
-                sigs = np.frombuffer(b"".join(s), np.int64).reshape(-1, 2)
+                sigs = _signatures(sets)
                 part = batch.slice(at, len(block))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), pa.array([len(x) for x in sets], pa.int32()), _longs(wide_fingerprints(sets)), _longs(cells(sets))], ["k1", "k2", "doc_id", "s1", "s2", "n", "fp", "cells"])
+                counts = [pa.array(x, pa.int32()) for x in ([len(s) for s in sets], [len(_keys(_low(s))) for s in sets])]
+                bits = pa.array(map(_sketch, sets), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), *counts, bits, _longs(wide_fingerprints(sets)), _longs(cells(sets))], ["k1", "k2", "doc_id", "s1", "s2", "n", "low", "bits", "fp", "cells"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("k1", "k2", "doc_id", "text").mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, s1 long, s2 long, n int, fp array<long>, cells array<long>")
+    found = docs.select("k1", "k2", "doc_id", "text").mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, s1 long, s2 long, n int, low int, bits binary, fp array<long>, cells array<long>")
     found = materialize(found, "near-docs")
-    classes = found.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("least"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("cells").alias("cells"))
+    classes = found.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("least"), F.max("n").alias("n"), F.max("low").alias("low"), F.max("bits").alias("bits"), F.max("fp").alias("fp"), F.max("cells").alias("cells"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     pairs = materialize(wide_pairs(classes.where("n > 0"), similarity), "near-pairs")
     links = materialize(verified(pairs, classes, docs, similarity, words_per_shingle), "near-links")
     roots = components(links)
+    # The links that fingerprints miss lead from one of these groups to another.
+    grouped = materialize(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "s1", "s2", "n", "low", "bits", "least", "root"), "near-groups")
+    copies = found.join(grouped.select("s1", "s2", "least"), ["s1", "s2"]).where(F.struct("doc_id", "k1", "k2") != F.col("least")).select("k1", "k2")
+    pairs = materialize(rare_pairs(docs.join(small(copies), ["k1", "k2"], "left_anti"), grouped.where("n > 0"), similarity, words_per_shingle), "near-pairs")
+    links = materialize(verified(pairs, classes, docs, similarity, words_per_shingle), "near-links")
+    roots = components(links.unionByName(grouped.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     rooted = classes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
     # Of each class only its least row can be the first of the group.

@@ -250,3 +250,37 @@ def test_near_stage_cuts_tiles_without_losing_links(spark):
     classes = spark.createDataFrame(rows, "node long, n int, fp array<long>, cells array<long>")
     found = [{(r.node, r.root) for r in simhash.components(simhash.wide_pairs(classes, 0.8, tile=t)).where(F.col("node") != F.col("root")).collect()} for t in (4, 1000)]
     assert found[0] == found[1] and found[0]
+
+
+def test_near_stage_loses_no_link_at_the_threshold(spark):
+    import random
+
+    # A copy of each base of 150 words has five or six changed words, five shingles each: cosines of 0.83 and 0.79.
+    rng, texts = random.Random(11), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    for k in range(240):
+        base = [word() for _ in range(150)]
+        other = list(base)
+        for at in range(7, 7 + 9 * (5 + k % 3 // 2), 9):
+            other[at] = word()
+        texts += [" ".join(base), " ".join(other)]
+    got = kept_by_near_stage(spark, texts)
+    assert got == brute_firsts(list(enumerate(texts))) and 240 < len(got) < 480
+
+
+@pytest.mark.parametrize("tile", [2, 1024])
+def test_rare_pairs_hold_all_links_between_roots(spark, tile):
+    from itertools import combinations
+
+    import numpy as np
+
+    texts = [*near_texts(), "one", "two words", "one two three four five six", "one two three four five six seven"]
+    sets = simhash.shingle_sets(texts)
+    sigs = simhash._signatures(sets)
+    rows = [(i, *map(int, sigs[i]), len(s), len(simhash._keys(simhash._low(s))), bytearray(simhash._sketch(s)), i // 2) for i, s in enumerate(sets)]  # every other pair has one root
+    classes = spark.createDataFrame(rows, "node long, s1 long, s2 long, n int, low int, bits binary, root long")
+    found = simhash.rare_pairs(spark.createDataFrame([(t,) for t in texts], "text string"), classes, 0.8, 5, tile).collect()
+    pairs = {(r.u, r.v) for r in found}
+    links = {(i, j) for i, j in combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) ** 2 >= 0.64 * len(sets[i]) * len(sets[j])}
+    links = {p for p in links if p[0] // 2 != p[1] // 2}
+    assert links and links <= pairs and len(pairs) == len(found) and not any(i // 2 == j // 2 for i, j in pairs)
