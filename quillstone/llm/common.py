@@ -8,6 +8,7 @@ is local (tests) a temporary folder is made and set.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -59,6 +60,16 @@ def release(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of what is done when the driver's collector finds it unreachable, which may be late.
+
+    Python's comes first, since Java keeps what Python's handles hold; handles are let go beside the program, so both run twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast if it has few enough rows; else Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -153,18 +153,19 @@ def identify(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> D
     """The columns `keep` (all by default) with lang_pred and score; a column of those names is replaced."""
     names = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
     held = docs.sparkSession.sparkContext.broadcast(model)
-    probe = free(docs, "probe")
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(probe))
+    at = names.index(text) if text in names else len(names)
+    probe = text if text in names else free(docs, "probe")  # texts that are kept go to the workers once
+    source = docs.select(*[F.col(f"`{c}`") for c in names], *([] if probe in names else [F.col(f"`{text}`").alias(probe)]))
 
     def run(batches):
         for batch in batches:
             langs, scores = [], []
-            for _, block in lists_of(batch.column(len(names))):
+            for _, block in lists_of(batch.column(at)):
                 a, b = held.value.predict(block)
                 langs += a
                 scores.append(b)
             both = [pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *both], [*names, "lang_pred", "score"])
 
-    schema = source.drop(probe).schema.add("lang_pred", "string").add("score", "double")
+    schema = source.select(*[F.col(f"`{c}`") for c in names]).schema.add("lang_pred", "string").add("score", "double")
     return source.mapInArrow(run, schema)

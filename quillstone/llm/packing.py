@@ -43,17 +43,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1, doc_
     docs = narrow(docs, doc_id=doc_id, text=text)
 
     def cut(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, 100_000)
         for batch in batches:
             texts = batch.column(1)
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, 1 << 19):
                 ids, cuts = with_end(*enc.encode(texts.slice(a, b - a)), end_id)
                 parts = -(-np.diff(cuts) // capacity)
                 doc = np.repeat(np.arange(b - a), parts)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
                 start = piece * capacity
                 length = np.minimum(capacity, np.diff(cuts)[doc] - start)
-                view, at = memoryview(ids.astype("<u4").tobytes()), 4 * (cuts[doc] + start)
+                view, at = ids.astype("<u4", copy=False).view(np.uint8), 4 * (cuts[doc] + start)
                 crc = [zlib.crc32(view[x:y]) for x, y in zip(at.tolist(), (at + 4 * length).tolist())]
                 columns = [batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, narrow, release, small
+from .common import collect_garbage, materialize, narrow, release, small
 from .tokens import lists_of
 
 SALTS = 4  # shares of the tiles that meet one tile
@@ -374,6 +374,7 @@ def rare_pairs(texts: DataFrame, classes: DataFrame, similarity: float, words_pe
     held = held.withColumn("at", F.col("low") - F.col("lower") + F.row_number().over(own.orderBy("df", "key")) - 1)
     held = held.where(F.col("at") < _prefix(F.col("n"), ratio)).select("key", "root", "node", "n", "at", (F.col("at") < _prefix(F.col("n"), similarity)).alias("leads"))
     held = materialize(held, "near-rare")
+    collect_garbage(texts.sparkSession)
     roots = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
     held = held.join(roots, "key")
     # The nodes of a large group have tiles of their own, and tiles of one root do not meet: copies are not compared with each other.
@@ -382,6 +383,7 @@ def rare_pairs(texts: DataFrame, classes: DataFrame, similarity: float, words_pe
     part = F.when(F.col("own") > tile, F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / tile)))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("k") / tile)))
     tiles = held.groupBy("key", part.alias("part")).agg(F.max("k").alias("k"), F.min("root").alias("least"), F.max("root").alias("most"), F.collect_list(F.struct("node", "n", "at", "leads", "root", "bits")).alias("rows"))
     tiles = materialize(tiles, "near-tiles")
+    collect_garbage(texts.sparkSession)
     many = tiles.where(F.col("k") > tile)
     others = many.select("key", *[F.col(c).alias(f"other {c}") for c in ("part", "least", "most", "rows")])
     met = many.join(others, "key").where((F.col("part") < F.col("other part")) & ((F.col("least") < F.col("other most")) | (F.col("other least") < F.col("most"))))
@@ -485,8 +487,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     roots = components(links)
     # The links that fingerprints miss lead from one of these groups to another.
     grouped = materialize(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "s1", "s2", "n", "low", "bits", "least", "root"), "near-groups")
+    collect_garbage(docs.sparkSession)
     copies = found.join(grouped.select("s1", "s2", "least"), ["s1", "s2"]).where(F.struct("doc_id", "k1", "k2") != F.col("least")).select("k1", "k2")
     pairs = materialize(rare_pairs(docs.join(small(copies), ["k1", "k2"], "left_anti"), grouped.where("n > 0"), similarity, words_per_shingle), "near-pairs")
+    collect_garbage(docs.sparkSession)
     links = materialize(verified(pairs, classes, docs, similarity, words_per_shingle), "near-links")
     roots = components(links.unionByName(grouped.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     rooted = classes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 
 #: The pattern for which the cache is exact.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEP = 1 << 15  # strings whose ids are gathered at once
 _LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t\n\x0b\x0c\r \x85\xa0"
 _WORD = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 
@@ -55,7 +56,11 @@ class _Table:
         which = self.numbers(each.dictionary)[each.indices.to_numpy()]
         n = self.length[which]
         to = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-        return self.flat[np.repeat(self.at[which] - to[:-1], n) + np.arange(to[-1])], to
+        out = np.empty(to[-1], np.uint32)
+        for a in range(0, len(n), STEP):  # places are longs: never those of all ids at once
+            b = min(a + STEP, len(n))
+            out[to[a] : to[b]] = self.flat[np.repeat(self.at[which[a:b]] - to[a:b], n[a:b]) + np.arange(to[a], to[b])]
+        return out, to
 
 
 class Encoder:
@@ -154,18 +159,20 @@ class Encoder:
 def with_end(ids: np.ndarray, cuts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the end id after each text."""
     out = np.full(len(ids) + len(cuts) - 1, end_id, np.uint32)
-    out[np.arange(len(ids)) + np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))] = ids
+    own = np.ones(len(out), bool)
+    own[cuts[1:] + np.arange(len(cuts) - 1)] = False
+    out[own] = ids
     return out, cuts + np.arange(len(cuts))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = 500_000) -> Encoder:
     """The worker's encoder for the file; a Python worker serves many tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, limit) not in _encoders:
+        _encoders[path, limit] = Encoder(path, limit)
+    return _encoders[path, limit]
 
 
 def blocks(texts: pa.Array, size: int = 1 << 22):

@@ -284,3 +284,46 @@ def test_rare_pairs_hold_all_links_between_roots(spark, tile):
     links = {(i, j) for i, j in combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) ** 2 >= 0.64 * len(sets[i]) * len(sets[j])}
     links = {p for p in links if p[0] // 2 != p[1] // 2}
     assert links and links <= pairs and len(pairs) == len(found) and not any(i // 2 == j // 2 for i, j in pairs)
+
+
+def test_texts_go_to_the_workers_once_and_in_short_batches(spark):
+    import pyarrow as pa
+
+    from quillstone.llm import language
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        docs = spark.range(2500, numPartitions=1).selectExpr("id AS doc_id", "concat('the text ', id) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+        for name, f in corpus_pipeline.STAGES:
+            if name in ("language_id", "near_dedup", "packing"):
+                spark.conf.set(key, "10000")
+                f(spark, docs, DIR)
+                rows = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+                assert max(r.n for r in rows) <= 1000 and sum(r.n for r in rows) == 2500, name
+        found = language.identify(docs, language.Model.build({}))
+        assert found.columns == [*docs.columns, "lang_pred", "score"]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "probe" not in plan
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_shuffles_that_are_done_go(spark):
+    import time
+    from pathlib import Path
+
+    from quillstone.llm.common import collect_garbage, materialize
+
+    top = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    before = {p.name for p in top.rglob("shuffle_*.data")}
+    materialize(spark.range(100_000).selectExpr("id", "id % 7 AS k").repartition(3, "k"), "shuffled")
+    made = {p.name for p in top.rglob("shuffle_*.data")} - before
+    assert made
+    for _ in range(20):
+        collect_garbage(spark)
+        time.sleep(0.2)
+        if not made & {p.name for p in top.rglob("shuffle_*.data")}:
+            return
+    raise AssertionError("shuffle files stay")
