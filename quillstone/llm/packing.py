@@ -43,10 +43,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1, doc_
     docs = narrow(docs, doc_id=doc_id, text=text)
 
     def cut(batches):
-        enc = encoder(tokenizer, 100_000)
+        enc = encoder(tokenizer, 300_000)
         for batch in batches:
             texts = batch.column(1)
-            for a, b in blocks(texts, 1 << 19):
+            for a, b in blocks(texts):
                 ids, cuts = with_end(*enc.encode(texts.slice(a, b - a)), end_id)
                 parts = -(-np.diff(cuts) // capacity)
                 doc = np.repeat(np.arange(b - a), parts)

@@ -26,27 +26,47 @@ _WORD = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_
 
 
 class _Table:
-    """Strings that have been encoded, and their ids in a row; `limit` strings bound the memory."""
+    """Strings that have been encoded, and their ids in a row; `limit` strings bound the memory.
+
+    A full table keeps what was looked up again, the most used first: the words of a text's long
+    tail come once and would else drive out the frequent ones, which are then encoded anew.
+    """
 
     def __init__(self, limit: int, encode) -> None:
         self.limit, self.encode = limit, encode
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.flat, self.at, self.length = pa.array([], pa.string()), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.known, self.flat = pa.array([], pa.string()), np.empty(0, np.uint32)
+        self.at, self.length, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def thin(self, most: int) -> None:
+        """Keeps at most so many strings, and halves their uses, so that old ones fade."""
+        kept = np.flatnonzero(self.used)
+        if len(kept) > most:
+            kept = np.sort(kept[np.argsort(-self.used[kept], kind="stable")[: max(0, most)]])
+        if not len(kept):
+            self.forget()
+            return
+        n = self.length[kept]
+        to = np.cumsum(n) - n
+        self.flat = self.flat[np.repeat(self.at[kept] - to, n) + np.arange(n.sum())]
+        self.known, self.at, self.length, self.used = self.known.take(pa.array(kept)), to, n, self.used[kept] // 2
 
     def numbers(self, some: pa.Array) -> np.ndarray:
         """The place in the table of each of these distinct strings; new ones are encoded and added."""
         found = pc.index_in(some, value_set=self.known)
         new = some.filter(pc.is_null(found))
         if len(new) and len(self.known) and len(self.known) + len(new) > self.limit:
-            self.forget()
+            self.thin(min(self.limit // 2, self.limit - len(some)))
             return self.numbers(some)
         found = found.fill_null(-1).to_numpy().astype(np.int64)
+        self.used[found[found >= 0]] += 1
         if len(new):
             found[found < 0] = len(self.known) + np.arange(len(new))
             ids, length = self.encode(new)
             self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
             self.length, self.flat, self.known = np.concatenate([self.length, length]), np.concatenate([self.flat, ids]), pa.concat_arrays([self.known, new])
         return found
 
@@ -66,7 +86,7 @@ class _Table:
 class Encoder:
     """encode(texts) gives the ids of all texts in a row and where each text starts; None counts as empty.
 
-    limit: chunks, and words, that the caches hold before they start anew, which bounds the memory.
+    limit: chunks, and words, that the caches hold before they let go of rare ones, which bounds the memory.
     """
 
     def __init__(self, path: str, limit: int = 500_000) -> None:
@@ -110,9 +130,11 @@ class Encoder:
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for lower-case Latin-1 words."""
         ids, lengths = [], []
-        for i in range(0, len(words), 4000):
-            some = words.slice(i, 4000)
-            got = np.array(self.model.encode(" ".join(some.to_pylist()).translate(self.letters), add_special_tokens=False).ids, np.uint32)
+        for i in range(0, len(words), 1000):
+            some = words.slice(i, 1000)
+            # The fast call leaves out the places of tokens in the text, nothing else.
+            found = self.model.encode_batch_fast([" ".join(some.to_pylist()).translate(self.letters)], add_special_tokens=False)
+            got = np.array(found[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[got])
             n = np.diff(ends, prepend=-1)
             if len(ends) != len(some) or ends[-1] != len(got) - 1:

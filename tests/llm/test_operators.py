@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -43,6 +44,31 @@ def test_cached_ids_equal_the_tokenizer():
                 assert ids[cuts[i] : cuts[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_rare_strings_do_not_drive_out_frequent_ones():
+    encoded = Counter()
+
+    def lengths(new):
+        encoded.update(new.to_pylist())
+        return np.array([ord(c) for s in new.to_pylist() for c in s], np.uint32), np.array([len(s) for s in new.to_pylist()])
+
+    held, often = tokens._Table(100, lengths), [f"often{i}" for i in range(20)]
+    for block in range(200):
+        texts = often + [f"rare{block}-{i}" for i in range(30)] + often
+        ids, to = held.ids(pa.array(texts))
+        assert "".join(map(chr, ids)) == "".join(texts) and np.diff(to).tolist() == [len(s) for s in texts]
+        assert len(held.known) <= 100
+    assert all(encoded[s] == 1 for s in often)
+
+
+def test_ids_stay_exact_when_the_cache_lets_go():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "The,", "of", "don't", f"w{rng.randrange(10**6)}x", "É" + "ab" * rng.randrange(9), "日本"]) for _ in range(40)) for _ in range(120)]
+    plain, enc = Tokenizer.from_file(PATH), tokens.Encoder(PATH, limit=150)
+    for i in range(0, 120, 3):
+        ids, cuts = enc.encode(texts[i : i + 3])
+        assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts[i : i + 3]]
+
+
 def test_other_tokenizers_are_used_as_they_are():
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert tokens.Encoder(path).encode(["Hello  World"])[0].tolist() == Tokenizer.from_file(path).encode("Hello  World", add_special_tokens=False).ids
