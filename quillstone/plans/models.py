@@ -219,15 +219,18 @@ def calibrated(spark, sf_dir):
 def bagged(spark, sf_dir):
     """Mean probability of five members fitted on rows drawn with replacement from the other folds."""
 
+    members = 5
+
     def scored(train, held):
-        draws, out, held = folds.bootstrap(train, 5, 3), None, L.prepared(held)
-        for m in range(5):
-            drawn = L.prepared(train.join(draws.where(F.col("member") == m).select("id", F.col("weight").cast("double").alias("w")), "id"))
-            part = L.positive(LogisticRegression(maxIter=15, regParam=0.01, weightCol="w").fit(drawn).transform(held))
-            out = part if out is None else out.unionByName(part)
-        return out.groupBy("id", "y").agg(F.avg("score").alias("score"))
-
-    return _scores(L.by_fold(_folded(order_vec(spark, sf_dir)), FOLDS, scored))
+        each = []
+        for m in range(members):
+            drawn = L.prepared(train.withColumn("w", F.col("draws")[m].cast("double")).where("w > 0"))
+            fitted = LogisticRegression(maxIter=15, regParam=0.01, weightCol="w").fit(drawn)
+            each.append(V.sigmoid(V.dot(F.col("x"), F.array(*map(F.lit, fitted.coefficients.toArray().tolist()))) + fitted.intercept))
+        return held.select("id", "y", (sum(each) / members).alias("score"))
+
+    rows = _folded(order_vec(spark, sf_dir))
+    return _scores(L.by_fold(rows.withColumn("draws", F.array(*[folds.draws(3, m) for m in range(members)])), FOLDS, scored))
 
 
 @query("ranker")
