@@ -103,3 +103,18 @@ def test_only_asked_kernels_are_evaluated(spark):
     for r in whole.checks.collect():
         assert (r.pairs, r.finite, r.symmetric, r.positive, r.unit) == (3600, True, True, True, True)
     assert {r.kernel for r in kernels.report(df, df, algebra, size=16, asked=("b",)).rows.select("kernel").distinct().collect()} == {"b"}
+
+
+def test_search_moves_only_what_it_found(spark):
+    from quillstone.llm import ann
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.build(df, block=256)
+    got = ann.search(index, df.where("vec_id % 100 = 0"), k=5, query_block=8)
+    assert exchanges(got) == 1  # the ranking of each query
+    for r in got.collect():
+        d = np.sqrt(((x - x[r.query_id]) ** 2).sum(1))
+        d[r.query_id] = np.inf
+        assert np.argsort(d, kind="stable")[r["rank"] - 1] == r.vec_id and r.score == pytest.approx(d[r.vec_id])
