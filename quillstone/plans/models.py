@@ -122,13 +122,13 @@ def mixture_components(spark, sf_dir):
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import array_to_vector
 
-    def scored(train, held):
-        for y in (0, 1):
-            mixture = GaussianMixture(k=3, seed=1, maxIter=10).fit(train.where(F.col("y") == y).select(array_to_vector("x").alias("features")))
-            held = L.log_density(held, mixture, f"logp{y}")
-        return held
+    rows = cut_lineage(_folded(cut_lineage(order_vec(spark, sf_dir), "order-vectors")), "fold-rows")  # fits read them many times
+
+    def fitted(f: int) -> list:
+        train = rows.where(F.col("fold") != f)
+        return [L.mixture_state(GaussianMixture(k=3, seed=1, maxIter=10).fit(train.where(F.col("y") == y).select(array_to_vector("x").alias("features")))) for y in (0, 1)]
 
-    found = L.by_fold(_folded(order_vec(spark, sf_dir)), FOLDS, scored)
+    found = L.fold_densities(rows, side_by_side([partial(fitted, f) for f in range(FOLDS)]), ["logp0", "logp1"])
     return found.select("id", "fold", *[r6(F.col(c)).alias(c) for c in ("logp0", "logp1")], r6(F.col("logp1") - F.col("logp0")).alias("llr"))
 
 

@@ -1,5 +1,6 @@
 """Fits over many rows: nothing is joined or moved for each of them, and scores are those of the plainer way."""
 
+import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
@@ -31,3 +32,20 @@ def test_bagged_scores_rows_in_place(spark):
         want.setdefault(r.id, []).append(r.score)
     assert {r.id: r.score for r in got.where("fold = 1").collect()} == pytest.approx({i: sum(v) / 5 for i, v in want.items()}, abs=2e-6)
     rows.unpersist()
+
+
+def test_mixtures_score_all_folds_in_one_pass(spark):
+    got = registry.QUERIES["mixture_components"](spark, DIR)
+    assert "Union" not in plan(got) and plan(got).count("Arrow") == 1
+
+
+def test_densities_by_fold(spark):
+    rng = np.random.default_rng(1)
+    x, fold = rng.standard_normal((50, 3)), rng.integers(0, 2, 50)
+    df = spark.createDataFrame([(i, int(f), v.tolist()) for i, (f, v) in enumerate(zip(fold, x, strict=True))], "id long, fold int, x array<double>")
+    component = lambda w, m, s: (np.log(w) - 1.5 * np.log(2 * np.pi) - 3 * np.log(s), np.full(3, m), np.eye(3) / s)
+    states = [[[component(0.3, 0.0, 1.0), component(0.7, 1.0, 2.0)], [component(1.0, f, 1.0)]] for f in (0.0, 0.5)]
+    normal = lambda v, m, s: np.exp(-0.5 * (((v - m) / s) ** 2).sum()) / (2 * np.pi) ** 1.5 / s**3
+    for r in L.fold_densities(df, states, ["a", "b"]).collect():
+        v = x[r.id]
+        assert r.fold == fold[r.id] and r.a == pytest.approx(np.log(0.3 * normal(v, 0, 1) + 0.7 * normal(v, 1, 2))) and r.b == pytest.approx(np.log(normal(v, 0.5 * r.fold, 1)))
