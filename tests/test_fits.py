@@ -49,3 +49,25 @@ def test_densities_by_fold(spark):
     for r in L.fold_densities(df, states, ["a", "b"]).collect():
         v = x[r.id]
         assert r.fold == fold[r.id] and r.a == pytest.approx(np.log(0.3 * normal(v, 0, 1) + 0.7 * normal(v, 1, 2))) and r.b == pytest.approx(np.log(normal(v, 0.5 * r.fold, 1)))
+
+
+def test_builders_leave_no_rows_behind(spark):
+    from pathlib import Path
+
+    from quillstone.operators import estimators as E
+    from quillstone.operators.graph import scratch_root
+    from quillstone.plans.external import training_rows
+
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    there = lambda: {p.name for kind in ("builder-rows", "linear-rows") for p in root.glob(f"{kind}-*")}
+    rows, before = training_rows(spark, DIR), there()
+    made = E.config("blocks").fit(rows, outward=True)
+    assert there() == before
+    assert [r.model for r in made.states["decision"].collect()] == [-1]  # no step reads it
+    assert {r.model for r in made.states["gaussians"].collect()} == set(range(-1, 5))
+    with pytest.raises(ValueError, match="other tables only"):
+        made.out_of_fold(rows)
+    whole = E.config("blocks").fit(rows)
+    assert there() == before and whole.out_of_fold(rows).count() == rows.count()
+    one, other = ({r.id: r.decision[0] for r in b.transform(rows.select("id", "x")).select("id", "decision").collect()} for b in (made, whole))
+    assert one == pytest.approx(other)
